@@ -29,7 +29,7 @@ KINDS = ("assign", "access", "hex", "random")
 LEAST, RATIO = 20, 2.0
 RUN = re.compile(rf"(?<![A-Za-z0-9+/=_-])[A-Za-z0-9+/_-]{{{LEAST},}}=*")
 DIGEST = re.compile(r"(?i:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{56}|[0-9a-f]{64}|[0-9a-f]{96}|[0-9a-f]{128}|[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12})=*")
-IDENTIFIER = re.compile(r"(?:(?:[A-Z]?[a-z]+|[A-Z]+)[0-9]{0,4}[/_-]*)+|[0-9+/_=-]+")
+IDENTIFIER = re.compile(r"(?:(?:[A-Za-z]+[0-9]{0,4}|[0-9]{1,4})(?:[/_-]+|=*$))+|[0-9+/_=-]+")
 Span = tuple[int, int, int]
 
 
