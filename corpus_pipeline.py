@@ -4,10 +4,25 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import bpe, secrets
+from millrace.llm import bpe, decontaminate, language, near_dedup, secrets
 from millrace.llm.common import stored, table
 
 
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a letter, or whose language is uncertain, go."""
+    return language.kept(docs)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near-duplicates (five words, similarity 0.8) the document of least doc_id stays."""
+    return near_dedup.deduplicated(docs, words=5)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold eight words in a row of two benchmark items or more go."""
+    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets in the texts are replaced; every document stays."""
     return secrets.redact(docs)
@@ -18,9 +33,15 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return bpe.bpe_round_trip(docs)
 
 
-STAGES = [("secret scan", redact_secrets), ("bpe", encode)]
+STAGES = [
+    ("language id", identify_language),
+    ("near dedup", drop_near_copies),
+    ("decontamination", drop_contaminated),
+    ("secret scan", redact_secrets),
+    ("bpe", encode),
+]
 
-ORACLE_SQL = None
+ORACLE_SQL = None  # language ID and BPE can't be written in SQL; tests hold the stages against brute force
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
