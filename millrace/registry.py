@@ -1,4 +1,4 @@
-"""All queries of the engine outside millrace.llm, by name, and the SQL that gives the same rows."""
+"""All queries of the engine outside the pipeline subpackage, by name, and the SQL that gives the same rows."""
 
 from __future__ import annotations
 
@@ -6,5 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from millrace.plans import retrieval
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+for module in (retrieval,):
+    QUERIES |= module.QUERIES
+    ORACLES |= module.ORACLES
