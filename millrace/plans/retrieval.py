@@ -183,7 +183,7 @@ ORACLES = {
       s AS (SELECT alpha, query_id, doc_id, round(alpha * a + (1 - alpha) * b, 6) AS score FROM wf, al),
       r AS (SELECT *, row_number() OVER (PARTITION BY alpha, query_id ORDER BY score DESC, doc_id) AS rank FROM s),
       f AS (SELECT alpha, query_id, min(rank) AS first FROM r JOIN rel USING (query_id, doc_id) WHERE rank <= 10 GROUP BY ALL)
-      SELECT alpha, round(avg(round(coalesce(1 / first, 0), 6)), 5) AS mrr FROM (SELECT DISTINCT query_id FROM rel), al LEFT JOIN f USING (alpha, query_id) GROUP BY alpha""",
+      SELECT alpha, round(avg(round(coalesce(1 / first, 0), 6)), 5) AS mrr FROM (SELECT DISTINCT query_id, alpha FROM rel, al) LEFT JOIN f USING (alpha, query_id) GROUP BY alpha""",
     "query_work": f"""WITH {BASE}, h AS (SELECT query_id, term, doc_id FROM p JOIN q USING (term)),
       b AS (SELECT query_id, sum(c) AS touched, max(c) AS head FROM (SELECT query_id, term, count(*) AS c FROM h GROUP BY ALL) GROUP BY query_id)
       SELECT query_id, CAST(touched AS BIGINT) AS touched, candidates, round(head / touched, 6) AS head_share FROM b JOIN (SELECT query_id, count(DISTINCT doc_id) AS candidates FROM h GROUP BY query_id) USING (query_id)""",
