@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.plans import retrieval
+from millrace.plans import analysis, retrieval
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
-for module in (retrieval,):
+for module in (retrieval, analysis):
     QUERIES |= module.QUERIES
     ORACLES |= module.ORACLES
