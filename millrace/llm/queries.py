@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, decontaminate, language, media, near_dedup, secrets, token_counts, token_files
+from . import bpe, chat, decontaminate, language, media, near_dedup, secrets, suffix_tree, token_counts, token_files
 from .common import table
 
 
@@ -14,6 +14,10 @@ def op1_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_columns(table(spark, sf_dir, "documents"))
 
 
+def op2_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_tree.lm_scores(table(spark, sf_dir, "documents"))
+
+
 def op3_chat_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.perspectives(table(spark, sf_dir, "conversations"))
 
@@ -48,7 +52,7 @@ def op10_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_media_columns, op3_chat_perspectives, op4_near_dedup, op5_token_files, op6_language_id, op7_token_counts, op8_secret_scan, op9_decontamination, op10_bpe_round_trip)
+    for f in (op1_media_columns, op2_lm_scores, op3_chat_perspectives, op4_near_dedup, op5_token_files, op6_language_id, op7_token_counts, op8_secret_scan, op9_decontamination, op10_bpe_round_trip)
 }
 
 ORACLES: dict[str, str] = {"op3_chat_perspectives": chat.SQL, "op9_decontamination": decontaminate.SQL}
