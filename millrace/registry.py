@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.plans import analysis, retrieval
+from millrace.plans import analysis, retrieval, stateful
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
-for module in (retrieval, analysis):
+for module in (retrieval, analysis, stateful):
     QUERIES |= module.QUERIES
     ORACLES |= module.ORACLES
