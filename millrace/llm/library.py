@@ -25,7 +25,7 @@ import regex
 
 from .common import Memo
 
-MEMO, WORDS = 400_000, 300_000  #: cells and pre-tokens that a worker remembers
+MEMO, WORDS = 700_000, 500_000  #: cells and pre-tokens that a worker remembers
 ODD = re.compile("[\x1c-\x1f᠎]")
 JOINED = 4096  #: pre-tokens that the library gets as one text
 BYTE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"  #: fixed: the byte-level pre-tokenizer's

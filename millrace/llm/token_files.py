@@ -112,6 +112,16 @@ class Code:
         return out.T.reshape(-1)[:n] if len(out) == EVERY else out.T.reshape(-1)
 
 
+def narrow(raw: bytes) -> bytes:
+    """32-bit ids as 16-bit ones if all of them fit; a mark behind them tells which."""
+    ids = np.frombuffer(raw, "<u4")
+    return ids.astype("<u2").tobytes() + b"2" if len(ids) and ids.max() < 1 << 16 else raw + b"4"
+
+
+def widened(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, "<u2" if raw[-1:] == b"2" else "<u4", (len(raw) - 1) // int(raw[-1:]))
+
+
 def encoded(docs: DataFrame, path: str | None = None, end: int = END) -> DataFrame:
     """A stored table of the ids of each document, the end id behind them."""
 
@@ -129,7 +139,7 @@ def encoded(docs: DataFrame, path: str | None = None, end: int = END) -> DataFra
                 ids += [x + tail for x in lib.encode([t.as_py() or "" for t in texts[at:stop]])]
                 at = stop
             yield pa.RecordBatch.from_arrays(
-                [b.column(0).cast(pa.int64()), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([zlib.crc32(x) for x in ids], pa.int64()), pa.array(ids, pa.binary())],
+                [b.column(0).cast(pa.int64()), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([zlib.crc32(x) for x in ids], pa.int64()), pa.array([narrow(x) for x in ids], pa.binary())],
                 names=["doc_id", "n", "crc", "ids"],
             )
 
@@ -142,7 +152,7 @@ def global_counts(ids: DataFrame) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
         for b in batches:
-            n = np.bincount(np.frombuffer(b"".join(b.column(0).to_pylist()), "<u4"))
+            n = np.bincount(np.concatenate([np.zeros(0, np.int64), *map(widened, b.column(0).to_pylist())]).astype(np.int64))
             total = np.pad(total, (0, max(0, len(n) - len(total)))) + np.pad(n, (0, max(0, len(total) - len(n))))
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(total[used], pa.int64())], names=["id", "n"])
@@ -160,14 +170,14 @@ def write_blocks(ids: DataFrame, code: Code, total: int, shard_ids: int = SHARD,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, block, before = TaskContext.get().partitionId(), 0, 0
         docs: list[int | None] = []
-        parts: list[bytes] = []
+        parts: list[np.ndarray] = []
 
         def flush() -> pa.RecordBatch:
-            flat = np.frombuffer(b"".join(parts), "<u4")
+            flat = np.concatenate(parts)
             bits, checkpoints = code.pack(flat)
             row = [
                 shard, block, before, len(flat), np.array([d or 0 for d in docs], "<i8").tobytes(), np.array([d is None for d in docs]).tobytes(),
-                np.array([len(p) // 4 for p in parts], "<u4").tobytes(), checkpoints.tobytes(), bits,
+                np.array([len(p) for p in parts], "<u4").tobytes(), checkpoints.tobytes(), bits,
             ]
             kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), *[pa.binary()] * 5]
             return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds)], names=[f.split()[0] for f in BLOCKS.split(", ")])
@@ -176,8 +186,8 @@ def write_blocks(ids: DataFrame, code: Code, total: int, shard_ids: int = SHARD,
         for b in batches:
             for d, x in zip(b.column(0).to_pylist(), b.column(1)):
                 docs.append(d)
-                parts.append(x.as_py())
-                held += len(parts[-1]) // 4
+                parts.append(widened(x.as_py()))
+                held += len(parts[-1])
                 if held >= block_ids:
                     yield flush()
                     block, before, held = block + 1, before + held, 0
