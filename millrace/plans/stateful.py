@@ -44,3 +44,32 @@ def prefix_cache(spark, d):
 
 QUERIES = {f.__name__: f for f in (token_bucket, breaker_trips, rolling_breaker, retry_budget, prefix_cache)}
 ORACLES: dict[str, str] = {}
+
+
+def fixed_chunks(spark, d):
+    from millrace.operators import records
+
+    c = records.chunks(table(spark, d, "documents"), 80, 20)
+    return c.select("doc_id", "chunk_id", F.size(F.regexp_extract_all("text", F.lit(r"\S+"), F.lit(0))).alias("n_words"))
+
+
+def sentence_chunks(spark, d):
+    from millrace.operators import records
+
+    return records.chunks(table(spark, d, "documents"), 80, whole_sentences=True).drop("text")
+
+
+def event_props(spark, d):
+    """Leaves of the events' JSON."""
+    from millrace.operators import records
+
+    e = table(spark, d, "events").select(F.col("event_id").alias("id"), F.col("props").alias("text"))
+    return records.flattened(records.repaired(e).where("json is not null"))
+
+
+QUERIES |= {f.__name__: f for f in (fixed_chunks, sentence_chunks, event_props)}
+ORACLES |= {
+    "fixed_chunks": r"""WITH w AS (SELECT doc_id, len(regexp_extract_all(text, '\S+')) AS n FROM documents), c AS (SELECT doc_id, n, unnest(generate_series(0, greatest(0, CAST(ceil((n - 80) / 60) AS BIGINT)))) AS k FROM w WHERE n > 0)
+      SELECT doc_id, doc_id || '#' || k AS chunk_id, CAST(least(80, n - 60 * k) AS INT) AS n_words FROM c""",
+    "event_props": "SELECT event_id AS id, unnest(json_keys(props)) AS path, CAST(json_extract(props, '$.' || unnest(json_keys(props))) AS VARCHAR) AS value FROM events",
+}
