@@ -73,3 +73,14 @@ ORACLES |= {
       SELECT doc_id, doc_id || '#' || k AS chunk_id, CAST(least(80, n - 60 * k) AS INT) AS n_words FROM c""",
     "event_props": "SELECT event_id AS id, unnest(json_keys(props)) AS path, CAST(json_extract(props, '$.' || unnest(json_keys(props))) AS VARCHAR) AS value FROM events",
 }
+
+
+def knn_graph(spark, d):
+    """Approximate neighbours; recall against exact search is tested."""
+    from millrace.operators import ann
+    from millrace.plans.analysis import vectors
+
+    return ann.knn(*vectors(spark, d))
+
+
+QUERIES |= {"knn_graph": knn_graph}
