@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.plans import analysis, retrieval, stateful
+from millrace.plans import analysis, retrieval, stateful, workload
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
-for module in (retrieval, analysis, stateful):
+for module in (retrieval, analysis, stateful, workload):
     QUERIES |= module.QUERIES
     ORACLES |= module.ORACLES
