@@ -57,7 +57,7 @@ def dropped_words(text: Column, key: Column, share: float = 0.1) -> Column:
 def mutated(docs: DataFrame) -> DataFrame:
     """(doc_id, kind, text): each document as it is and in three changed forms."""
     t = F.col("text")
-    forms = {"same": t, "truncated": truncated(t), "dropped": dropped_words(t, F.col("doc_id")), "upper": F.upper(t)}
+    forms = {"same": t, "truncated": truncated(t), "dropped": dropped_words(t, F.col("doc_id")), "lower": F.lower(t)}
     forms = F.array(*[F.struct(F.lit(kind).alias("kind"), form.alias("text")) for kind, form in forms.items()])
     return docs.select("doc_id", F.explode(forms).alias("f")).select("doc_id", "f.kind", "f.text")
 

@@ -22,7 +22,7 @@ def open_orders(spark, d):
 
 def mutations(spark, d):
     t = W.mutated(table(spark, d, "documents"))
-    return t.where("kind in ('same', 'truncated', 'upper')").select("doc_id", "kind", F.md5(F.col("text").cast("binary")).alias("digest"))
+    return t.where("kind in ('same', 'truncated', 'lower')").select("doc_id", "kind", F.md5(F.col("text").cast("binary")).alias("digest"))
 
 
 def backoff(spark, d):
@@ -48,7 +48,7 @@ ORACLES = {
     "open_orders": """WITH l AS (SELECT CAST(l_shipdate AS DATE) - DATE '1970-01-01' AS q FROM lineitem), c AS (SELECT q, count(*) AS n FROM l GROUP BY q), t AS (SELECT DISTINCT CAST(date_trunc('month', DATE '1970-01-01' + CAST(q AS INT)) AS DATE) - DATE '1970-01-01' AS t FROM l)
       SELECT CAST(t AS INT) AS t, CAST(coalesce(sum(n), 0) AS BIGINT) AS n FROM t LEFT JOIN c ON q <= t AND t < q + 30 GROUP BY t""",
     "mutations": r"""WITH w AS (SELECT doc_id, text, regexp_split_to_array(trim(text), '\s+') AS w FROM documents)
-      SELECT doc_id, 'same' AS kind, md5(text) AS digest FROM w UNION ALL SELECT doc_id, 'upper', md5(upper(text)) FROM w UNION ALL SELECT doc_id, 'truncated', md5(array_to_string(w[1:greatest(1, CAST(floor(len(w) * 0.7::DOUBLE) AS INT))], ' ')) FROM w""",
+      SELECT doc_id, 'same' AS kind, md5(text) AS digest FROM w UNION ALL SELECT doc_id, 'lower', md5(lower(text)) FROM w UNION ALL SELECT doc_id, 'truncated', md5(array_to_string(w[1:greatest(1, CAST(floor(len(w) * 0.7::DOUBLE) AS INT))], ' ')) FROM w""",
     "backoff": "SELECT event_id, least(5000.0::DOUBLE, 100.0::DOUBLE * pow(2.0, event_id % 9)) AS delay FROM events",
     "verdict_flips": f"""WITH v AS (SELECT {SIDE.format('l_partkey')} AS x, {SIDE.format('l_suppkey')} AS y FROM lineitem) SELECT count(*) AS n, count(*) FILTER (x = y) AS stable, count(*) FILTER (x = 'a' AND y = 'b') AS to_first,
       count(*) FILTER (x = 'b' AND y = 'a') AS to_second, round(avg(CASE x WHEN 'a' THEN 1.0::DOUBLE WHEN 'b' THEN 0 ELSE 0.5 END), 6) AS first_rate FROM v""",
