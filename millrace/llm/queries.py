@@ -55,4 +55,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (op1_media_columns, op2_lm_scores, op3_chat_perspectives, op4_near_dedup, op5_token_files, op6_language_id, op7_token_counts, op8_secret_scan, op9_decontamination, op10_bpe_round_trip)
 }
 
-ORACLES: dict[str, str] = {"op3_chat_perspectives": chat.SQL, "op9_decontamination": decontaminate.SQL}
+ORACLES: dict[str, str] = {"op3_chat_perspectives": chat.SQL, "op4_near_dedup": near_dedup.SQL, "op9_decontamination": decontaminate.SQL}
