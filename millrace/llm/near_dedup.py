@@ -37,7 +37,8 @@ from .common import Memo, stored
 
 WORDS, SIMILAR = 4, 80  #: words of a shingle; per cent
 GROUPS, ROWS, ROUNDS, SEED = 16, 3, 3, 11
-SKETCH = "doc_id long, n_shingles long, class string, a array<long>, b array<long>, shingles binary"
+SKETCH = "doc_id long, n_shingles long, class string, a array<long>, b array<long>"
+FEW = 500_000  #: ids up to which a counted table of ids is broadcast
 MEMO = 500_000
 
 
@@ -90,7 +91,7 @@ def minhashes(x: np.ndarray, groups: int, rows: int) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, words: int = WORDS, groups: int = GROUPS, rows: int = ROWS) -> DataFrame:
-    """doc_id, size and class of the set, the groups' values, the set; no shuffle."""
+    """doc_id, size and class of the set, the groups' values; no shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = Shingler(words)
@@ -101,22 +102,43 @@ def sketches(docs: DataFrame, words: int = WORDS, groups: int = GROUPS, rows: in
                 for d, t in zip(b.column(0)[at : at + 500].to_pylist(), b.column(1)[at : at + 500]):
                     x = s.set_of(t.as_py())
                     if not len(x):
-                        out.append((d, 0, None, None, None, None))
+                        out.append((d, 0, None, None, None))
                         continue
                     name = hashlib.blake2b(x.tobytes(), digest_size=16).hexdigest()
-                    if name in seen:  # the class's sketch and set are needed once
-                        out.append((d, len(x), name, None, None, None))
+                    if name in seen:  # a class's sketch is needed once
+                        out.append((d, len(x), name, None, None))
                         continue
                     if len(seen) < MEMO:
                         seen.add(name)
                     m = minhashes(x, groups, rows)
-                    out.append((d, len(x), name, m[:groups], m[groups:], x.tobytes()))
-                kinds = [pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()]
+                    out.append((d, len(x), name, m[:groups], m[groups:]))
+                kinds = [pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int64())]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=[f.split()[0] for f in SKETCH.split(", ")])
 
     return docs.select("doc_id", "text").mapInArrow(run, SKETCH)
 
 
+def few(ids: DataFrame, most: int | None = None) -> DataFrame:
+    """A stored table of ids, to be broadcast if it was counted and is small."""
+    most = FEW if most is None else most
+    return F.broadcast(ids) if ids.limit(most + 1).count() <= most else ids
+
+
+def sets_of(docs: DataFrame, nodes: DataFrame, words: int = WORDS) -> DataFrame:
+    """(node, n_shingles, shingles) of the documents named by nodes, from their texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        s = Shingler(words)
+        for b in batches:
+            for at in range(0, b.num_rows, 500):
+                sets = [s.set_of(t.as_py()) for t in b.column(1)[at : at + 500]]
+                columns = [b.column(0)[at : at + 500].cast(pa.int64()), pa.array([len(x) for x in sets], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["node", "n_shingles", "shingles"])
+
+    rows = docs.select(F.col("doc_id").alias("node"), "text").join(few(nodes), "node", "left_semi")
+    return rows.mapInArrow(run, "node long, n_shingles long, shingles binary").where("n_shingles > 0")
+
+
 def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Components of a counted, small number of edges in one task."""
     root: dict[int, int] = {}
@@ -169,6 +191,9 @@ def confirmed(pairs: DataFrame, sets: DataFrame, similar: int = SIMILAR) -> Data
     # a size filter first: the intersection is at most the smaller set
     sizes = pairs.join(left.select("u", "n"), "u").join(right.select("v", "m"), "v")
     sizes = sizes.where(100 * F.least("n", "m") >= similar * F.greatest("n", "m")).select("u", "v")
+    sizes = stored(sizes.distinct(), "sized")  # only the sets of these pairs move
+    left = left.join(few(stored(sizes.select("u").distinct(), "ids")), "u", "left_semi")
+    right = right.join(few(stored(sizes.select("v").distinct(), "ids")), "v", "left_semi")
     rows = sizes.join(left.select("u", "x"), "u").join(right.select("v", "y"), "v").select("u", "v", "x", "y")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -249,10 +274,8 @@ def groups_of(docs: DataFrame, words: int = WORDS, similar: int = SIMILAR, group
     drawn = stored(sketches(docs, words, groups, rows), "sketches")
     classes = stored(drawn.where("class is not null and doc_id is not null").groupBy("class").agg(F.min("doc_id").alias("node")), "classes")
     first = drawn.where("a is not null").join(classes, "class")
-    values = first.groupBy("node", "class").agg(F.first("a").alias("a"), F.first("b").alias("b"))
-    buckets = buckets_of(values, groups)
-    inside = buckets.select("node").distinct()
-    sets = first.join(inside, "node", "left_semi").groupBy("node", "class").agg(F.first("n_shingles").alias("n_shingles"), F.first("shingles").alias("shingles"))
+    buckets = buckets_of(first.groupBy("node", "class").agg(F.first("a").alias("a"), F.first("b").alias("b")), groups)
+    sets = sets_of(docs, stored(buckets.select("node").distinct(), "nodes"), words)
     labels = linked(buckets, stored(sets, "sets"), similar, rounds)
     roots = classes.join(labels, "node", "left").select("class", F.coalesce("root", "node").alias("root"))
     out = drawn.select("doc_id", "n_shingles", "class").join(roots, "class", "left")
