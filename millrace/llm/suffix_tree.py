@@ -35,7 +35,8 @@ from .common import stored
 DEPTH, LEAST, NATS, TAKEN = 3, 4e-6, 10.0, 0.5
 BITS = 21  #: of a node's or word's number; 1 / least has to be below 2^21 - 1
 ALL = (1 << BITS) - 1  #: instead of a symbol: any symbol
-CHUNK = 1 << 21  #: tokens that are counted together
+CHUNK = 1 << 19  #: tokens that are counted together
+WORDS = 200_000  #: distinct words after which a task hands its counts on
 END = " "  #: no word has a blank
 PART = "k long, doc_id long, held_out boolean, n_tokens long, n_frequent long, base_part double, score_part double, word string, n long"
 
@@ -199,7 +200,7 @@ def word_counts(rows: DataFrame) -> DataFrame:
             for t in b.column(0):
                 c.update(words_of(t.as_py()))
                 c[END.encode()] += 1
-                if len(c) > 500_000:
+                if len(c) > WORDS:
                     yield flush()
         yield flush()
 
