@@ -1,19 +1,20 @@
 """Operator 2: LM scoring by a probabilistic suffix tree over words.
 
 Model. Symbols are words and an end. A context (up to `depth` words that stand right before a symbol) can have
-entries (context, symbol); an entry is kept if its share of the training tokens is at least `least`, so a
-level has at most 1 / least entries, which bounds what is broadcast. Root: P(w) = (c + 0.1) / (N + 0.1 (V + 1)).
+entries (context, symbol); an entry is kept if it occurs `least` times in training (a `least` below 1 is a share
+of the training tokens), however large the corpus is. Root: P(w) = (c + 0.1) / (N + 0.1 (V + 1)).
 Else, d = 0.5 being taken off each entry and n its count:
     P(w | s) = (n(s, w) - d) / n(s)  [if there is an entry]  +  g(s) P(w | next shorter state)
 where g(s) is what the entries leave of 1. A context is a state of the tree if it passes the divergence test:
 n(s) times the divergence of its distribution from that of the next shorter state is at least `nats`.
 Each token is scored in the longest state that is a suffix of the words before it, within its document.
 
-Counting. All word counts come from one aggregation over per-task counts. Frequent words (share at least
-`least`) get numbers; level by level, per-task counts of (context, symbol) whose parts can still be entries
-are summed. Scoring adds up what the broadcast model knows in one pass; the root's part of infrequent words,
-of which there is no bounded table, is joined: one row for each document and distinct infrequent word. Such a
-word has few training rows by definition, so that join has no hot key in training data.
+Tables. The model grows with the corpus, so it is never collected or broadcast. Level k has a row for each
+distinct gram of k + 1 symbols, of training or not: its training count n, its context (all but the last symbol)
+and its suffix (all but the first), by 64-bit hashes. log10 P of a gram in its longest state comes from that of
+its suffix by a join, and from sums over its context's rows by another; so does the next level. Before a document
+stand `depth` starts, and grams with a start in them have n = 0: their contexts are never states. At last the
+grams of full length of each document are joined with their log10 P and summed.
 
 Edge cases: null or empty texts are the end alone; without training rows N = V = 0, so every token has
 probability 1; rows that are repeated, or lack a doc_id (fold: not held out), are scored one by one.
@@ -24,6 +25,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -32,13 +34,13 @@ from pyspark.sql import functions as F
 
 from .common import stored
 
-DEPTH, LEAST, NATS, TAKEN = 3, 4e-6, 10.0, 0.5
-BITS = 21  #: of a node's or word's number; 1 / least has to be below 2^21 - 1
+DEPTH, LEAST, NATS, TAKEN = 3, 2, 10.0, 0.5
+BITS = 21  #: of a node's or word's number in a Tree
 ALL = (1 << BITS) - 1  #: instead of a symbol: any symbol
-CHUNK = 1 << 19  #: tokens that are counted together
+CHUNK = 1 << 18  #: tokens that are counted together
 WORDS = 200_000  #: distinct words after which a task hands its counts on
 END = " "  #: no word has a blank
-PART = "k long, doc_id long, held_out boolean, n_tokens long, n_frequent long, base_part double, score_part double, word string, n long"
+START = "\n"  #: nor a line feed
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -67,6 +69,8 @@ class Level:
 
 @dataclass
 class Tree:
+    """The model in memory, to look at that of a small corpus; lm_scores works on tables."""
+
     ids: dict[bytes, int]  #: frequent words; the end is END
     log_base: np.ndarray
     total: int
@@ -146,26 +150,6 @@ class Tree:
             gain = np.bincount(at, level.n * (level.log_p - low), len(level.nodes)) + rest * level.log_g
             level.kept = gain * np.log(10) >= nats
 
-    def scores(self, docs: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of each document: number of frequent tokens, the root's part of them, the model's part without the
-        root's part of infrequent tokens."""
-        x, _, nodes = self.positions(docs)
-        out, open_ = np.zeros(len(x)), np.ones(len(x), bool)
-        for level, node in zip(reversed(self.levels), reversed(nodes)):
-            here = np.flatnonzero(open_ & (node >= 0))
-            here = here[level.kept[node[here]]]
-            e = np.full(len(here), -1, np.int64)
-            known = x[here] >= 0
-            e[known] = find(level.entries, node[here[known]] << BITS | x[here[known]])
-            out[here] += np.where(e >= 0, level.log_p[e], level.log_g[node[here]])
-            open_[here[e >= 0]] = False
-        known = x >= 0
-        base = np.where(known, self.log_base[x] if len(self.log_base) else 0, 0.0)
-        out += np.where(open_, base, 0.0)
-        ends = np.cumsum([len(d) + 1 for d in docs]) - 1
-        starts = np.r_[0, ends[:-1] + 1]
-        return np.add.reduceat(known.astype(np.int64), starts), np.add.reduceat(base, starts), np.add.reduceat(out, starts)
-
 
 def folds(docs: DataFrame) -> DataFrame:
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 == 0, F.lit(False))
@@ -218,13 +202,18 @@ def key_counts(rows: DataFrame, tree, at_least: int) -> DataFrame:
     return counts.groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= at_least)
 
 
+def needed(least: float, total: int) -> int:
+    """The number of occurrences that makes an entry."""
+    return max(2, int(np.ceil(least * total if least < 1 else least)))
+
+
 def fitted(rows: DataFrame, depth: int = DEPTH, least: float = LEAST, nats: float = NATS) -> Tree:
     """The tree of the training rows of folds()."""
     sc = rows.sparkSession.sparkContext
     counts = stored(word_counts(rows), "word-counts")
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    at_least = max(2, int(np.ceil(least * total)))
-    frequent = sorted((r["word"], r["n"]) for r in counts.where(F.col("n") >= at_least).collect())  # 1 / least rows at most
+    at_least = needed(least, total)
+    frequent = sorted((r["word"], r["n"]) for r in counts.where(F.col("n") >= at_least).collect())
     tree = Tree({w.encode(): k for k, (w, _) in enumerate(frequent)}, np.zeros(0), total, distinct)
     if frequent:
         tree.log_base = tree.unknown(np.array([n for _, n in frequent], float))
@@ -236,50 +225,96 @@ def fitted(rows: DataFrame, depth: int = DEPTH, least: float = LEAST, nats: floa
     return tree
 
 
+def mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """64-bit hashes of pairs of them."""
+    x = a * np.uint64(0x9E3779B97F4A7C15) + (b ^ np.uint64(0xD6E8FEB86659FD93)) * np.uint64(0xC2B2AE3D27D4EB4F)
+    x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+    return x ^ x >> np.uint64(31)
+
+
+def hashed(words: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join([blake2b(w, digest_size=8).digest() for w in words]), np.uint64)
+
+
+def grams(docs: list[list[bytes]], depth: int, k: int) -> tuple[np.ndarray, ...]:
+    """Of each token: its document's place, the gram of k + 1 symbols that ends with it, the gram's context and
+    suffix, and whether the gram is without starts."""
+    number: dict[bytes, int] = {START.encode(): 0, END.encode(): 1}
+    at = np.array([i for d in docs for i in (*[0] * depth, *[number.setdefault(w, len(number)) for w in d], 1)], np.int64)
+    x = hashed(list(number))[at]
+    size = np.array([len(d) + 1 for d in docs], np.int64)
+    doc = np.repeat(np.arange(len(docs)), size)
+    place = np.arange(len(doc)) - np.repeat(np.cumsum(size) - size, size)
+    token = np.arange(len(doc)) + depth * (doc + 1)
+    whole, suffix = x, np.zeros(len(x), np.uint64)  # of m symbols that end at each place; the first places lie in starts, where none is read
+    for m in range(1, k + 1):
+        suffix, whole = whole, mixed(whole, np.r_[x[:m], x[:-m]])
+    return doc, whole[token], suffix[token - 1], suffix[token], place >= k
+
+
+def gram_counts(rows: DataFrame, depth: int, k: int) -> DataFrame:
+    """(gram, context, suffix, n) of the distinct grams of level k; n counts training only."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = 0
+            for docs in groups(b.column(1)):
+                train = ~np.array(b.column(0).slice(at, len(docs)).to_pylist(), bool)
+                at += len(docs)
+                doc, gram, context, suffix, counts = grams(docs, depth, k)
+                found, first, inverse = np.unique(gram, return_index=True, return_inverse=True)
+                n = np.bincount(inverse, counts & train[doc], len(found)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([*[pa.array(c.view(np.int64)) for c in (found, context[first], suffix[first])], pa.array(n)], names=["gram", "context", "suffix", "n"])
+
+    found = rows.select("held_out", "text").mapInArrow(run, "gram long, context long, suffix long, n long")
+    return found.groupBy("gram", "context", "suffix").agg(F.sum("n").alias("n"))
+
+
+def level(rows: DataFrame, lower: DataFrame, depth: int, k: int, at_least: int, nats: float) -> DataFrame:
+    """(gram, c, log_p) of level k from that of level k - 1: c is the training count of the last word."""
+    low = lower.select(F.col("gram").alias("suffix"), "c", F.col("log_p").alias("low"))
+    known = stored(gram_counts(rows, depth, k).join(low, "suffix").select("gram", "context", "n", "c", "low"), f"grams-{k}")
+    entry = F.col("n") >= at_least
+    over = F.col("n") - TAKEN
+    by = known.where("n > 0").groupBy("context").agg(
+        F.sum("n").alias("whole"), F.sum(F.when(entry, over)).alias("used"), F.sum(F.when(entry, F.col("n"))).alias("inside")
+    )
+    by = by.where("used is not null").withColumn("g", F.greatest(1 - F.col("used") / F.col("whole"), F.lit(1e-12)))
+    p = F.log10(over / F.col("whole") + F.col("g") * F.pow(F.lit(10.0), "low"))
+    gain = F.sum(F.col("n") * (p - F.col("low"))) + F.first((F.col("whole") - F.col("inside")) * F.log10("g"))
+    tested = known.where(entry).join(by, "context").groupBy("context").agg(gain.alias("gain"), F.first("whole").alias("whole"), F.first("g").alias("g"))
+    states = stored(tested.where(F.col("gain") * float(np.log(10)) >= nats).select("context", "whole", "g"), f"states-{k}")
+    log_p = F.when(F.col("g").isNull(), F.col("low")).when(entry, p).otherwise(F.col("low") + F.log10("g"))
+    return stored(known.join(states, "context", "left").select("gram", "c", log_p.alias("log_p")), f"level-{k}")
+
+
 def lm_scores(docs: DataFrame, depth: int = DEPTH, least: float = LEAST, nats: float = NATS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every document."""
     rows = folds(docs)
-    tree = fitted(rows, depth, least, nats)
-    shared = docs.sparkSession.sparkContext.broadcast(tree)
-    total, distinct = tree.total, tree.distinct
+    words = stored(gram_counts(rows, depth, 0).select("gram", F.col("n").alias("c")), "words")
+    total, distinct = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0)).first()
+    base = F.log10((F.col("c") + 0.1) / (total + 0.1 * (distinct + 1)))
+    model = words.withColumn("log_p", base)
+    for k in range(1, depth + 1):
+        model = level(rows, model, depth, k, needed(least, total), nats)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree = shared.value
         for b in batches:
             at = 0
-            for group in groups(b.column(3)):
-                part = b.slice(at, len(group))
+            for group in groups(b.column(1)):
+                keys = np.array(b.column(0).slice(at, len(group)).to_pylist(), np.int64)
                 at += len(group)
-                n, base, score = tree.scores(group)
-                kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.string(), pa.int64()]
-                none = [None] * len(group)
-                whole = [part.column(0), part.column(1).cast(pa.int64()), part.column(2), [len(d) + 1 for d in group], n, base, score, none, none]
-                names = [f.split()[0] for f in PART.split(", ")]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) if not isinstance(c, pa.Array) else c for c, t in zip(whole, kinds)], names=names)
-                k, held, word, count = [], [], [], []
-                for key, h, d in zip(part.column(0).to_pylist(), part.column(2).to_pylist(), group):
-                    c = Counter([w for w in d if w not in tree.ids])
-                    if END.encode() not in tree.ids:
-                        c[END.encode()] += 1
-                    k += [key] * len(c)
-                    held += [h] * len(c)
-                    word += [w.decode() for w in c]
-                    count += c.values()
-                none = [None] * len(k)
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip([k, none, held, none, none, none, none, word, count], kinds)], names=names)
+                doc, gram, *_ = grams(group, depth, depth)
+                yield pa.RecordBatch.from_arrays([pa.array(keys[doc]), pa.array(gram.view(np.int64))], names=["k", "gram"])
 
     keyed = rows.select(F.xxhash64("doc_id", "text").alias("k"), "doc_id", "held_out", "text")
-    found = stored(keyed.mapInArrow(run, PART), "score-parts")
-    rare = found.where("word is not null").select("k", "held_out", F.xxhash64("word").alias("w"), "word", "n")
-    own = rare.where("not held_out").groupBy("word").agg(F.sum("n").alias("c"))
-    seen = rare.join(own, "word", "left").select("k", "n", F.coalesce("c", F.lit(0)).alias("c"))
-    root = F.log10((F.col("c") + 0.1) / (total + 0.1 * (distinct + 1)))
-    parts = seen.groupBy("k").agg(F.sum(F.col("n") * root).alias("b"), F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("known"))
-    whole = found.where("word is null")
+    tokens = keyed.select("k", "text").mapInArrow(run, "k long, gram long").join(model, "gram")
+    parts = tokens.groupBy("k").agg(F.count("*").alias("n"), F.count_if(F.col("c") > 0).alias("known"), F.sum(base).alias("b"), F.sum("log_p").alias("s"))
+    whole = keyed.select("k", "doc_id", "held_out")
     copies = whole.groupBy("k").agg(F.count("*").alias("copies"))
-    parts = parts.join(copies, "k").select("k", (F.col("b") / F.col("copies")).alias("b"), (F.col("known") / F.col("copies")).cast("long").alias("known"))
-    b = F.coalesce("b", F.lit(0.0))
-    return whole.join(parts, "k", "left").select(
-        "doc_id", "held_out", "n_tokens", (F.col("n_frequent") + F.coalesce("known", F.lit(0))).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
-        (F.col("base_part") + b).alias("base_score"), (F.col("score_part") + b).alias("score"),
+    parts = parts.join(copies, "k").select("k", *[(F.col(c) / F.col("copies")).alias(c) for c in ("n", "known", "b", "s")])
+    return whole.join(parts, "k").select(
+        "doc_id", "held_out", F.col("n").cast("long").alias("n_tokens"), F.col("known").cast("long").alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
+        F.col("b").alias("base_score"), F.col("s").alias("score"),
     )

@@ -100,3 +100,18 @@ def test_empty(spark):
     assert suffix_tree.lm_scores(spark.createDataFrame([], "doc_id long, text string")).collect() == []
     got = suffix_tree.lm_scores(spark.createDataFrame([(1, None)], "doc_id long, text string")).collect()
     assert [tuple(r)[:5] for r in got] == [(1, False, 1, 1, 1)]
+
+
+def test_a_phrase_stays_learned_as_the_corpus_grows(spark):
+    phrase = "zither quell ombre vexed knoll jumps"
+    gains = []
+    for n in (200, 40_000):  # of 840,000 tokens a share of 4e-6 is more than three
+        r = random.Random(n)
+        rows = [(i, " ".join(f"f{r.randrange(50)}" for _ in range(20))) for i in range(n)]
+        train = [i for i, _ in rows if zlib.crc32(str(i).encode()) % 10][:3]
+        held = next(i for i, _ in rows if zlib.crc32(str(i).encode()) % 10 == 0)
+        rows = [(i, phrase if i in train or i == held else t) for i, t in rows]
+        docs = spark.createDataFrame(rows, "doc_id long, text string")
+        got = suffix_tree.lm_scores(docs).where(f"doc_id = {held}").first()
+        gains.append(got.score - got.base_score)
+    assert gains[0] > 3 and gains[1] > gains[0]
