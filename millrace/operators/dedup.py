@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions import text as T
@@ -23,7 +23,10 @@ def coefficients(k: int) -> list[tuple[int, int]]:
 
 def minhash(rows: DataFrame, k: int = 16) -> DataFrame:
     """(doc_id, h0..): the minima of (a * s + b) mod 2^61 - 1 over the set; partial aggregates, one shuffle."""
-    value = lambda a, b: ((F.col("s").cast("decimal(20,0)") * F.lit(a).cast("decimal(17,0)") + F.lit(b).cast("decimal(17,0)")) % F.lit(P).cast("decimal(20,0)")).cast("long")
+    # a < 2^27 and s < 2^60, so in two halves of s nothing exceeds 63 bits; times 2^30 is a rotation of 61 bits
+    high, low = F.shiftright("s", 30), F.col("s").bitwiseAND((1 << 30) - 1)
+    turned = lambda x: F.shiftright(x, 31) + F.shiftleft(x.bitwiseAND((1 << 31) - 1), 30)
+    value = lambda a, b: (turned(high * F.lit(a).cast("long")) + low * F.lit(a).cast("long") + F.lit(b).cast("long")) % F.lit(P).cast("long")
     return rows.groupBy("doc_id").agg(*[F.min(value(a, b)).alias(f"h{i}") for i, (a, b) in enumerate(coefficients(k))])
 
 
@@ -34,10 +37,22 @@ def bands(signatures: DataFrame, k: int, r: int) -> DataFrame:
 
 
 def candidates(signatures: DataFrame, k: int = 16, r: int = 4) -> DataFrame:
-    """(a, b) of documents that agree in a band with the least document of their bucket: links, not all pairs."""
+    """(a, b) of all documents that agree in a band, a < b."""
     rows = bands(signatures, k, r)
-    least = rows.groupBy("key").agg(F.min("doc_id").alias("a"), F.count("*").alias("n")).where("n > 1")
-    return rows.join(least, "key").where("doc_id > a").select("a", F.col("doc_id").alias("b")).distinct()
+    return rows.withColumnRenamed("doc_id", "a").join(rows.withColumnRenamed("doc_id", "b"), "key").where("a < b").select("a", "b").distinct()
+
+
+def similar_pairs(rows: DataFrame, least: float = 0.8) -> DataFrame:
+    """(a, b, jaccard) of all documents of similarity `least`, exact. Sets that are so similar share one of their
+    rarest n - ceil(least * n) + 1 shingles, so a join on those finds every pair."""
+    t = least - 5e-7  # similarities are rounded
+    size = rows.groupBy("doc_id").agg(F.count("*").alias("n"))
+    df = rows.groupBy("s").agg(F.count("*").alias("df"))
+    place = F.row_number().over(Window.partitionBy("doc_id").orderBy("df", "s"))
+    rare = rows.join(df, "s").join(size, "doc_id").withColumn("place", place).where(F.col("place") <= F.col("n") - F.ceil(t * F.col("n")) + 1).where("df > 1")
+    x, y = rare.select("s", F.col("doc_id").alias("a"), F.col("n").alias("na")), rare.select("s", F.col("doc_id").alias("b"), F.col("n").alias("nb"))
+    pairs = x.join(y, "s").where("a < b").where(F.least("na", "nb") >= t * F.greatest("na", "nb")).select("a", "b").distinct()
+    return similarities(pairs, rows).where(F.col("jaccard") >= least)
 
 
 def similarities(pairs: DataFrame, rows: DataFrame) -> DataFrame:

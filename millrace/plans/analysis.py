@@ -105,7 +105,7 @@ def minhash_signatures(spark, d):
 @query(f"WITH {MH} SELECT a, b, jaccard FROM jac WHERE jaccard >= 0.8")
 def minhash_lsh_pairs(spark, d):
     rows = rows_of(spark, d)
-    return N.similarities(N.candidates(N.minhash(rows)), rows).where("jaccard >= 0.8")
+    return N.similarities(N.candidates(N.minhash(rows, 48), 48, 3), rows).where("jaccard >= 0.8")  # 16 bands of 3: 0.99999 at 0.8
 
 
 @query(f"WITH {MH} SELECT a, b, round(({' + '.join(f'CAST(x.h{i} = y.h{i} AS INT)' for i in range(16))}) / 16, 6) AS estimate FROM cand JOIN mh x ON x.doc_id = a JOIN mh y ON y.doc_id = b")
@@ -119,7 +119,7 @@ def jaccard_estimates(spark, d):
 def lsh_pair_scores(spark, d):
     rows = rows_of(spark, d)
     pairs = N.candidates(N.minhash(rows))
-    return N.pair_scores(pairs, N.similarities(pairs, rows).where("jaccard >= 0.8"))
+    return N.pair_scores(pairs, N.similar_pairs(rows))
 
 
 @query(f"WITH {SH} SELECT doc_id, CAST({' + '.join(f'(CASE WHEN sum(CASE WHEN (s >> {i}) & 1 = 1 THEN 1 ELSE -1 END) > 0 THEN {1 << i} ELSE 0 END)::BIGINT' for i in range(60))} AS BIGINT) AS simhash FROM sh GROUP BY doc_id")
