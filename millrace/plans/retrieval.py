@@ -62,12 +62,12 @@ def tfidf_topk(spark, d):
 
 def rrf_fusion(spark, d):
     c = corpus(spark, d)
-    return R.rrf([R.bm25(*c, k=50), R.tfidf(*c, k=50)])
+    return R.rrf([R.bm25(*c, k=None), R.tfidf(*c, k=None)])
 
 
 def weighted_fusion(spark, d):
     c = corpus(spark, d)
-    return R.weighted_fusion(R.bm25(*c, k=50), R.tfidf(*c, k=50))
+    return R.weighted_fusion(R.bm25(*c, k=None), R.tfidf(*c, k=None))
 
 
 def interleave(spark, d):
@@ -111,7 +111,7 @@ def head_to_head(spark, d):
 
 def sweep_alpha(spark, d):
     c = corpus(spark, d)
-    a, b, rel, out = R.bm25(*c, k=50), R.tfidf(*c, k=50), relevant(*c), None
+    a, b, rel, out = R.bm25(*c, k=None), R.tfidf(*c, k=None), relevant(*c), None
     for alpha in (0.0, 0.25, 0.5, 0.75, 1.0):
         part = R.query_metrics(R.weighted_fusion(a, b, alpha), rel).agg(F.lit(alpha).alias("alpha"), F.round(F.avg("rr"), 5).alias("mrr"))
         out = part if out is None else out.unionByName(part)
