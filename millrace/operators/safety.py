@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +19,7 @@ IP = r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}"
 PHONE = r"(?:\+[0-9]{1,3} )?\([0-9]{3}\) [0-9]{3}-[0-9]{4}"
 SECRET = r"(?:AKIA[A-Z0-9]{16}|ghp_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,})"
 KINDS = {"EMAIL": EMAIL, "SSN": SSN, "CARD": CARD, "IP": IP, "PHONE": PHONE, "SECRET": SECRET}
+PRIORITY = ("CARD", "SECRET", "SSN", "PHONE", "IP", "EMAIL")  #: of spans of equal start and length
 #: fixed values: cue patterns with their weights; each counts once
 CUES = (
     ("override", 3.0, r"\b(?:ignore|disregard|forget)\b.{0,40}\b(?:previous|prior|above|earlier)\b"),
@@ -44,12 +50,45 @@ def pii_counts(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", *[F.size(found(F.col("text"), k)).alias(k.lower()) for k in KINDS])
 
 
+def valid(kind: str, value: str) -> bool:
+    """The checks of found(), of one candidate."""
+    if kind == "SSN":
+        return value[:3] not in ("000", "666") and value[0] != "9" and value[4:6] != "00" and value[7:] != "0000"
+    if kind == "CARD":
+        bare = re.sub("[ -]", "", value)
+        twice = [int(c) * (1 + i % 2) for i, c in enumerate(reversed(bare))]
+        return bool(re.match("4|5[1-5]|3[47]|6011|65", bare)) and sum(x // 10 + x % 10 for x in twice) % 10 == 0
+    return kind != "IP" or max(map(int, value.split("."))) <= 255
+
+
+def labelled(text: str) -> str:
+    """The text with every span of a kind replaced by [TYPE_n]. Of spans that overlap the first stays, then the longer,
+    then that of higher priority; equal values of a type have one n, by first occurrence."""
+    spans = [(m.start(), -m.end(), rank, kind) for rank, kind in enumerate(PRIORITY) for m in re.finditer(KINDS[kind], text) if valid(kind, m[0])]
+    labels: dict[tuple[str, str], str] = {}
+    count: Counter = Counter()
+    out, at = [], 0
+    for i, minus, _, kind in sorted(spans):
+        if i < at:
+            continue
+        key = kind, text[i:-minus]
+        if key not in labels:
+            count[kind] += 1
+            labels[key] = f"[{kind}_{count[kind]}]"
+        out += [text[at:i], labels[key]]
+        at = -minus
+    return "".join([*out, text[at:]])
+
+
 def redacted(docs: DataFrame) -> DataFrame:
-    """Texts whose e-mail addresses, social security and phone numbers are replaced by their kind in brackets."""
-    t = F.coalesce(F.col("text"), F.lit(""))
-    for kind in ("EMAIL", "SSN", "PHONE"):
-        t = F.regexp_replace(t, KINDS[kind], f"[{kind}]")
-    return docs.select("doc_id", t.alias("text"))
+    """Texts whose personal data and secrets, of all kinds, are replaced by labels; row by row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.set_column(1, "text", pa.array([labelled(t.as_py() or "") for t in b.column(1)], pa.string()))
+
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(run, rows.schema)
 
 
 def cue_score(docs: DataFrame) -> DataFrame:
