@@ -1,11 +1,13 @@
 """Operator 8: secret scan.
 
 Base kinds are patterns: assign (a value given to a password-like name), access (access key ids), hex (long
-runs of hexadecimal digits). The token-efficiency test adds kind `random`: a run of 20 or more characters of
-A-Z a-z 0-9 + / = _ - that holds letters and digits and takes so many tokens of a tiktoken vocabulary that a
-token covers fewer than 2 characters on average. Written language and identifiers are covered by long
-tokens; random strings are not. Left out are known digests (hexadecimal of 32, 40, 56, 64, 96 or 128 digits,
-UUIDs), identifiers (words joined by _ or -, words ending in a number) and whatever overlaps a base span.
+runs of hexadecimal digits). The token-efficiency test adds kind `random`: of a run of 20 or more characters of
+A-Z a-z 0-9 + / = _ - what takes so many tokens of a tiktoken vocabulary that a token covers fewer than 2
+characters on average. Written language and identifiers are covered by long tokens; random strings are not. The
+test takes what base spans leave of a run, first as a whole, then of each 20 characters or more of pieces between
+/ _ - in a row that aren't words, so ordinary words beside a key don't hide it. A word is up to 4 digits, or
+letters with up to 4 digits behind them that are fewer than 8 or efficient in tokens. Left out are known digests
+(hexadecimal of 32, 40, 56, 64, 96 or 128 digits, UUIDs), runs of words and of digits.
 
 Offsets are code points, ends exclusive. Edge cases: null and empty texts have no spans; rows are independent.
 """
@@ -29,7 +31,10 @@ KINDS = ("assign", "access", "hex", "random")
 LEAST, RATIO = 20, 2.0
 RUN = re.compile(rf"(?<![A-Za-z0-9+/=_-])[A-Za-z0-9+/_-]{{{LEAST},}}=*")
 DIGEST = re.compile(r"(?i:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{56}|[0-9a-f]{64}|[0-9a-f]{96}|[0-9a-f]{128}|[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12})=*")
-IDENTIFIER = re.compile(r"(?:(?:[A-Za-z]+[0-9]{0,4}|[0-9]{1,4})(?:[/_-]+|=*$))+|[0-9+/_=-]+")
+PIECE = re.compile(r"[^/_-]+")
+WORD = re.compile(r"([A-Za-z]*)[0-9]{0,4}=*")
+NUMBERS = re.compile(r"[0-9+/_=-]+")
+SHORT = 8  #: letters from which a word is tested
 Span = tuple[int, int, int]
 
 
@@ -54,16 +59,50 @@ def base_spans(text: str) -> list[Span]:
     return sorted(out)
 
 
+def outside(i: int, j: int, base: list[Span]) -> list[tuple[int, int]]:
+    """What base spans leave of i..j."""
+    out = []
+    for start, _, end in base:
+        if start < j and end > i:
+            out.append((i, start))
+            i = max(i, end)
+    return [(a, b) for a, b in [*out, (i, j)] if a < b]
+
+
 def random_spans(text: str, base: list[Span], encoding, ratio: float = RATIO) -> list[Span]:
+    def dense(s: str) -> bool:
+        return len(s) < ratio * len(encoding.encode_ordinary(s))
+
+    def word(s: str) -> bool:
+        m = WORD.fullmatch(s)
+        return bool(m) and (len(m[1]) < SHORT or not dense(m[1]))
+
+    def rest(i: int, j: int) -> list[tuple[int, int]]:
+        """What base spans leave of i..j, if it is random."""
+        left = outside(i, j, base)
+        s = "".join([text[a:b] for a, b in left])
+        random = j - i >= LEAST and not DIGEST.fullmatch(s) and not NUMBERS.fullmatch(s) and dense(s)
+        return left if random else []
+
     out: list[Span] = []
     for m in RUN.finditer(text):
-        run, (i, j) = m[0], m.span()
-        if not any(c.isdigit() for c in run) or DIGEST.fullmatch(run) or IDENTIFIER.fullmatch(run):
+        if DIGEST.fullmatch(m[0]) or NUMBERS.fullmatch(m[0]):
             continue
-        if any(i < end and start < j for start, _, end in base):
+        pieces = [(m.start() + p.start(), m.start() + p.end()) for p in PIECE.finditer(m[0])]
+        left = [outside(i, j, base) for i, j in pieces]
+        strange = [any(not word(text[a:b]) for a, b in x) for x in left]
+        if not any(strange):
             continue
-        if len(run) < ratio * len(encoding.encode_ordinary(run)):
-            out.append((i, 3, j))
+        found = rest(*m.span())
+        if not found:
+            first = last = None
+            for (i, j), x, is_strange in [*zip(pieces, left, strange), ((0, 0), [(0, 0)], False)]:
+                if is_strange:
+                    first, last = i if first is None else first, j
+                elif x and first is not None:  # a piece that lies within base spans ends nothing
+                    found += rest(first, last)
+                    first = None
+        out += [(a, 3, b) for a, b in found]
     return out
 
 
