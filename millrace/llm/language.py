@@ -3,8 +3,8 @@
 Features are the byte n-grams (n = 2, 3, 4) of the lower-cased text with white space made one blank, hashed
 into `buckets` rows of an embedding matrix; a text is the average of its rows, a linear softmax gives the
 languages. Embeddings and weights are trained together by stochastic gradient descent in numpy on the
-driver, on a bounded sample of labelled rows (`SAMPLE`, a parameter): those of least hash of doc_id, drawn
-evenly from the languages. A fifth of the sample is kept back: on it a temperature is fitted, so that the
+driver, on a sample of labelled rows (`SAMPLE`, a parameter): those of least hash of doc_id, drawn evenly from
+the languages, one row of each at least; longer texts are trained on in pieces from all over them. A fifth of the sample is kept back: on it a temperature is fitted, so that the
 score is a probability, and the rejection threshold is set as the score that all but `SLACK` of correctly
 labelled texts exceed. For prediction, embedding and weights are multiplied out (bucket x language), which
 is what executors get; its size is fixed by the parameters. A text is read in slices, so memory is bounded.
@@ -23,9 +23,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import stored
+from .near_dedup import few
+
 SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double, rejected boolean"
 BUCKETS, DIM, SAMPLE, HEAD = 1 << 16, 16, 4000, 1500
 EPOCHS, BATCH, RATE, SEED, SLACK = 6, 32, 0.5, 7, 0.001
@@ -85,9 +88,17 @@ def predict(text: str | None, m: Model) -> tuple[str, float, bool]:
     return m.langs[k], float(min(1.0, p[k])), bool(p[k] < m.threshold)
 
 
+def spread(text: str, rng: np.random.Generator) -> str:
+    """HEAD characters of a longer text, in ten pieces from all over it."""
+    if len(text) <= HEAD:
+        return text
+    part, size = len(text) / 10, HEAD // 10
+    return " ".join(text[at : at + size] for at in (int(k * part + rng.uniform(0, part - size)) for k in range(10)))
+
+
 def train(texts: list[str], langs: list[str], seed: int = SEED) -> Model:
-    """Trains on four fifths of the rows and calibrates on the rest; a text counts with its first HEAD characters,
-    and once more with a short piece of them, so that short texts are known too."""
+    """Trains on four fifths of the rows and calibrates on the rest, on whole texts; in training a text counts with
+    HEAD characters from all over it, and once more with a short piece of them, so that short texts are known too."""
     names = sorted(set(langs))
     if not names:
         return Model([], np.zeros((BUCKETS, 0)), np.zeros(0), 1.0, 0.0)
@@ -98,7 +109,7 @@ def train(texts: list[str], langs: list[str], seed: int = SEED) -> Model:
     grams: list[np.ndarray] = []
     target: list[int] = []
     for k in fit:
-        head = texts[k][:HEAD]
+        head = spread(texts[k], rng)
         at = int(rng.integers(0, max(1, len(head) - 60)))
         for piece in (head, head[at : at + int(rng.integers(15, 60))]):
             b = buckets_of(piece)
@@ -132,8 +143,7 @@ def train(texts: list[str], langs: list[str], seed: int = SEED) -> Model:
         m.temperature = float(min(loss)[1])
         p = softmax(z / m.temperature)
         right = p.max(1)[p.argmax(1) == y[rows]]
-        # half the least score that all but SLACK of the right ones exceed: what lies below is unlike all that was seen
-        m.threshold = 0.5 * float(np.quantile(right, SLACK)) if len(right) else 0.0
+        m.threshold = float(np.quantile(right, SLACK)) if len(right) else 0.0
     return m
 
 
@@ -143,19 +153,17 @@ def fold(doc_id: Column) -> Column:
 
 
 def sample(docs: DataFrame, size: int = SAMPLE) -> DataFrame:
-    """The training rows: text and lang of at most `size` documents outside fold 2, by language and hash of id."""
+    """The training rows: text and lang of about `size` documents outside fold 2, equally many of each language and one
+    at least, by hash of id."""
     rows = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & (F.coalesce(fold(F.col("doc_id")), F.lit(0)) != 2))
-    langs = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(256).collect()
-    per = max(1, size // max(1, len(langs)))
-    rows = rows.withColumn("h", F.xxhash64("doc_id", "text"))
-    picked = None
-    for lang, n in langs:
-        # hashes are uniform: below this share of them lie three times the rows that are needed, so few rows meet in the sort
-        share = min(1.0, 3 * per / n)
-        part = rows.where((F.col("lang") == lang) & (F.pmod("h", F.lit(1 << 30)) <= int(share * (1 << 30))))
-        part = part.select("lang", F.substring("text", 1, HEAD).alias("text"), "h").orderBy(F.pmod("h", F.lit(1 << 30)), "h", "text").limit(per)
-        picked = part if picked is None else picked.unionByName(part)
-    return picked if picked is not None else docs.select("lang", "text", F.lit(0).cast("long").alias("h")).limit(0)
+    langs = stored(rows.groupBy("lang").agg(F.count("*").alias("n")), "langs")
+    per = max(1, size // max(1, langs.count()))
+    h = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30))
+    # hashes are uniform: below this share of them lie three times the rows that are needed, so few rows meet in the sort
+    near = rows.select("lang", "text", "doc_id").join(few(langs), "lang").where(h <= F.least(F.lit(1.0), 3 * per / F.col("n")) * (1 << 30))
+    near = near.select("lang", "text", F.xxhash64("doc_id", "text").alias("h"))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod("h", F.lit(1 << 30)), "h", "text"))
+    return near.withColumn("place", place).where(F.col("place") <= per).drop("place")
 
 
 def fitted(docs: DataFrame, size: int = SAMPLE) -> Model:

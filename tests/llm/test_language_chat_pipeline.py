@@ -103,3 +103,30 @@ def test_pipeline(spark, tmp_path):
         step = after
     kept = {r.doc_id: r.text for r in step.collect()}
     assert kept[105].endswith("[assign]") and kept[3] == docs[3][1]
+
+
+def test_junk_and_an_unlearned_language_are_rejected():
+    rows = labelled(5, 500)
+    m = language.train([t for _, t, _ in rows], [x for _, _, x in rows])
+    r = random.Random(6)
+    other = [" ".join("".join(r.choice(["ова", "ски", "ть", "лен"]) for _ in range(r.randint(1, 3))) for _ in range(40)) for _ in range(30)]
+    junk = ["".join(r.choice("qxzjkvpfb") for _ in range(200)) for _ in range(30)]
+    assert all(language.predict(t, m)[2] for t in other + junk)
+    fresh = labelled(7, 300)
+    assert np.mean([language.predict(t, m)[2] for _, t, _ in fresh]) < 0.05
+
+
+def test_every_label_is_sampled_with_whole_texts(spark):
+    rows = [(k, f"text {k} " * 400, f"l{k % 300:03}") for k in range(1800)]
+    got = language.sample(spark.createDataFrame(rows, "doc_id long, text string, lang string"), 600).collect()
+    assert len({r.lang for r in got}) == 300 and len(got) <= 600
+    assert all(r.text == rows[int(r.text.split()[1])][1] for r in got)
+
+
+def test_a_foreign_header_does_not_stand_for_the_text():
+    rows = labelled(8, 300)
+    of = lambda x: " ".join(t for _, t, y in rows if y == x)
+    text = of("aa")[: language.HEAD] + " " + of("bb")
+    piece = language.spread(text, np.random.default_rng(1))
+    m = language.train([t for _, t, _ in rows], [x for _, _, x in rows])
+    assert len(piece) < language.HEAD + 20 and language.predict(piece, m)[0] == "bb"
