@@ -320,7 +320,6 @@ class Codec:
         self.cells: dict[str, bytes] = {}
         top = max(self.text, default=-1) + 1
         self.number = [str(i) for i in range(top)]
-        self.written = [self.text.get(i, "") for i in range(top)]
 
     def normal(self, text: str) -> str:
         if not text.isascii():
@@ -473,15 +472,17 @@ class Decoder:
         self.of = {c: b for b, c in codec.alphabet.items()}
 
     def feed(self, ids: Iterable[int]) -> str:
+        if self.mode == "joined":
+            tokens = [t for t in map(self.codec.text.get, ids) if t is not None]  # the library skips unknown ids
+            text = " ".join(tokens) if self.first or not tokens else " " + " ".join(tokens)
+            self.first = self.first and not tokens
+            return text
         out = []
         for i in ids:
             token = self.codec.text.get(i)
             if token is None:
                 continue  # as the library does with ids that it doesn't know
-            if self.mode == "joined":
-                out.append(token if self.first else " " + token)
-                self.first = False
-            elif token in self.codec.special:
+            if token in self.codec.special:
                 out.append(self.machine.decode(b"", True) + token)
                 self.machine.reset()
             else:
@@ -523,10 +524,11 @@ def digest_all(texts: list[str | None], c: Codec) -> Iterator[tuple[int, str, st
             group.append(c.split(texts[at] or ""))
             at += 1
         for ids in c.encode(group):
+            d = Decoder(c)
             yield (
                 len(ids),
                 hashlib.sha256(" ".join(map(c.number.__getitem__, ids)).encode()).hexdigest(),
-                hashlib.sha256(" ".join(map(c.written.__getitem__, ids)).encode()).hexdigest(),
+                hashlib.sha256((d.feed(ids) + d.finish()).encode()).hexdigest(),
             )
 
 

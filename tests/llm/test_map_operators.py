@@ -202,3 +202,12 @@ def test_secrets_beside_words_and_base_spans(spark):
     assert [got[k] for k in range(len(HIDDEN))] == [w for _, w in HIDDEN]
     kept = {r.doc_id: r.text for r in secrets.redact(docs).collect()}
     assert kept[2] == "[random][hex][random]" and kept[0] == "key [random] done"
+
+
+def test_short_texts_go_through_the_decoder(monkeypatch):
+    texts, c, fed = [t for t in EDGE if t] + mixed(4, 20, 40), bpe.codec(), []
+    before = list(bpe.digest_all(texts, c))
+    feed = bpe.Decoder.feed
+    monkeypatch.setattr(bpe.Decoder, "feed", lambda self, ids: fed.append(len(list(ids))) or feed(self, ids))
+    assert list(bpe.digest_all(texts, c)) == before and fed == [n for n, *_ in before]
+    assert [bpe.digest_long(t, c) for t in texts] == before
