@@ -7,8 +7,13 @@ from pyspark.sql import functions as F
 
 WORD = r"[\p{L}\p{N}]+"
 COMPOUND = r"[\p{L}\p{N}]+(?:[-_][\p{L}\p{N}]+)*"
-#: fixed values: words that carry no content
-STOPWORDS = ("a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "in", "is", "it", "of", "on", "or", "that", "the", "this", "to", "was", "were", "with")
+#: fixed values: function words, which carry no content of a claim
+STOPWORDS = tuple(
+    """a an the and or but if that this these those is are was were be been being it its of in on at to for from with by as so do does did has have
+    had having can could will would should when while than then there their they them we you which what who whose how where why also such""".split()
+)
+#: fixed values: words that queries are stripped of
+QUERY_STOPWORDS = tuple("a an and are as at be but by can do does for from has have how i if in is it its my of on or so that the this to was what when where which why will with you your".split())
 #: fixed values: digits and signs read as letters
 LEET = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s"}
 
@@ -50,22 +55,30 @@ def folded_space(text: Column) -> Column:
     return F.trim(F.regexp_replace(folded(text), r"\s+", " "))
 
 
+def let(value: Column, f) -> Column:
+    """f(value), with value computed once."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def stem(word: Column) -> Column:
-    """Light suffix stripping: ies to y, plural s, ing, ed, last e; a doubled last consonant is made single."""
+    """Suffix stripping of words of more than three letters: the plural (ies to y, s but not ss), then ing or ed, behind
+    which a doubled consonant other than l, s, z is made single, then a last e."""
 
     def single(w: Column) -> Column:
         return F.when(F.length(w) > 3, F.regexp_replace(w, r"([bcdfghjkmnpqrtv])\1$", "$1")).otherwise(w)
 
-    n = F.length(word)
-    cut = lambda k: F.left(word, n - k)
-    return (
-        F.when((n > 4) & word.endswith("ies"), F.concat(cut(3), lit("y")))
-        .when((n > 5) & word.endswith("ing"), single(cut(3)))
-        .when((n > 4) & word.endswith("ed"), single(cut(2)))
-        .when((n > 3) & word.endswith("s") & ~word.endswith("ss"), cut(1))
-        .when((n > 4) & word.endswith("e"), cut(1))
-        .otherwise(word)
-    )
+    cut = lambda w, k: F.left(w, F.length(w) - k)
+    plural = lambda w: F.when((F.length(w) > 4) & w.endswith("ies"), F.concat(cut(w, 3), lit("y"))).when(w.endswith("s") & ~w.endswith("ss"), cut(w, 1)).otherwise(w)
+    ending = lambda w: F.when((F.length(w) > 5) & w.endswith("ing"), single(cut(w, 3))).when((F.length(w) > 4) & w.endswith("ed"), single(cut(w, 2))).otherwise(w)
+    last_e = lambda w: F.when((F.length(w) > 4) & w.endswith("e"), cut(w, 1)).otherwise(w)
+    return F.when(F.length(word) <= 3, word).otherwise(let(let(let(word, plural), ending), last_e))
+
+
+def stemmed(text: Column) -> Column:
+    """Stems of the ASCII words of a text; words joined by - or _ are there whole and in parts; stop words are left out."""
+    raw = F.regexp_extract_all(F.lower(F.coalesce(text, lit(""))), lit(r"[a-z0-9]+(?:[-_][a-z0-9]+)*"), lit(0))
+    every = F.flatten(F.transform(raw, lambda w: F.when(w.rlike("[-_]"), F.concat(F.array(w), F.split(w, "[-_]"))).otherwise(F.array(w))))
+    return F.transform(F.filter(every, lambda w: ~w.isin(*QUERY_STOPWORDS)), stem)
 
 
 def shingles(tokens: Column, n: int) -> Column:
@@ -80,9 +93,11 @@ def hash60(text: Column) -> Column:
 
 
 def fnv1a(text: Column) -> Column:
-    """32-bit FNV-1a over the code points."""
-    codes = F.transform(F.filter(F.split(text, ""), lambda c: c != ""), lambda c: F.ascii(c).cast("long"))
-    return F.aggregate(codes, lit(2166136261).cast("long"), lambda h, c: ((h.bitwiseXOR(c)) * 16777619).bitwiseAND(4294967295))
+    """32-bit FNV-1a over the UTF-16 units."""
+    code = F.hex(F.encode(text, "UTF-16BE"))
+    units = F.when(F.length(code) > 0, F.transform(F.sequence(lit(1), F.length(code) - 3, lit(4)), lambda i: F.conv(F.substring(code, i, 4), 16, 10).cast("long")))
+    units = F.coalesce(units, F.array().cast("array<bigint>"))
+    return F.aggregate(units, lit(2166136261).cast("long"), lambda h, c: ((h.bitwiseXOR(c)) * 16777619).bitwiseAND(4294967295))
 
 
 def luhn(digits: Column) -> Column:

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import base64
+import math
 import re
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 
@@ -12,71 +15,130 @@ from pyspark.sql import functions as F
 
 from millrace.functions import text as T
 
+#: fixed values: what candidates of each kind look like
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
+PHONE_ABROAD = r"\+[0-9][0-9 .()-]{6,18}[0-9]"
+PHONE_HOME = r"\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}"
 SSN = r"[0-9]{3}-[0-9]{2}-[0-9]{4}"
-CARD = r"[0-9](?:[ -]?[0-9]){12,18}"
-IP = r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}"
-PHONE = r"(?:\+[0-9]{1,3} )?\([0-9]{3}\) [0-9]{3}-[0-9]{4}"
-SECRET = r"(?:AKIA[A-Z0-9]{16}|ghp_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,})"
-KINDS = {"EMAIL": EMAIL, "SSN": SSN, "CARD": CARD, "IP": IP, "PHONE": PHONE, "SECRET": SECRET}
+CARD = r"[0-9](?:[ -]?[0-9]){11,18}"
+IP = r"(?:[0-9]{1,3}\.){3}[0-9]{1,3}"
+SECRET = r"\b(?:sk-[A-Za-z0-9_-]{16,}|ghp_[A-Za-z0-9]{20,}|gho_[A-Za-z0-9]{20,}|AKIA[0-9A-Z]{16}|xox[abp]-[A-Za-z0-9-]{10,})\b"
+KEYLIKE = r"[A-Za-z0-9_\-+/=]{20,}"
+ENTROPY = 4.0  #: bits a character from which a key-like run is a secret
 PRIORITY = ("CARD", "SECRET", "SSN", "PHONE", "IP", "EMAIL")  #: of spans of equal start and length
-#: fixed values: cue patterns with their weights; each counts once
-CUES = (
-    ("override", 3.0, r"\b(?:ignore|disregard|forget)\b.{0,40}\b(?:previous|prior|above|earlier)\b"),
-    ("role", 2.0, r"\byou are now\b|\bact as\b|\bpretend to be\b"),
-    ("reveal", 3.0, r"\b(?:reveal|print|show|repeat)\b.{0,40}\b(?:system prompt|instructions|hidden)\b"),
-    ("unlock", 4.0, r"\b(?:jailbreak|developer mode|no restrictions)\b"),
-    ("insult", 2.0, r"\b(?:idiot|pathetic|stupid|moron|worthless)\b"),
-)
+#: fixed values: rules on normalised text, with category and weight; each counts once
+RULES = (
+    ("override.ignore-instructions", 3, r"\b(?:ignore|disregard|forget|drop)\b[^.!?\n]{0,50}?\b(?:previous|prior|above|earlier|original|all)\b[^.!?\n]{0,50}?\b(?:instructions?|rules?|prompts?|guidelines?|directives?)\b"),
+    ("override.supersede", 3, r"\b(?:this message|the following|these instructions|my message)\b[^.!?\n]{0,40}?\b(?:overrides?|supersedes?|replaces?|takes? priority over)\b[^.!?\n]{0,40}?\b(?:instructions?|rules?|prompts?|configuration)\b"),
+    ("exfiltration.system-prompt", 3, r"\b(?:reveal|show|print|repeat|output|display|share|paste|recite)\b[^.!?\n]{0,50}?\b(?:system|initial|hidden|original|secret|internal)\b[^.!?\n]{0,30}?\b(?:prompt|instructions?|message|rules?|configuration)\b"),
+    ("exfiltration.ask-instructions", 2, r"\bwhat\b[^.!?\n]{0,30}?\b(?:are|were)\b[^.!?\n]{0,30}?\byour\b[^.!?\n]{0,30}?\b(?:instructions|rules|guidelines|system prompt)\b"),
+    ("hijack.new-identity", 2, r"\byou are (?:now|no longer)\b"),
+    ("hijack.no-rules-roleplay", 3, r"\b(?:pretend|imagine|act as if|behave as if|roleplay)\b[^.!?\n]{0,60}?\b(?:no (?:rules|restrictions|guidelines|filters)|unrestricted|without (?:any )?(?:rules|restrictions|filters|limits))\b"),
+    ("hijack.developer-mode", 3, r"\b(?:developer mode|dan mode|jailbreak(?:ed|ing)? mode|god mode)\b"),
+    ("smuggling.role-tag", 3, r"(?:^|\n)\s*(?:system|assistant)\s*:"),
+    ("smuggling.chat-template", 4, r"<\|im_start\|>|\[\/?(?:inst|sys)\]|<<\/?sys>>"),
+    ("smuggling.markdown-system", 2, r"(?:^|\n)#{1,4}\s*(?:system|new instructions)\b"),
+)
+PAYLOAD = "encoding.base64-payload", 2  #: fixed value: a base64 payload that fires a rule that hadn't
+PATTERNS = [(name, weight, re.compile(p, re.A)) for name, weight, p in RULES]
+#: fixed values: letters of other alphabets that look like Latin ones
+HOMOGLYPHS = {"а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x", "і": "i", "ѕ": "s", "ο": "o", "α": "a"}
+ZERO_WIDTH = re.compile("[\u200b-\u200d\u2060\ufeff]")
+SPACED = re.compile(r"(?<![\w.-])(?:[a-z0-9][ .·_-]){3,}[a-z0-9](?![\w.-])", re.A)
+BASE64 = re.compile(r"[A-Za-z0-9+/]{24,}={0,2}")
 NEGATIONS = ("no", "not", "never", "none", "without", "cannot", "nor")
+Span = tuple[int, int, str]
+
+
+def luhn(digits: str) -> bool:
+    twice = [int(c) * (1 + i % 2) for i, c in enumerate(reversed(digits))]
+    return sum(x // 10 + x % 10 for x in twice) % 10 == 0
+
+
+def entropy(text: str) -> float:
+    return -sum(n / len(text) * math.log2(n / len(text)) for n in Counter(text).values())
+
+
+def candidates(text: str) -> Iterator[Span]:
+    """Spans (start, end, type) of all kinds, overlaps and all. What stands before and behind a candidate must not make
+    it a part of something longer."""
+
+    def around(m: re.Match) -> tuple[str, str]:
+        return text[max(0, m.start() - 1) : m.start()], text[m.end() : m.end() + 1]
+
+    for m in re.finditer(CARD, text):
+        digits, (before, after) = re.sub("[ -]", "", m[0]), around(m)
+        if 13 <= len(digits) <= 19 and not re.search("[0-9-]", before + after) and re.match("4|5[1-5]|3[47]|6011|65", digits) and luhn(digits):
+            yield m.start(), m.end(), "CARD"
+    secrets = [m.span() for m in re.finditer(SECRET, text, re.A)]
+    yield from ((i, j, "SECRET") for i, j in secrets)
+    for m in re.finditer(KEYLIKE, text):
+        if re.search("[A-Za-z]", m[0]) and re.search("[0-9]", m[0]) and not any(m.start() < j and i < m.end() for i, j in secrets) and entropy(m[0]) >= ENTROPY:
+            secrets.append(m.span())
+            yield m.start(), m.end(), "SECRET"
+    for m in re.finditer(SSN, text):
+        v = m[0]
+        if not re.search("[0-9-]", "".join(around(m))) and v[:3] not in ("000", "666") and v[0] != "9" and v[4:6] != "00" and v[7:] != "0000":
+            yield m.start(), m.end(), "SSN"
+    for m in re.finditer(PHONE_ABROAD, text):
+        if 8 <= len(re.sub("[^0-9]", "", m[0])) <= 15 and not re.search("[0-9]", "".join(around(m))):
+            yield m.start(), m.end(), "PHONE"
+    for m in re.finditer(PHONE_HOME, text):
+        before, after = around(m)
+        if not re.search("[0-9+]", before) and not re.search("[0-9]", after):
+            yield m.start(), m.end(), "PHONE"
+    for m in re.finditer(IP, text):
+        before, after = around(m)
+        cut = re.search("[0-9]", after) or (after == "." and re.match("[0-9]", text[m.end() + 1 : m.end() + 2]))
+        if not re.search(r"[A-Za-z0-9_.]", before) and not cut and max(map(int, m[0].split("."))) <= 255:
+            yield m.start(), m.end(), "IP"
+    yield from ((m.start(), m.end(), "EMAIL") for m in re.finditer(EMAIL, text))
+
+
+def detected(text: str) -> list[Span]:
+    """Spans that don't overlap: of those that do the first stays, then the longer, then that of higher priority."""
+    out: list[Span] = []
+    for span in sorted(candidates(text), key=lambda s: (s[0], -s[1], PRIORITY.index(s[2]))):
+        if not out or span[0] >= out[-1][1]:
+            out.append(span)
+    return out
+
+
+def pii_spans(docs: DataFrame) -> DataFrame:
+    """(doc_id, start, end, type, value) of all that is found; row by row."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = [(d, i, j, kind, t[i:j]) for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) if t for i, j, kind in detected(t)]
+            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out) if out else [()] * 5, kinds)], names=["doc_id", "start", "end", "type", "value"])
 
-def found(text: Column, kind: str) -> Column:
-    """Candidates of a kind in a text, those that its check refuses left out."""
-    every = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(f"({KINDS[kind]})"), F.lit(1))
-    if kind == "SSN":
-        part = lambda x, i, n: F.substring(x, i, n)
-        return F.filter(every, lambda x: ~part(x, 1, 3).isin("000", "666") & (part(x, 1, 1) != "9") & (part(x, 5, 2) != "00") & (part(x, 8, 4) != "0000"))
-    if kind == "CARD":
-        bare = F.transform(every, lambda x: F.regexp_replace(x, "[ -]", ""))
-        return F.filter(bare, lambda x: x.rlike("^(4|5[1-5]|3[47]|6011|65)") & T.luhn(x))
-    if kind == "IP":
-        return F.filter(every, lambda x: F.array_max(F.transform(F.split(x, r"\."), lambda p: p.cast("int"))) <= 255)
-    return every
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, start int, end int, type string, value string")
 
 
 def pii_counts(docs: DataFrame) -> DataFrame:
-    """doc_id and the number of matches of each kind."""
-    return docs.select("doc_id", *[F.size(found(F.col("text"), k)).alias(k.lower()) for k in KINDS])
+    """doc_id and the number of spans of each kind."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n = [Counter(kind for _, _, kind in detected(t)) if t else Counter() for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array([c[k] for c in n], pa.int32()) for k in PRIORITY]], names=["doc_id", *map(str.lower, PRIORITY)])
 
-def valid(kind: str, value: str) -> bool:
-    """The checks of found(), of one candidate."""
-    if kind == "SSN":
-        return value[:3] not in ("000", "666") and value[0] != "9" and value[4:6] != "00" and value[7:] != "0000"
-    if kind == "CARD":
-        bare = re.sub("[ -]", "", value)
-        twice = [int(c) * (1 + i % 2) for i, c in enumerate(reversed(bare))]
-        return bool(re.match("4|5[1-5]|3[47]|6011|65", bare)) and sum(x // 10 + x % 10 for x in twice) % 10 == 0
-    return kind != "IP" or max(map(int, value.split("."))) <= 255
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, " + ", ".join(f"{k.lower()} int" for k in PRIORITY))
 
 
 def labelled(text: str) -> str:
-    """The text with every span of a kind replaced by [TYPE_n]. Of spans that overlap the first stays, then the longer,
-    then that of higher priority; equal values of a type have one n, by first occurrence."""
-    spans = [(m.start(), -m.end(), rank, kind) for rank, kind in enumerate(PRIORITY) for m in re.finditer(KINDS[kind], text) if valid(kind, m[0])]
+    """The text with every detected span replaced by [TYPE_n]; equal values of a type have one n, by first occurrence."""
     labels: dict[tuple[str, str], str] = {}
     count: Counter = Counter()
     out, at = [], 0
-    for i, minus, _, kind in sorted(spans):
-        if i < at:
-            continue
-        key = kind, text[i:-minus]
+    for i, j, kind in detected(text):
+        key = kind, text[i:j]
         if key not in labels:
             count[kind] += 1
             labels[key] = f"[{kind}_{count[kind]}]"
         out += [text[at:i], labels[key]]
-        at = -minus
+        at = j
     return "".join([*out, text[at:]])
 
 
@@ -91,13 +153,53 @@ def redacted(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, rows.schema)
 
 
-def cue_score(docs: DataFrame) -> DataFrame:
-    """doc_id, score, cues: the weights of the cue patterns that occur, each once."""
-    t = F.lower(F.coalesce(F.col("text"), F.lit("")))
-    fired = [(name, weight, t.rlike(pattern)) for name, weight, pattern in CUES]
-    score = sum(F.when(hit, F.lit(weight)).otherwise(0.0) for _, weight, hit in fired)
-    names = F.concat_ws(",", *[F.when(hit, F.lit(name)) for name, _, hit in fired])
-    return docs.select("doc_id", score.alias("score"), names.alias("cues"))
+def plain(text: str) -> str:
+    """Text as rules read it: compatibility forms folded, invisible characters out, lower case, look-alike letters and
+    digits within words read as letters, letters set apart by single signs joined."""
+    out = ZERO_WIDTH.sub("", unicodedata.normalize("NFKC", text)).lower()
+    out = out.translate(str.maketrans(HOMOGLYPHS))
+    out = re.sub(r"\S+", lambda m: m[0].translate(str.maketrans(T.LEET)) if re.search("[a-z]", m[0]) else m[0], out)
+    return SPACED.sub(lambda m: re.sub("[ .·_-]", "", m[0]), out)
+
+
+def printable(candidate: str) -> str | None:
+    """What a base64 run decodes to, if that is twelve bytes or more, nine tenths of its characters printable."""
+    run = candidate.rstrip("=")
+    raw = base64.b64decode(run[: len(run) - (len(run) % 4 == 1)] + "=" * (-len(run) % 4 if len(run) % 4 != 1 else 0))
+    text = raw.decode("utf-8", "replace")
+    good = sum(c in "\t\n\r" or " " <= c < "\x7f" for c in text)
+    return text if len(raw) >= 12 and good >= 0.9 * len(text) else None
+
+
+def fired(text: str) -> list[tuple[str, int]]:
+    """(rule, weight) of each rule that fires on a text or on what its base64 runs hold."""
+    target = plain(text)
+    hits = {name: weight for name, weight, p in PATTERNS if p.search(target)}
+    for m in BASE64.finditer(text):
+        inner = printable(m[0])
+        if inner is not None:
+            new = {name: weight for name, weight, p in PATTERNS if name not in hits and p.search(plain(inner))}
+            if new:
+                hits |= new | {PAYLOAD[0]: PAYLOAD[1]}
+    return list(hits.items())
+
+
+def injection_score(docs: DataFrame) -> DataFrame:
+    """doc_id, score, rules: the sum of weights of the rules that fire, each once, and their names in order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [fired(t.as_py() or "") for t in b.column(1)]
+            score, names = [float(sum(w for _, w in x)) for x in found], [",".join(sorted(n for n, _ in x)) for x in found]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(score, pa.float64()), pa.array(names, pa.string())], names=["doc_id", "score", "rules"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double, rules string")
+
+
+def gated_runs(text: str, least: float = ENTROPY) -> list[tuple[str, float, bool]]:
+    """Key-like runs with letters and digits, their bits a character, and whether they clear the gate."""
+    runs = [m[0] for m in re.finditer(KEYLIKE, text) if re.search("[A-Za-z]", m[0]) and re.search("[0-9]", m[0])]
+    return [(r, round(entropy(r), 6), entropy(r) >= least) for r in runs]
 
 
 def has_negation(tokens: Column) -> Column:
@@ -126,7 +228,7 @@ def span_scores(gold: DataFrame, said: DataFrame) -> DataFrame:
     return both.groupBy("type").agg(F.sum(F.least("g", "s")).alias("tp"), F.sum(F.greatest(F.col("s") - F.col("g"), F.lit(0))).alias("fp"), F.sum(F.greatest(F.col("g") - F.col("s"), F.lit(0))).alias("fn"))
 
 
-def without_overlaps(spans: DataFrame, priority: tuple[str, ...] = tuple(KINDS)) -> DataFrame:
+def without_overlaps(spans: DataFrame, priority: tuple[str, ...] = PRIORITY) -> DataFrame:
     """Greedy choice of spans (doc_id, start, end, type) of each text: by start, the longer, then priority of type;
     a span that begins before the end of the last chosen one is dropped. A fold over one text's spans."""
     rank = F.array_position(F.array(*map(F.lit, priority)), F.col("type"))

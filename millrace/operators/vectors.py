@@ -61,15 +61,34 @@ def int8_decoded(codes: DataFrame) -> DataFrame:
     return codes.select("vec_id", F.transform("codes", lambda c: c * F.col("scale")).alias("embedding"))
 
 
-def grid(vectors: DataFrame, levels: int = 256) -> DataFrame:
-    """(dim, lo, step): a uniform grid for each dimension from least to greatest value."""
+def grid(vectors: DataFrame, levels: int = 256, clip: float = 0.0) -> DataFrame:
+    """(dim, lo, step): a uniform grid for each dimension, from least to greatest value or from the quantile `clip` to 1 - clip."""
     cells = vectors.select(F.posexplode(F.col("embedding").cast("array<double>")).alias("dim", "x"))
-    return cells.groupBy("dim").agg(F.min("x").alias("lo"), ((F.max("x") - F.min("x")) / (levels - 1)).alias("step"))
+    lo, hi = (F.percentile("x", clip), F.percentile("x", 1 - clip)) if clip else (F.min("x"), F.max("x"))
+    return cells.groupBy("dim").agg(lo.alias("lo"), ((hi - lo) / (levels - 1)).alias("step"))
 
 
-def grid_codes(vectors: DataFrame, levels: int = 256) -> DataFrame:
+def grid_decoded(codes: DataFrame, fitted: DataFrame) -> DataFrame:
+    """(vec_id, embedding) of codes (vec_id, codes) by a fitted grid."""
+    g = F.broadcast(fitted.agg(F.array_sort(F.collect_list(F.struct("dim", "lo", "step"))).alias("g")))
+    return codes.join(g).select("vec_id", F.zip_with("codes", "g", lambda c, x: x["lo"] + c * x["step"]).alias("embedding"))
+
+
+def with_rogues(vectors: DataFrame, n: int, scale: float, dim: int) -> DataFrame:
+    """vectors and n more of ids below 0, far out in turn along each dimension."""
+    far = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda k: F.when(F.pmod(F.col("id"), F.lit(dim)) == k, F.lit(float(scale))).otherwise(0.0))
+    return vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding")).unionByName(vectors.sparkSession.range(n).select((-1 - F.col("id")).alias("vec_id"), far.alias("embedding")))
+
+
+def total_bytes(scheme: str, n: int, dim: int) -> int:
+    """Bytes that n vectors take: float32; int8 with a scale each; int8 or packed int4 codes with a grid."""
+    return {"float32": 4 * n * dim, "int8": n * dim + 4 * n, "grid8": n * dim + 8 * dim, "grid4": n * -(-dim // 2) + 8 * dim}[scheme]
+
+
+def grid_codes(vectors: DataFrame, levels: int = 256, fitted: DataFrame | None = None) -> DataFrame:
     """(vec_id, codes): grid places, clipped; a constant dimension has code 0. The grid has a row a dimension."""
-    g = F.broadcast(grid(vectors, levels).agg(F.array_sort(F.collect_list(F.struct("dim", "lo", "step"))).alias("g")))
+    fitted = grid(vectors, levels) if fitted is None else fitted
+    g = F.broadcast(fitted.agg(F.array_sort(F.collect_list(F.struct("dim", "lo", "step"))).alias("g")))
     rows = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("v")).join(g)
     code = lambda x, c: F.when(c["step"] > 0, F.rint((x - c["lo"]) / c["step"])).otherwise(0.0)
     return rows.select("vec_id", F.zip_with("v", "g", lambda x, c: F.greatest(F.lit(0), F.least(F.lit(levels - 1), code(x, c).cast("int")))).alias("codes"))

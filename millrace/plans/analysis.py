@@ -86,11 +86,16 @@ def int8_recall(spark, d):
 W = "regexp_extract_all(lower(replace(coalesce(text, ''), 'ß', 'ss')), '[\\p{L}\\p{N}]+')"
 SH = f"""sh AS MATERIALIZED (SELECT DISTINCT doc_id, CAST('0x' || left(sha256(s), 15) AS BIGINT) AS s FROM (SELECT doc_id, unnest(CASE WHEN len(w) >= 5
   THEN [array_to_string(w[i:i + 4], ' ') for i in generate_series(1, len(w) - 4)] WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM (SELECT doc_id, {W} AS w FROM documents)))"""
-MH = f"""{SH}, mh AS MATERIALIZED (SELECT doc_id, {', '.join(f'min(CAST((s::HUGEINT * {a} + {b}) % {N.P} AS BIGINT)) AS h{i}' for i, (a, b) in enumerate(N.coefficients(16)))} FROM sh GROUP BY doc_id),
-  bk AS (SELECT doc_id, unnest([{', '.join("'" + str(b) + ":' || " + " || ':' || ".join(f"h{i}" for i in range(4 * b, 4 * b + 4)) for b in range(4))}]) AS key FROM mh),
-  cand AS MATERIALIZED (SELECT DISTINCT a, doc_id AS b FROM bk JOIN (SELECT key, min(doc_id) AS a FROM bk GROUP BY key HAVING count(*) > 1) USING (key) WHERE doc_id > a),
-  jac AS MATERIALIZED (SELECT a, b, round(c / (na + nb - c), 6) AS jaccard FROM (SELECT a, b, (SELECT count(*) FROM sh x JOIN sh y USING (s) WHERE x.doc_id = a AND y.doc_id = b) AS c,
-    (SELECT count(*) FROM sh WHERE doc_id = a) AS na, (SELECT count(*) FROM sh WHERE doc_id = b) AS nb FROM cand))"""
+def minhash_sql(k: int, r: int) -> str:
+    """Signatures of k components, all pairs that agree in a band of r, their similarities."""
+    return f"""{SH}, mh AS MATERIALIZED (SELECT doc_id, {', '.join(f'min(CAST((s::HUGEINT * {a} + {b}) % {N.P} AS BIGINT)) AS h{i}' for i, (a, b) in enumerate(N.coefficients(k)))} FROM sh GROUP BY doc_id),
+  bk AS (SELECT doc_id, unnest([{', '.join("'" + str(b) + ":' || " + " || ':' || ".join(f"h{i}" for i in range(r * b, r * b + r)) for b in range(k // r))}]) AS key FROM mh),
+  cand AS MATERIALIZED (SELECT DISTINCT x.doc_id AS a, y.doc_id AS b FROM bk x JOIN bk y USING (key) WHERE x.doc_id < y.doc_id),
+  n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id), every AS MATERIALIZED (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM sh x JOIN sh y USING (s) WHERE x.doc_id < y.doc_id GROUP BY ALL),
+  truth AS MATERIALIZED (SELECT a, b, round(c / (na.n + nb.n - c), 6) AS jaccard FROM every JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b)"""
+
+
+MH = minhash_sql(16, 4)
 
 
 def rows_of(spark, d):
@@ -102,7 +107,7 @@ def minhash_signatures(spark, d):
     return N.minhash(rows_of(spark, d))
 
 
-@query(f"WITH {MH} SELECT a, b, jaccard FROM jac WHERE jaccard >= 0.8")
+@query(f"WITH {minhash_sql(48, 3)} SELECT a, b, jaccard FROM truth JOIN cand USING (a, b) WHERE jaccard >= 0.8")
 def minhash_lsh_pairs(spark, d):
     rows = rows_of(spark, d)
     return N.similarities(N.candidates(N.minhash(rows, 48), 48, 3), rows).where("jaccard >= 0.8")  # 16 bands of 3: 0.99999 at 0.8
@@ -114,8 +119,8 @@ def jaccard_estimates(spark, d):
     return N.estimates(N.candidates(m), m)
 
 
-@query(f"""WITH {MH}, t AS (SELECT a, b FROM jac WHERE jaccard >= 0.8), n AS (SELECT count(*) FILTER (t.a IS NOT NULL) AS tp, count(*) FILTER (t.a IS NULL) AS fp, 0::BIGINT AS fn FROM cand c LEFT JOIN t USING (a, b))
-  SELECT tp, fp, fn, round(tp / (tp + fp), 6) AS precision, round(tp / (tp + fn), 6) AS recall, round(2 * tp / (2 * tp + fp + fn), 6) AS f1 FROM n""")
+@query(f"""WITH {MH}, t AS (SELECT a, b FROM truth WHERE jaccard >= 0.8), m AS (SELECT count(*) FILTER (t.a IS NOT NULL AND c.a IS NOT NULL) AS tp, count(*) FILTER (t.a IS NULL) AS fp, count(*) FILTER (c.a IS NULL) AS fn FROM cand c FULL JOIN t USING (a, b))
+  SELECT tp, fp, fn, round(tp / (tp + fp), 6) AS precision, round(tp / (tp + fn), 6) AS recall, round(2 * tp / (2 * tp + fp + fn), 6) AS f1 FROM m""")
 def lsh_pair_scores(spark, d):
     rows = rows_of(spark, d)
     pairs = N.candidates(N.minhash(rows))
@@ -257,33 +262,23 @@ def confidence_signals(spark, d):
 
 # safety ------------------------------------------------------------------------------------------------------
 
-def luhn_sql(x: str) -> str:
-    return f"list_sum([CASE WHEN (length({x}) - i) % 2 = 0 THEN CAST({x}[i] AS INT) ELSE (CAST({x}[i] AS INT) * 2) % 10 + CAST({x}[i] AS INT) // 5 END for i in generate_series(1, length({x}))]) % 10 = 0"
-
-
-EVERY = {k: f"regexp_extract_all(coalesce(text, ''), '{p}')" for k, p in S.KINDS.items()}
-
-
-@query(f"""SELECT doc_id, CAST(len({EVERY['EMAIL']}) AS INT) AS email,
-  CAST(len(list_filter({EVERY['SSN']}, lambda x: left(x, 3) NOT IN ('000', '666') AND left(x, 1) != '9' AND substr(x, 5, 2) != '00' AND substr(x, 8, 4) != '0000')) AS INT) AS ssn,
-  CAST(len(list_filter([regexp_replace(x, '[ -]', '', 'g') for x in {EVERY['CARD']}], lambda y: regexp_matches(y, '^(4|5[1-5]|3[47]|6011|65)') AND {luhn_sql('y')})) AS INT) AS card,
-  CAST(len(list_filter({EVERY['IP']}, lambda x: list_max([CAST(p AS INT) for p in string_split(x, '.')]) <= 255)) AS INT) AS ip,
-  CAST(len({EVERY['PHONE']}) AS INT) AS phone, CAST(len({EVERY['SECRET']}) AS INT) AS secret FROM documents""")
+@query(None)  # what stands around a candidate and entropy decide
 def pii_counts(spark, d):
     return S.pii_counts(table(spark, d, "documents"))
 
 
-@query(f"SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '{S.EMAIL}', '[EMAIL]', 'g'), '{S.SSN}', '[SSN]', 'g'), '{S.PHONE}', '[PHONE]', 'g') AS text FROM documents")
+@query(None)  # overlaps and numbered labels; held against brute force
 def redaction(spark, d):
     return S.redacted(table(spark, d, "documents"))
 
 
-CUE = [(n, w, f"regexp_matches(lower(coalesce(text, '')), '{p}')") for n, w, p in S.CUES]
+RULE = [(n, w, f"regexp_matches(lower(coalesce(text, '')), '{p}')") for n, w, p in S.RULES]
 
 
-@query(f"SELECT doc_id, {' + '.join(f'CASE WHEN {c} THEN {w}::DOUBLE ELSE 0 END' for _, w, c in CUE)} AS score, array_to_string(list_filter([{', '.join(f'CASE WHEN {c} THEN {chr(39)}{n}{chr(39)} END' for n, _, c in CUE)}], lambda x: x IS NOT NULL), ',') AS cues FROM documents")
+@query(f"SELECT doc_id, {' + '.join(f'CASE WHEN {c} THEN {w}::DOUBLE ELSE 0 END' for _, w, c in RULE)} AS score, array_to_string(list_sort(list_filter([{', '.join(f'CASE WHEN {c} THEN {chr(39)}{n}{chr(39)} END' for n, _, c in RULE)}], lambda x: x IS NOT NULL)), ',') AS rules FROM documents")
 def injection_score(spark, d):
-    return S.cue_score(table(spark, d, "documents"))
+    """Its SQL reads lower-case texts; these tables hide nothing that normalisation or base64 would bring out."""
+    return S.injection_score(table(spark, d, "documents"))
 
 
 # conversations and events ------------------------------------------------------------------------------------

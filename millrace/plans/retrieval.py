@@ -136,26 +136,34 @@ def text_measures(spark, d):
 
 
 def stems(spark, d):
-    words = table(spark, d, "documents").select(F.explode(T.words(F.col("text"))).alias("word")).where(F.col("word").rlike("^[a-z]+$")).distinct()
+    words = table(spark, d, "documents").select(F.explode(T.words(F.col("text"))).alias("word")).distinct()
     return words.select("word", T.stem(F.col("word")).alias("stem"))
 
 
-STEM = r"""CASE WHEN length(word) > 4 AND word LIKE '%ies' THEN left(word, length(word) - 3) || 'y'
-  WHEN length(word) > 5 AND word LIKE '%ing' THEN left(word, length(word) - 3) WHEN length(word) > 4 AND word LIKE '%ed' THEN left(word, length(word) - 2)
-  WHEN length(word) > 3 AND word LIKE '%s' AND word NOT LIKE '%ss' THEN left(word, length(word) - 1) WHEN length(word) > 4 AND word LIKE '%e' THEN left(word, length(word) - 1) ELSE word END"""
+def stemmed_tokens(spark, d):
+    """Stems of each document, compounds whole and in parts, without stop words, counted."""
+    rows = table(spark, d, "documents").select("doc_id", F.explode(T.stemmed(F.col("text"))).alias("stem"))
+    return rows.groupBy("doc_id", "stem").agg(F.count("*").alias("n"))
+
+
 DOUBLE = "|".join(c + c for c in "bcdfghjkmnpqrtv")
+#: of a word w of more than three letters: plural, then ing or ed (a doubled consonant made single), then a last e
+STEM = f"""p AS (SELECT w, CASE WHEN length(w) > 4 AND w LIKE '%ies' THEN left(w, length(w) - 3) || 'y' WHEN w LIKE '%ss' THEN w WHEN w LIKE '%s' THEN left(w, length(w) - 1) ELSE w END AS a FROM w WHERE length(w) > 3),
+  c AS (SELECT w, CASE WHEN length(a) > 5 AND a LIKE '%ing' THEN left(a, length(a) - 3) WHEN length(a) > 4 AND a LIKE '%ed' THEN left(a, length(a) - 2) ELSE a END AS b, a FROM p),
+  d AS (SELECT w, CASE WHEN a != b AND length(b) > 3 AND regexp_matches(b, '({DOUBLE})$') THEN left(b, length(b) - 1) ELSE b END AS c FROM c),
+  st AS (SELECT w, CASE WHEN length(c) > 4 AND c LIKE '%e' THEN left(c, length(c) - 1) ELSE c END AS stem FROM d UNION ALL SELECT w, w FROM w WHERE length(w) <= 3)"""
 
 QUERIES = {
     f.__name__: f
     for f in (
         bm25_topk, tfidf_topk, rrf_fusion, weighted_fusion, interleave, bridge_terms, prf_expand, containment, recall_mrr, mean_metrics, head_to_head,
-        sweep_alpha, query_work, term_stats, text_measures, stems,
+        sweep_alpha, query_work, term_stats, text_measures, stems, stemmed_tokens,
     )
 }
 
 FUSED = """wf AS (SELECT query_id, doc_id, coalesce(a, 0) AS a, coalesce(b, 0) AS b FROM
-  (SELECT query_id, doc_id, CASE WHEN max(score) OVER w > min(score) OVER w THEN (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) ELSE 0 END AS a FROM bm WHERE rank <= 50 WINDOW w AS (PARTITION BY query_id))
-  FULL JOIN (SELECT query_id, doc_id, CASE WHEN max(score) OVER w > min(score) OVER w THEN (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) ELSE 0 END AS b FROM tm WHERE rank <= 50 WINDOW w AS (PARTITION BY query_id)) USING (query_id, doc_id))"""
+  (SELECT query_id, doc_id, CASE WHEN max(score) OVER w > min(score) OVER w THEN (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) ELSE 0 END AS a FROM bm WINDOW w AS (PARTITION BY query_id))
+  FULL JOIN (SELECT query_id, doc_id, CASE WHEN max(score) OVER w > min(score) OVER w THEN (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) ELSE 0 END AS b FROM tm WINDOW w AS (PARTITION BY query_id)) USING (query_id, doc_id))"""
 BRIDGE = """br AS MATERIALIZED (SELECT * FROM (SELECT query_id, term, weight, CAST(row_number() OVER (PARTITION BY query_id ORDER BY weight DESC, term) AS INT) AS place FROM
   (SELECT query_id, term, round(tf * (ln((1 + n) / (1 + df)) + 1), 6) AS weight FROM p JOIN df USING (term) JOIN (SELECT query_id, doc_id FROM bm WHERE rank = 1) USING (doc_id), tot)
   ANTI JOIN q USING (query_id, term)) WHERE place <= 3)"""
@@ -163,7 +171,7 @@ ORACLES = {
     "bm25_topk": f"WITH {BASE}, {BM25} SELECT query_id, doc_id, score, rank FROM bm WHERE rank <= 10",
     "tfidf_topk": f"WITH {BASE}, {TFIDF} SELECT query_id, doc_id, score, rank FROM tm WHERE rank <= 10",
     "rrf_fusion": f"""WITH {BASE}, {BM25}, {TFIDF}, u AS (SELECT query_id, doc_id, round(sum(1 / (60 + rank)), 9) AS score FROM
-      (SELECT query_id, doc_id, rank FROM bm WHERE rank <= 50 UNION ALL SELECT query_id, doc_id, rank FROM tm WHERE rank <= 50) GROUP BY ALL)
+      (SELECT query_id, doc_id, rank FROM bm UNION ALL SELECT query_id, doc_id, rank FROM tm) GROUP BY ALL)
       SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INT) AS rank FROM u) WHERE rank <= 10""",
     "weighted_fusion": f"""WITH {BASE}, {BM25}, {TFIDF}, {FUSED}, s AS (SELECT query_id, doc_id, round(0.5::DOUBLE * a + 0.5::DOUBLE * b, 6) AS score FROM wf)
       SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INT) AS rank FROM s) WHERE rank <= 10""",
@@ -192,7 +200,9 @@ ORACLES = {
       trim(regexp_replace(lower(replace(text, 'ß', 'ss')), '\s+', ' ', 'g')) AS folded, CAST(greatest(1, ceil(length(text) / 4)) AS BIGINT) AS n_tokens, CAST(strlen(text) AS BIGINT) AS n_bytes,
       CAST(len(regexp_extract_all(lower(text), '[\p{L}\p{N}]+(?:[-_][\p{L}\p{N}]+)*')) AS INT) AS n_compounds,
       CAST(len(list_filter(regexp_extract_all(lower(replace(text, 'ß', 'ss')), '[\p{L}\p{N}]+'), lambda w: w NOT IN (""" + ", ".join(f"'{w}'" for w in T.STOPWORDS) + r"""))) AS INT) AS n_content FROM documents""",
-    "stems": f"""WITH w AS (SELECT DISTINCT word FROM (SELECT unnest({D}) AS word FROM documents) WHERE regexp_full_match(word, '[a-z]+')),
-      s AS (SELECT word, {STEM} AS s, ((length(word) > 5 AND word LIKE '%ing' AND NOT (word LIKE '%ies')) OR (length(word) > 4 AND word LIKE '%ed')) AS cut FROM w)
-      SELECT word, CASE WHEN cut AND length(s) > 3 AND regexp_matches(s, '({DOUBLE})$') THEN left(s, length(s) - 1) ELSE s END AS stem FROM s""",
+    "stems": f"""WITH w AS (SELECT DISTINCT unnest({D}) AS w FROM documents), {STEM} SELECT w AS word, stem FROM st""",
+    "stemmed_tokens": rf"""WITH r AS (SELECT doc_id, unnest(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+(?:[-_][a-z0-9]+)*')) AS r FROM documents),
+      t AS (SELECT doc_id, r AS w FROM r UNION ALL SELECT doc_id, unnest(regexp_split_to_array(r, '[-_]')) FROM r WHERE regexp_matches(r, '[-_]')),
+      k AS (SELECT doc_id, w FROM t WHERE w NOT IN ({", ".join(f"'{w}'" for w in T.QUERY_STOPWORDS)})), w AS (SELECT DISTINCT w FROM k), {STEM}
+      SELECT doc_id, stem, count(*) AS n FROM k JOIN st USING (w) GROUP BY ALL""",
 }
