@@ -10,10 +10,14 @@ from millrace.functions import text as T
 P = (1 << 61) - 1
 
 
-def shingle_rows(docs: DataFrame, n: int = 5, tokens=T.words) -> DataFrame:
-    """(doc_id, s): 60-bit hashes of the distinct shingles."""
-    w = docs.select("doc_id", tokens(F.col("text")).alias("w"))
-    return w.select("doc_id", F.explode(T.shingles(F.col("w"), n)).alias("s")).select("doc_id", T.hash60(F.col("s")).alias("s")).distinct()
+def shingle_sets(docs: DataFrame, n: int = 5, tokens=T.words) -> DataFrame:
+    """(doc_id, s): 60-bit hashes of the distinct shingles, in one array; texts without words are left out."""
+    w = docs.select("doc_id", tokens(F.col("text")).alias("w")).where(F.size("w") > 0)  # a filter on s would be computed on its own, below
+    return w.select("doc_id", F.array_distinct(F.transform(T.shingles(F.col("w"), n), T.hash60)).alias("s"))
+
+
+def exploded(sets: DataFrame) -> DataFrame:
+    return sets.select("doc_id", F.explode("s").alias("s"))
 
 
 def coefficients(k: int) -> list[tuple[int, int]]:
@@ -21,13 +25,14 @@ def coefficients(k: int) -> list[tuple[int, int]]:
     return [((2 * i + 1) * 1_000_003 % P, (i + 1) * 998_244_353 % P) for i in range(k)]
 
 
-def minhash(rows: DataFrame, k: int = 16) -> DataFrame:
-    """(doc_id, h0..): the minima of (a * s + b) mod 2^61 - 1 over the set; partial aggregates, one shuffle."""
+def minhash(sets: DataFrame, k: int = 16) -> DataFrame:
+    """(doc_id, h0..): the minima of (a * s + b) mod 2^61 - 1 over each set, where it is: no shuffle."""
     # a < 2^27 and s < 2^60, so in two halves of s nothing exceeds 63 bits; times 2^30 is a rotation of 61 bits
-    high, low = F.shiftright("s", 30), F.col("s").bitwiseAND((1 << 30) - 1)
+    long = lambda x: F.lit(x).cast("long")
     turned = lambda x: F.shiftright(x, 31) + F.shiftleft(x.bitwiseAND((1 << 31) - 1), 30)
-    value = lambda a, b: (turned(high * F.lit(a).cast("long")) + low * F.lit(a).cast("long") + F.lit(b).cast("long")) % F.lit(P).cast("long")
-    return rows.groupBy("doc_id").agg(*[F.min(value(a, b)).alias(f"h{i}") for i, (a, b) in enumerate(coefficients(k))])
+    value = lambda x, a, b: (turned(F.shiftright(x, 30) * long(a)) + x.bitwiseAND((1 << 30) - 1) * long(a) + long(b)) % long(P)
+    least = lambda a, b: F.array_min(F.transform("s", lambda x: value(x, a, b)))
+    return sets.select("doc_id", *[least(a, b).alias(f"h{i}") for i, (a, b) in enumerate(coefficients(k))])
 
 
 def bands(signatures: DataFrame, k: int, r: int) -> DataFrame:
@@ -42,27 +47,24 @@ def candidates(signatures: DataFrame, k: int = 16, r: int = 4) -> DataFrame:
     return rows.withColumnRenamed("doc_id", "a").join(rows.withColumnRenamed("doc_id", "b"), "key").where("a < b").select("a", "b").distinct()
 
 
-def similar_pairs(rows: DataFrame, least: float = 0.8) -> DataFrame:
+def similar_pairs(sets: DataFrame, least: float = 0.8) -> DataFrame:
     """(a, b, jaccard) of all documents of similarity `least`, exact. Sets that are so similar share one of their
     rarest n - ceil(least * n) + 1 shingles, so a join on those finds every pair."""
     t = least - 5e-7  # similarities are rounded
-    size = rows.groupBy("doc_id").agg(F.count("*").alias("n"))
+    rows = sets.select("doc_id", F.size("s").alias("n"), F.explode("s").alias("s"))
     df = rows.groupBy("s").agg(F.count("*").alias("df"))
     place = F.row_number().over(Window.partitionBy("doc_id").orderBy("df", "s"))
-    rare = rows.join(df, "s").join(size, "doc_id").withColumn("place", place).where(F.col("place") <= F.col("n") - F.ceil(t * F.col("n")) + 1).where("df > 1")
+    rare = rows.join(df, "s").withColumn("place", place).where(F.col("place") <= F.col("n") - F.ceil(t * F.col("n")) + 1).where("df > 1")
     x, y = rare.select("s", F.col("doc_id").alias("a"), F.col("n").alias("na")), rare.select("s", F.col("doc_id").alias("b"), F.col("n").alias("nb"))
     pairs = x.join(y, "s").where("a < b").where(F.least("na", "nb") >= t * F.greatest("na", "nb")).select("a", "b").distinct()
-    return similarities(pairs, rows).where(F.col("jaccard") >= least)
+    return similarities(pairs, sets).where(F.col("jaccard") >= least)
 
 
-def similarities(pairs: DataFrame, rows: DataFrame) -> DataFrame:
-    """(a, b, jaccard) of given pairs, exact, by a join on shingles."""
-    size = rows.groupBy("doc_id").agg(F.count("*").alias("n"))
-    left = pairs.join(rows.withColumnRenamed("doc_id", "a"), "a")
-    common = left.join(rows.withColumnRenamed("doc_id", "b"), ["b", "s"]).groupBy("a", "b").agg(F.count("*").alias("common"))
-    out = pairs.join(common, ["a", "b"], "left").join(size.select(F.col("doc_id").alias("a"), F.col("n").alias("na")), "a").join(size.select(F.col("doc_id").alias("b"), F.col("n").alias("nb")), "b")
-    c = F.coalesce("common", F.lit(0))
-    return out.select("a", "b", F.round(c / (F.col("na") + F.col("nb") - c), 6).alias("jaccard"))
+def similarities(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b, jaccard) of given pairs, exact: the sets of the pairs' documents meet."""
+    rows = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("s").alias("y")), "b")
+    rows = rows.select("a", "b", (F.size("x") + F.size("y")).alias("n"), F.size(F.array_intersect("x", "y")).alias("c"))
+    return rows.select("a", "b", F.round(F.col("c") / (F.col("n") - F.col("c")), 6).alias("jaccard"))
 
 
 def estimates(pairs: DataFrame, signatures: DataFrame, k: int = 16) -> DataFrame:
@@ -73,10 +75,10 @@ def estimates(pairs: DataFrame, signatures: DataFrame, k: int = 16) -> DataFrame
     return rows.select("a", "b", F.round(same / k, 6).alias("estimate"))
 
 
-def simhash(rows: DataFrame, bits: int = 60) -> DataFrame:
+def simhash(sets: DataFrame, bits: int = 60) -> DataFrame:
     """(doc_id, simhash): a bit is set if more of the set's hashes have it than lack it."""
     votes = [F.sum(F.when(F.expr(f"getbit(s, {i})") == 1, 1).otherwise(-1)) for i in range(bits)]
-    total = rows.groupBy("doc_id").agg(*[v.alias(f"v{i}") for i, v in enumerate(votes)])
+    total = exploded(sets).groupBy("doc_id").agg(*[v.alias(f"v{i}") for i, v in enumerate(votes)])
     out = sum(F.when(F.col(f"v{i}") > 0, F.lit(1 << i)).otherwise(F.lit(0)).cast("long") for i in range(bits))
     return total.select("doc_id", out.alias("simhash"))
 

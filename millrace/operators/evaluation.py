@@ -1,7 +1,7 @@
 """Measures of classifiers and rankings beyond stats.py: likelihoods, selection, class tables, order statistics, studies.
 
 Rows in, rows out; every measure is an aggregate with partial sums. Where an order over all rows is needed, rows are
-first counted by distinct score, and running sums over those are taken by `running`, in range partitions.
+first counted by distinct score, and running sums over those are taken by `stats.running`, in range partitions.
 """
 
 from __future__ import annotations
@@ -9,26 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.operators.stats import rounded, safe
-
-
-def running(rows: DataFrame, by: list[Column | str], value: str, name: str, parts: int | None = None) -> DataFrame:
-    """rows with the sum of `value` over all rows before and at each one, in the order of `by` (made distinct by its
-    last part). Rows are range partitioned; each partition sums up by itself and adds the sums of those before it, so no
-    task sees more than its range and the driver sees nothing."""
-    spark = rows.sparkSession
-    n = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.repartitionByRange(n, *by).withColumn("_part", F.spark_partition_id())
-    path = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if path:  # the partition's number has to be that of the stored rows, whatever is computed again
-        spark.sparkContext.setCheckpointDir(path)
-        dealt = dealt.checkpoint()
-    w = Window.partitionBy("_part").orderBy(*by).rowsBetween(Window.unboundedPreceding, 0)
-    totals = dealt.groupBy("_part").agg(F.sum(value).alias("_sum"))
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each partition
-    offsets = totals.select("_part", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_before"))
-    out = dealt.join(F.broadcast(offsets), "_part").withColumn(name, F.sum(value).over(w) + F.col("_before"))
-    return out.drop("_part", "_before")
+from millrace.operators.stats import rounded, running, safe
 
 
 def fold(values: Column, f, start: float = 0.0) -> Column:
@@ -109,7 +90,7 @@ def operating_table(rows: DataFrame, by: str, value: str, thresholds: list[float
 def inversion_rate(rows: DataFrame, good: str, value: str) -> DataFrame:
     """(pairs, inverted, rate): of all pairs of a good and a bad row, those in which the bad one is higher."""
     by = rows.groupBy(F.col(value).alias("v")).agg(F.sum(F.col(good).cast("long")).alias("g"), F.sum((~F.col(good)).cast("long")).alias("b"))
-    cum = running(by, ["v"], "g", "upto")
+    cum = running(by, ["v"], {"g": "upto"})
     s = cum.agg(F.sum(F.col("b") * (F.col("upto") - F.col("g"))).alias("inverted"), F.sum("g").alias("g"), F.sum("b").alias("b"))
     pairs = F.col("g") * F.col("b")
     return s.select(pairs.alias("pairs"), "inverted", rounded(safe(F.col("inverted"), pairs), "rate"))
@@ -134,7 +115,7 @@ def critical(rows: DataFrame, value: str, alpha: float) -> DataFrame:
     """(critical): the ceil((1 - alpha) n)-th of the absolute values in ascending order, found by counts of distinct values."""
     by = rows.groupBy(F.abs(value).alias("v")).agg(F.count("*").alias("c"))
     n = rows.agg(F.greatest(F.lit(1), F.ceil(F.round((1 - alpha) * F.count("*"), 9))).alias("place"))
-    return running(by, ["v"], "c", "upto").join(F.broadcast(n)).where(F.col("upto") >= F.col("place")).agg(F.min("v").alias("critical"))
+    return running(by, ["v"], {"c": "upto"}).join(F.broadcast(n)).where(F.col("upto") >= F.col("place")).agg(F.min("v").alias("critical"))
 
 
 def detectable(rows: DataFrame, bonus: str, power: str, target: float = 0.8) -> DataFrame:

@@ -65,10 +65,10 @@ def unseen_characters(train: DataFrame, other: DataFrame) -> DataFrame:
 
 def vocabulary(docs: DataFrame, tokens=T.words) -> DataFrame:
     """(term, id): all terms in order, ids from 0; numbered over range partitions."""
-    from millrace.operators.evaluation import running
+    from millrace.operators.stats import running
 
     terms = docs.select(F.explode(tokens(F.col("text"))).alias("term")).distinct().withColumn("one", F.lit(1).cast("long"))
-    return running(terms, ["term"], "one", "upto").select("term", (F.col("upto") - 1).alias("id"))
+    return running(terms, ["term"], {"one": "upto"}).select("term", (F.col("upto") - 1).alias("id"))
 
 
 def vectorized(docs: DataFrame, terms: DataFrame, tokens=T.words) -> DataFrame:

@@ -19,6 +19,28 @@ def safe(x: Column, y: Column, empty: float = 0.0) -> Column:
     return F.coalesce(F.try_divide(x, y), F.lit(empty))
 
 
+def running(rows: DataFrame, by: list, sums: dict[str, str]) -> DataFrame:
+    """rows with sums of columns over all rows up to each one, in an order whose last part makes it unique.
+
+    Rows are range partitioned; each partition adds up by itself, and then what the partitions before it hold. So no
+    task sees more than its range, and what is broadcast is a row for each partition. Where the session has a folder for
+    checkpoints, the partitioned rows are written there: a partition that is computed again has to be the same."""
+    spark = rows.sparkSession
+    dealt = rows.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *by).withColumn("_part", F.spark_partition_id())
+    path = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if path:
+        spark.sparkContext.setCheckpointDir(path)
+        dealt = dealt.checkpoint()
+    totals = dealt.groupBy("_part").agg(*[F.sum(c).alias(f"_{c}") for c in sums])
+    before = Window.partitionBy(F.lit(0)).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each partition
+    totals = totals.select("_part", *[F.coalesce(F.sum(f"_{c}").over(before), F.lit(0)).alias(f"_{c}") for c in sums])
+    here = Window.partitionBy("_part").orderBy(*by).rowsBetween(Window.unboundedPreceding, 0)
+    out = dealt.join(F.broadcast(totals), "_part")
+    for c, name in sums.items():
+        out = out.withColumn(name, F.sum(c).over(here) + F.col(f"_{c}"))
+    return out.drop("_part", *[f"_{c}" for c in sums])
+
+
 def binary_scores(rows: DataFrame, gold: str, said: str, empty: float = 0.0) -> DataFrame:
     """tp, fp, fn, tn, precision, recall, f1, accuracy of boolean columns."""
     g, p = F.col(gold), F.col(said)
@@ -31,8 +53,7 @@ def binary_scores(rows: DataFrame, gold: str, said: str, empty: float = 0.0) ->
 def auc(rows: DataFrame, gold: str, score: str, empty: float = 0.5) -> DataFrame:
     """Area under the ROC curve by counts of each distinct score: ties count a half; an empty side gives `empty`."""
     by = rows.groupBy(score).agg(F.sum(F.col(gold).cast("long")).alias("pos"), F.sum((~F.col(gold)).cast("long")).alias("neg"))
-    w = Window.orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
-    cum = by.withColumn("below", F.coalesce(F.sum("neg").over(w), F.lit(0)))
+    cum = running(by, [score], {"neg": "upto"}).withColumn("below", F.col("upto") - F.col("neg"))
     s = cum.agg(F.sum(F.col("pos") * (F.col("below") + F.col("neg") / 2)).alias("u"), F.sum("pos").alias("p"), F.sum("neg").alias("n"))
     return s.select(rounded(safe(F.col("u"), F.col("p") * F.col("n"), empty), "auc"))
 
@@ -40,9 +61,8 @@ def auc(rows: DataFrame, gold: str, score: str, empty: float = 0.5) -> DataFrame
 def thresholds(rows: DataFrame, gold: str, score: str) -> DataFrame:
     """At each distinct score as threshold (score >= threshold is positive): tpr, fpr, precision, Youden's J."""
     by = rows.groupBy(score).agg(F.sum(F.col(gold).cast("long")).alias("pos"), F.sum((~F.col(gold)).cast("long")).alias("neg"))
-    up = Window.orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, 0)
     total = rows.agg(F.sum(F.col(gold).cast("long")).alias("p"), F.sum((~F.col(gold)).cast("long")).alias("n"))
-    cum = by.select(F.col(score).alias("threshold"), F.sum("pos").over(up).alias("tp"), F.sum("neg").over(up).alias("fp")).join(F.broadcast(total))
+    cum = running(by, [F.desc(score)], {"pos": "tp", "neg": "fp"}).select(F.col(score).alias("threshold"), "tp", "fp").join(F.broadcast(total))
     tpr, fpr = safe(F.col("tp"), F.col("p")), safe(F.col("fp"), F.col("n"))
     return cum.select("threshold", "tp", "fp", rounded(tpr, "tpr"), rounded(fpr, "fpr"), rounded(safe(F.col("tp"), F.col("tp") + F.col("fp")), "precision"), rounded(tpr - fpr, "youden"))
 
@@ -80,10 +100,9 @@ def calibration(rows: DataFrame, right: str, confidence: str, bins: int = 10) ->
 
 def risk_coverage(rows: DataFrame, key: str, right: str, trust: str) -> DataFrame:
     """(place, key, coverage, risk): error rate of the first rows by falling trust, ties by key."""
-    w = Window.orderBy(F.desc(trust), key)
-    run = w.rowsBetween(Window.unboundedPreceding, 0)
     n = rows.agg(F.count("*").alias("n"))
-    out = rows.select(key, F.row_number().over(w).alias("place"), F.sum((~F.col(right)).cast("long")).over(run).alias("wrong")).join(F.broadcast(n))
+    rows = rows.select(key, trust, F.lit(1).cast("long").alias("one"), (~F.col(right)).cast("long").alias("bad"))
+    out = running(rows, [F.desc(trust), F.asc(key)], {"one": "at", "bad": "wrong"}).withColumn("place", F.col("at").cast("int")).join(F.broadcast(n))
     return out.select("place", key, rounded(F.col("place") / F.col("n"), "coverage"), rounded(F.col("wrong") / F.col("place"), "risk"))
 
 
@@ -102,9 +121,10 @@ def wilson(rows: DataFrame, by: str, hit: str, z: float = Z95) -> DataFrame:
 def benjamini_hochberg(rows: DataFrame, key: str, p: str, q: float = 0.05) -> DataFrame:
     """(key, p, place, rejected): step-up; all up to the last p <= q * place / m are rejected."""
     m = rows.agg(F.count("*").alias("m"))
-    r = rows.select(key, F.col(p).alias("p"), F.row_number().over(Window.orderBy(p, key)).alias("place")).join(F.broadcast(m))
-    last = F.max(F.when(F.col("p") <= q * F.col("place") / F.col("m"), F.col("place"))).over(Window.partitionBy())
-    return r.select(key, "p", "place", (F.col("place") <= F.coalesce(last, F.lit(0))).alias("rejected"))
+    r = rows.select(key, F.col(p).alias("p"), F.lit(1).cast("long").alias("one"))
+    r = running(r, ["p", key], {"one": "at"}).withColumn("place", F.col("at").cast("int")).join(F.broadcast(m))
+    last = r.agg(F.max(F.when(F.col("p") <= q * F.col("place") / F.col("m"), F.col("place"))).alias("last"))
+    return r.join(F.broadcast(last)).select(key, "p", "place", (F.col("place") <= F.coalesce("last", F.lit(0))).alias("rejected"))
 
 
 def quantiles(rows: DataFrame, by: str, value: str, at: tuple[float, ...] = (0.25, 0.5, 0.95)) -> DataFrame:

@@ -30,15 +30,11 @@ def exact_knn(vectors: DataFrame, queries: DataFrame, k: int = 10, query_block:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for q, v in zip(b.column(0), b.column(1)):
-                q, v = q.as_py(), v.as_py()
-                x, y = np.array([r["embedding"] for r in q]), np.array([r["embedding"] for r in v])
-                ids = np.array([r["vec_id"] for r in v])
-                out: list[tuple] = []
-                for r, a in zip(q, x):
-                    d = ((y - a) ** 2).sum(1)
-                    keep = np.lexsort((ids, np.round(d, PLACES)))[:k]
-                    out += [(r["query_id"], int(ids[i]), float(d[i])) for i in keep]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.float64()))], names=["query_id", "vec_id", "distance"])
+                (qid, x), (vid, y) = matrix(q.values), matrix(v.values)
+                d = np.round(np.maximum((x**2).sum(1)[:, None] + (y**2).sum(1) - 2 * x @ y.T, 0), PLACES)
+                near = d <= np.partition(d, min(k, d.shape[1]) - 1, axis=1)[:, min(k, d.shape[1]) - 1, None]  # ties and all
+                i, j = np.nonzero(near)
+                yield pa.RecordBatch.from_arrays([pa.array(qid[i]), pa.array(vid[j]), pa.array(d[i, j])], names=["query_id", "vec_id", "distance"])
 
     near = blocks.select("q").join(chunks.select("v")).mapInArrow(run, "query_id long, vec_id long, distance double")
     near = near.withColumn("distance", F.round("distance", PLACES))
@@ -46,6 +42,12 @@ def exact_knn(vectors: DataFrame, queries: DataFrame, k: int = 10, query_block:
     return near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def matrix(rows: pa.StructArray) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and vectors of an array of structs of both."""
+    x = rows.field(1)
+    return rows.field(0).to_numpy(zero_copy_only=False), x.flatten().to_numpy(zero_copy_only=False).reshape(len(x), -1)
+
+
 def peak(v: Column) -> Column:
     return F.array_max(F.transform(v, lambda x: F.abs(x.cast("double"))))
 

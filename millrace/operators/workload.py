@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.operators.stats import running
+
 
 def usage(requests: DataFrame, price_in: float = 3.0, price_out: float = 15.0) -> DataFrame:
     """requests (…, tokens_in, tokens_out) with cost in USD."""
@@ -37,8 +39,7 @@ def queue_length(rows: DataFrame, at: DataFrame, start: str = "queued", end: str
     """(t, n): rows with start <= t < end at each instant of `at` (t); both are sorted into one running sum."""
     steps = rows.select(F.col(start).alias("t"), F.lit(1).alias("d"), F.lit(0).alias("asks")).unionByName(rows.select(F.col(end).alias("t"), F.lit(-1).alias("d"), F.lit(0).alias("asks")))
     every = steps.groupBy("t", "asks").agg(F.sum("d").alias("d")).unionByName(at.select("t", F.lit(1).alias("asks"), F.lit(0).cast("long").alias("d")).distinct())
-    run = every.withColumn("n", F.sum("d").over(Window.orderBy("t", "asks").rowsBetween(Window.unboundedPreceding, 0)))
-    return run.where("asks = 1").select("t", "n")
+    return running(every, ["t", "asks"], {"d": "n"}).where("asks = 1").select("t", "n")
 
 
 def truncated(text: Column, share: float = 0.7) -> Column:
@@ -63,9 +64,8 @@ def mutated(docs: DataFrame) -> DataFrame:
 
 
 def reachable(edges: DataFrame, start: DataFrame) -> DataFrame:
-    """Nodes that can be reached over edges (src, dst) from start (node), by rounds over the new ones."""
-    found = start.select("node").distinct().cache()
-    new = found
+    """Nodes that can be reached over edges (src, dst) from start (node), by rounds over the new ones, each a checkpoint."""
+    found = new = start.select("node").distinct().checkpoint()
     while not new.isEmpty():
         new = edges.join(new, F.col("src") == F.col("node")).select(F.col("dst").alias("node")).distinct().join(found, "node", "left_anti")
         new = new.checkpoint()

@@ -99,7 +99,7 @@ MH = minhash_sql(16, 4)
 
 
 def rows_of(spark, d):
-    return N.shingle_rows(table(spark, d, "documents"))
+    return N.shingle_sets(table(spark, d, "documents"))
 
 
 @query(f"WITH {MH} SELECT * FROM mh")
@@ -225,10 +225,8 @@ def quantiles(spark, d):
   m AS (SELECT round_, round(avg(v), 9) AS m FROM (SELECT r AS round_, CAST('0x' || left(md5(r || '-' || i), 8) AS BIGINT) % n AS k FROM i, n, generate_series(0, 499) t(r)) JOIN (SELECT i AS k, v FROM i) USING (k) GROUP BY round_)
   SELECT (SELECT round(avg(v), 6) FROM i) AS mean, round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high, round(avg((m <= 0)::INT), 6) AS p_le_zero, round(avg((m >= 0)::INT), 6) AS p_ge_zero FROM m""")
 def bootstrap_ci(spark, d):
-    from pyspark.sql import Window
-
-    items = table(spark, d, "labels").select((F.row_number().over(Window.orderBy("doc_id")) - 1).alias("i"), (F.col("quality") - 0.5).alias("v"))
-    return M.bootstrap(items, "v")
+    rows = table(spark, d, "labels").select("doc_id", (F.col("quality") - 0.5).alias("v"), F.lit(1).cast("long").alias("one"))
+    return M.bootstrap(M.running(rows, ["doc_id"], {"one": "upto"}).select((F.col("upto") - 1).alias("i"), "v"), "v")
 
 
 PS = "ps AS (SELECT CAST(p_size AS VARCHAR) AS k, round((p_size * 7919 % 1000) / 10000, 6) AS p FROM (SELECT DISTINCT p_size FROM part))"

@@ -160,10 +160,10 @@ def traffic(spark: SparkSession, n: int, intents: int = 50, seed: int = 0, greet
 
 def arrivals(spark: SparkSession, n: int, mean_gap_ms: float, seed: int = 0, start_ms: float = 0.0) -> DataFrame:
     """(id, gap_ms, at_ms): exponential gaps; at_ms is their running sum, taken in range partitions."""
-    from millrace.operators.evaluation import running
+    from millrace.operators.stats import running
 
     gaps = spark.range(n).select("id", (-F.log(1 - uniform(seed, "id", F.lit("gap"))) * mean_gap_ms).alias("gap_ms"))
-    return running(gaps, ["id"], "gap_ms", "at_ms").select("id", "gap_ms", (F.col("at_ms") + start_ms).alias("at_ms"))
+    return running(gaps, ["id"], {"gap_ms": "at_ms"}).select("id", "gap_ms", (F.col("at_ms") + start_ms).alias("at_ms"))
 
 
 def heavy_tailed(seed: int, key: Column, least: float = 16.0, alpha: float = 1.2, most: float = 65536.0) -> Column:

@@ -20,7 +20,7 @@ def sets(seed=5):
 
 
 def frame(spark, found):
-    return spark.createDataFrame([(i, s) for i, x in enumerate(found) for s in x], "doc_id long, s long")
+    return spark.createDataFrame([(i, sorted(x)) for i, x in enumerate(found) if x], "doc_id long, s array<long>")
 
 
 def similar(found, least=0.8):
