@@ -1,35 +1,24 @@
-"""The tokenizers library behind a memo of cells.
-
-A *cell* is a run of text that the tokenizer's pre-tokenizer never joins with what stands around it, so the
-ids of a text are those of its cells in turn:
-- words (word_bpe): what lies between white space, which this tokenizer drops;
-- bytes (byte-level): ` ?\\S+`, or white space as the byte-level pattern cuts it. Its matching goes from
-  left to right and starts anew behind each match; a run of other characters takes one space before it,
-  and of a longer run of white space the last character is left for what follows.
-Special strings are cut out first, as the library does. Texts with U+001C to U+001F, which Python and the
-library class differently, are one cell. New cells are cut into pre-tokens by the tokenizer's own pattern,
-and distinct new pre-tokens go to the library many at a time, a line feed between them: it is white space,
-which words drops and which is a pre-token with an id of its own for bytes.
+"""The tokenizers library for tokenizer files that drop white space, behind a memo of words.
+
+The ids of a text are those of its words (what lies between white space) in turn: the pre-tokenizer joins nothing
+across white space. Distinct words that the memo doesn't hold go to the library many at a time, with MARK, which is
+a pre-token with an id of its own, between them; the ids are cut at MARK's. Texts with U+001C to U+001F or U+180E,
+which Python and the library class differently, and words with MARK go to the library as they are.
 """
 
 from __future__ import annotations
 
-import json
 import os
 import re
-import unicodedata
-from functools import lru_cache
 
 import numpy as np
-import regex
 
-from .common import Memo
+from .common import coded, gathered, memo, model
 
-MEMO, WORDS = 700_000, 500_000  #: cells and pre-tokens that a worker remembers
-ODD = re.compile("[\x1c-\x1f᠎]")
-JOINED = 4096  #: pre-tokens that the library gets as one text
-BYTE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"  #: fixed: the byte-level pre-tokenizer's
-BYTE_CELLS = re.compile(r" ?\S+|\s+(?!\S)|\s+")
+MEMO = 256 << 20  #: bytes that a worker's memo may take
+MARK = "\x01"
+ODD = re.compile("[\x01\x1c-\x1f᠎]")
+JOINED = 512  #: words that the library gets as one text
 
 
 def place(name: str) -> str:
@@ -38,103 +27,53 @@ def place(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def tokenizer_of(path: str):
+    """The library's tokenizer of a file, without truncation, padding and threads."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(path)
+    t.no_truncation()
+    t.no_padding()
+    return t
+
+
 class Library:
-    def __init__(self, path: str, drops_space: bool):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
-        self.drops_space = drops_space
-        added = sorted((t.content for t in self.tokenizer.get_added_tokens_decoder().values()), key=len, reverse=True)
-        self.marks = re.compile("(" + "|".join(map(re.escape, added)) + ")") if added else None
-        self.margin = max([3, *map(len, added)]) + 3  #: characters by which a cell's surroundings can decide it
-        with open(path, encoding="utf-8") as f:
-            split = json.load(f)["pre_tokenizer"]
-        self.pattern = regex.compile(split["pretokenizers"][0]["pattern"]["Regex"] if drops_space else BYTE_PATTERN)
-        vocab = self.tokenizer.get_vocab(with_added_tokens=True)
-        self.ends = np.zeros(max(vocab.values(), default=0) + 1, bool)  # ids that end a pre-token
-        for t, i in vocab.items():
-            self.ends[i] = t.endswith("</w>") if drops_space else t == "\u010a"
-        self.ids, self.counts = Memo(MEMO), Memo(MEMO)
-        self.words = Memo(WORDS)
-
-    def cells(self, text: str) -> list[str]:
-        if ODD.search(text):
-            return [text]
-        if self.drops_space:
-            return text.split()
-        if self.marks and self.marks.search(text):
-            return [x for k, part in enumerate(self.marks.split(text)) for x in ([part] if k % 2 else BYTE_CELLS.findall(part))]
-        return BYTE_CELLS.findall(text)
-
-    def parts(self, cell: str) -> list[str] | None:
-        """The pre-tokens of a cell; None if the cell has to go to the library as it is."""
-        if cell.isascii():
-            if self.drops_space:
-                return [cell.lower()] if cell.isalpha() else None if "<" in cell else self.pattern.findall(cell.lower())
-        elif self.drops_space:
-            if "<" in cell or "Σ" in cell:
-                return None
-            cell = unicodedata.normalize("NFC", cell).lower()
-        if not self.drops_space and (cell.isspace() or "<" in cell):
-            return None
-        return self.pattern.findall(cell)
-
-    def whole(self, cells: list[str]) -> list[bytes]:
-        """Ids of texts that the library gets one by one."""
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(cells, add_special_tokens=False)]
-
-    def raw(self, cells: list[str]) -> list[bytes]:
-        """Ids of each cell as little-endian unsigned 32-bit integers."""
-        parts = [None if ODD.search(x) else self.parts(x) for x in cells]
-        words = self.words
-        new = list({w for p in parts if p for w in p if w not in words})
-        if len(words) + len(new) > words.bound:
-            words.clear()
-            new = list({w for p in parts if p for w in p})
-        for at in range(0, len(new), JOINED):
-            part = new[at : at + JOINED]
-            ids = np.array(self.tokenizer.encode_batch_fast(["\n".join(part) + "\n"], add_special_tokens=False)[0].ids, "<u4")
-            cut = (np.flatnonzero(self.ends[ids]) + 1) * 4
+    def __init__(self, path: str):
+        self.path, self.tokenizer = path, tokenizer_of(path)
+        found = self.tokenizer.encode(MARK, add_special_tokens=False).ids
+        if len(found) != 1:
+            raise ValueError(f"{path}: no id of its own for U+0001")
+        self.mark = found[0]
+
+    def words(self, text: str) -> list[str]:
+        return [text] if ODD.search(text) else text.split()
+
+    def raw(self, words: list[str]) -> list[bytes]:
+        """Ids of each word as little-endian unsigned 32-bit integers."""
+        out: list[bytes] = [b""] * len(words)
+        odd = [k for k, w in enumerate(words) if ODD.search(w)]
+        for k, e in zip(odd, self.tokenizer.encode_batch_fast([words[k] for k in odd], add_special_tokens=False)):
+            out[k] = np.array(e.ids, "<u4").tobytes()
+        skip = set(odd)
+        plain = [k for k in range(len(words)) if k not in skip] if skip else range(len(words))
+        for at in range(0, len(plain), JOINED):
+            part = plain[at : at + JOINED]
+            text = f" {MARK} ".join([words[k] for k in part]) + f" {MARK}"
+            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+            cut = np.flatnonzero(ids == self.mark)
             if len(cut) != len(part):
-                raise ValueError("a pre-token was cut by the library")
-            data, cut, less = ids.tobytes(), cut.tolist(), 0 if self.drops_space else 4
-            words.update(zip(part, [data[i : j - less] for i, j in zip([0, *cut], cut)]))
-        odd = [k for k, p in enumerate(parts) if p is None]
-        alone = dict(zip(odd, self.whole([cells[k] for k in odd])))
-        return [alone[k] if p is None else words[p[0]] if len(p) == 1 else b"".join([words[w] for w in p]) for k, p in enumerate(parts)]
-
-    def learn(self, memo: Memo, cells: set[str], value) -> None:
-        new = [x for x in cells if x not in memo]
-        if len(new) + len(memo) > memo.bound:
-            memo.clear()
-            new = list(cells)
-        memo.update(zip(new, map(value, self.raw(new))))
-
-    def forget(self, memo: Memo, cells: set[str]) -> None:
-        for x in [x for x in cells if len(x) > 64]:
-            del memo[x]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers."""
-        lists = [self.cells(t) for t in texts]
-        every = set().union(*lists)
-        self.learn(self.ids, every, bytes)
-        out = [b"".join(map(self.ids.__getitem__, cells)) for cells in lists]
-        self.forget(self.ids, every)
+                raise ValueError("a word was cut by the library")
+            data = ids.tobytes()
+            for k, i, j in zip(part, [0, *(4 * cut[:-1] + 4).tolist()], (4 * cut).tolist()):
+                out[k] = data[i:j]
         return out
 
-    def count(self, lists: list[list[str]]) -> list[int]:
-        """Number of tokens of texts that are given as cells."""
-        every = set().union(*lists)
-        self.learn(self.counts, every, lambda ids: len(ids) // 4)
-        out = [sum(map(self.counts.__getitem__, cells)) for cells in lists]
-        self.forget(self.counts, every)
-        return out
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in a row, and the number of each text's."""
+        words, at, size = coded([self.words(t) for t in texts])
+        return gathered(memo(f"ids of {self.path}", MEMO).values(words, self.raw), at, size)
 
 
-@lru_cache(maxsize=4)
-def library(path: str, drops_space: bool) -> Library:
-    return Library(path, drops_space)
+def library(path: str) -> Library:
+    return model(f"library {path}", lambda: Library(path))

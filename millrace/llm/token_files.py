@@ -29,8 +29,9 @@ from .library import library, place
 MOST = 16  #: bits of the longest code
 EVERY = 256  #: ids between two checkpoints
 BLOCK = 1 << 18  #: ids after which a block ends
-SHARD = 1 << 22  #: ids a shard holds on average
-GROUP = 1 << 20  #: characters that are encoded together
+SHARD = 1 << 22  #: ids a shard holds on average,
+SHARDS = 1 << 12  #: as long as there are no more shards than these; from there on shards grow, up to 16 times
+GROUP = 1 << 22  #: characters that are encoded together
 END = 2
 IDS = "doc_id long, n long, crc long, ids binary"
 BLOCKS = "shard int, block int, before long, n_ids long, doc_ids binary, no_id binary, sizes binary, checkpoints binary, bits binary"
@@ -112,13 +113,8 @@ class Code:
         return out.T.reshape(-1)[:n] if len(out) == EVERY else out.T.reshape(-1)
 
 
-def narrow(raw: bytes) -> bytes:
-    """32-bit ids as 16-bit ones if all of them fit; a mark behind them tells which."""
-    ids = np.frombuffer(raw, "<u4")
-    return ids.astype("<u2").tobytes() + b"2" if len(ids) and ids.max() < 1 << 16 else raw + b"4"
-
-
 def widened(raw: bytes) -> np.ndarray:
+    """Ids that are stored as 16-bit or 32-bit numbers; a mark behind them tells which."""
     return np.frombuffer(raw, "<u2" if raw[-1:] == b"2" else "<u4", (len(raw) - 1) // int(raw[-1:]))
 
 
@@ -126,22 +122,28 @@ def encoded(docs: DataFrame, path: str | None = None, end: int = END) -> DataFra
     """A stored table of the ids of each document, the end id behind them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lib = library(path or place("word_bpe_49k.json"), True)
-        tail = np.array([end], "<u4").tobytes()
+        lib = library(path or place("word_bpe_49k.json"))
         for b in batches:
-            texts, ids, at = b.column(1), [], 0
-            sizes = [len(t) for t in (x.as_py() or "" for x in texts)]
+            sizes = [len(x.as_py() or "") for x in b.column(1)]
+            at = 0
             while at < len(sizes):
                 stop, held = at + 1, sizes[at]
                 while stop < len(sizes) and held + sizes[stop] <= GROUP:
                     held += sizes[stop]
                     stop += 1
-                ids += [x + tail for x in lib.encode([t.as_py() or "" for t in texts[at:stop]])]
+                flat, n = lib.encode([t.as_py() or "" for t in b.column(1)[at:stop]])
+                flat = np.insert(flat, np.cumsum(n), end).astype("<u4")  # an end behind each document
+                cut = np.r_[0, np.cumsum(n + 1)].tolist()
+                raw = memoryview(flat.tobytes())
+                short = memoryview(flat.astype("<u2").tobytes()) if flat.max() < 1 << 16 else None
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        b.column(0)[at:stop].cast(pa.int64()), pa.array(n + 1, pa.int64()), pa.array([zlib.crc32(raw[4 * i : 4 * j]) for i, j in zip(cut, cut[1:])], pa.int64()),
+                        pa.array([bytes(short[2 * i : 2 * j]) + b"2" if short else bytes(raw[4 * i : 4 * j]) + b"4" for i, j in zip(cut, cut[1:])], pa.binary()),
+                    ],
+                    names=["doc_id", "n", "crc", "ids"],
+                )
                 at = stop
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0).cast(pa.int64()), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([zlib.crc32(x) for x in ids], pa.int64()), pa.array([narrow(x) for x in ids], pa.binary())],
-                names=["doc_id", "n", "crc", "ids"],
-            )
 
     return stored(docs.select("doc_id", "text").mapInArrow(run, IDS), "token-ids")
 
@@ -195,7 +197,7 @@ def write_blocks(ids: DataFrame, code: Code, total: int, shard_ids: int = SHARD,
         if docs:
             yield flush()
 
-    shards = max(1, -(-total // shard_ids))
+    shards = max(1, min(-(-total // shard_ids), SHARDS), -(-total // (16 * shard_ids)))
     dealt = ids.repartitionByRange(shards, "doc_id", "n", "crc").sortWithinPartitions("doc_id", "n", "crc")
     return stored(dealt.select("doc_id", "ids").mapInArrow(run, BLOCKS), "token-blocks")
 
