@@ -10,7 +10,8 @@ width, height, bit depth and colour type from the first 33 bytes of each member
 reads members back and computes what depends on their content.
 
 Edge cases: null and empty texts are 192 blanks; equal texts have equal digests and features; rows are
-otherwise independent, and an empty table gives no shards and no rows.
+otherwise independent, and an empty table gives no shards and no rows; columns other than doc_id and text, of whatever
+names, are not read; a very long text needs a few times its own size.
 """
 
 from __future__ import annotations
@@ -26,12 +27,14 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.fs
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from .common import Memo, scratch, stored
+from .common import scratch, stored
 
 ROW = 192
 SHARD_BYTES = 64 << 20
-SEEN = 200_000  #: digests that a writer or reader remembers
+SEEN = 100_000  #: digests or members that a writer or reader remembers
+READ = 16 << 20  #: bytes of members that a task reads back
 HEAD = 33  #: bytes of a PNG's signature and header
 INDEX = "doc_id long, n_bytes long, digest string, shard string, offset long, length long"
 META = INDEX + ", width int, height long, bit_depth int, colour int"
@@ -94,7 +97,7 @@ class ShardWriter:
         self.fs, self.folder = pa.fs.FileSystem.from_uri(folder)
         self.uri, self.most = folder, most
         self.out = None
-        self.seen = Memo(SEEN)
+        self.seen: dict[str, tuple[str, int, int]] = {}
 
     def add(self, digest: str, payload: bytes) -> tuple[str, int, int]:
         """Shard, offset and length of the member."""
@@ -112,7 +115,8 @@ class ShardWriter:
         self.out.write(header + data + bytes(-len(data) % 512))
         found = f"{self.uri}/{self.name}", self.at + len(header), len(data)
         self.at += len(header) + len(data) + -len(data) % 512
-        self.seen.room(1)
+        if len(self.seen) >= SEEN:
+            self.seen.clear()
         self.seen[digest] = found
         return found
 
@@ -190,14 +194,17 @@ def feature_of(samples: bytes) -> str:
 
 
 def features(rows: DataFrame) -> DataFrame:
-    """What the contract names, from the members as they are read back; rows: a result of metadata()."""
+    """What the contract names, from the members as they are read back; rows: a result of metadata().
+
+    Each member, that is each shard and offset, is read; rows that name the same one take what was found there.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader, seen = ShardReader(), Memo(SEEN)
+        reader, seen = ShardReader(), {}
         for b in batches:
             out = []
             for doc_id, n, digest, shard, offset, length, width, height, _, _ in map(lambda r: tuple(r.values()), b.to_pylist()):
-                if (found := seen.get(digest)) is None:
+                if (found := seen.get((shard, offset))) is None:
                     data = reader.read(shard, offset, length)
                     payload = from_png(data)
                     found = (
@@ -207,8 +214,11 @@ def features(rows: DataFrame) -> DataFrame:
                         hashlib.sha256(data).hexdigest(),
                         feature_of(payload),
                     )
-                    seen.room(1)
-                    seen[digest] = found
+                    if found[0] != digest:
+                        raise ValueError(f"{shard} at {offset}: content {found[0]}, not {digest}")
+                    if len(seen) >= SEEN:
+                        seen.clear()
+                    seen[shard, offset] = found
                 out.append((doc_id, n, width * height, *found, width, height, shard, offset))
             yield batch(FEATURES, out)
         reader.close()
@@ -216,8 +226,14 @@ def features(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, FEATURES)
 
 
+def spread(index: DataFrame, read: int = READ) -> DataFrame:
+    """The rows of an index in order of their members, dealt so that a task reads about `read` bytes."""
+    size = index.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+    return index.repartitionByRange(max(1, -(-size // read)), "shard", "offset", "doc_id")
+
+
 INDEX_COLUMNS = [f.split()[0] for f in INDEX.split(", ")]
 
 
 def media_columns(docs: DataFrame) -> DataFrame:
-    return features(metadata(index_of(docs)))
+    return features(metadata(spread(index_of(docs))))
