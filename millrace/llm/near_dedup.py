@@ -4,23 +4,33 @@ Sketch. A document's set is its distinct word shingles, hashed to 64 bits. Two f
 groups of `ROWS` minhashes each are computed; a table is a pair (i, j) of a group of A and a group of B,
 its key the two groups' values. So GROUPS^2 tables cost 2*GROUPS*ROWS minhashes, about the square root of what
 separate tables would. At similarity s a pair shares a table with probability (1-(1-s^ROWS)^GROUPS)^2,
-0.99998 at 0.8 and more above.
+0.9998 at 0.8 and more above.
 
 Steps; everything is a stored table, so nothing that is lost has to be computed from the start:
 1. Documents with equal sets form a class, whose least doc_id stands for it; copies meet in one
    aggregation that combines before the shuffle.
 2. Groups' values that only one class has are dropped; keys are formed from the rest, and again those of one
    class are dropped. What is left is the buckets.
-3. Rounds: each bucket has a centre (another one each round); each class takes, of the centres of its buckets
-   that lie in another component, the one that it shares most buckets with. These pairs, one a class at
-   most, are confirmed on full sets, and components joined.
-4. What the rounds left open: pairs of classes of one bucket that lie in different components, are near
-   enough in size and were not compared are compared too, so no pair of a bucket is lost. Pairs of one
-   component need no comparison: they can't change the result.
+3. Rounds: each bucket has a centre, in the first round the class that most keys could hold, which is the one nearest
+   to the others, then another one each round. Each class takes, of the centres of its buckets that lie in another
+   component, the one that it shares most buckets with. These pairs, one a class at most, are confirmed on full sets,
+   and components joined. Buckets that lie in one component are done.
+4. Peeling: a class shares with others only those shingles that a class of another component has too. If these are f of
+   its n, it can be similar to no set of more than ((100 + similar) f - similar n) / similar shingles; classes none of
+   whose groups (of one value of family A) holds one that small leave. This is exact, and takes out most classes that
+   are merely alike.
+5. What is left meets once more, by values of family A (two of one bucket share one). Each such group is cut into blocks
+   of bounded bytes, and every two blocks meet in a task, which compares their classes' sets of different components as
+   a product of matrices and hands on links that join something. So no pair of a bucket is lost, and no pairs are
+   written; the work is that of all pairs of what step 4 leaves in a group.
+
+Sets are of 64-bit hashes of shingles, and n_shingles counts them: two different shingles of one document, or of a pair,
+coincide with probability 2^-64 each.
 
 Edge cases: null or empty texts, or texts without words, have an empty set, n_shingles 0 and their own id;
 fewer words than a shingle has make one shingle of all; rows without doc_id have no component and are
-kept; rows that are repeated with their doc_id are one document.
+kept; rows that are repeated with their doc_id are one document; an empty table gives no rows; columns other than doc_id
+and text, of whatever names, are not read; a very long text needs a few times its own size.
 """
 
 from __future__ import annotations
@@ -30,40 +40,32 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, stored
+from .common import coded, dropped, released, stored
 
 WORDS, SIMILAR = 4, 80  #: words of a shingle; per cent
-GROUPS, ROWS, ROUNDS, SEED = 16, 3, 3, 11
+GROUPS, ROWS, ROUNDS, SEED = 18, 4, 3, 11
 SKETCH = "doc_id long, n_shingles long, class string, a array<long>, b array<long>"
 FEW = 500_000  #: ids up to which a counted table of ids is broadcast
-MEMO = 500_000
+SEEN = 200_000  #: classes that a task remembers to have sketched
+CHARS = 1 << 21  #: of texts whose words are hashed together
+BLOCK = 1 << 20  #: bytes of the sets of a block in step 5
+COLUMNS = 4096  #: shingles that are compared at a time
+EDGES = 500_000  #: edges that a task contracts
 
 
 class Shingler:
     def __init__(self, words: int):
-        self.words, self.memo = words, Memo(MEMO)
+        self.words = words
         rng = np.random.default_rng(SEED)
         self.odd = rng.integers(1, 1 << 63, words, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
-    def hash(self, word: bytes) -> int:
-        return int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
-
-    def set_of(self, text: str | None) -> np.ndarray:
-        """Sorted distinct 64-bit hashes of the shingles."""
-        words = text.encode().lower().split() if text else []
-        if not words:
-            return np.zeros(0, np.uint64)
-        memo = self.memo
-        new = [w for w in set(words) if w not in memo]
-        if len(new):
-            if len(new) + len(memo) > memo.bound:
-                memo.clear()
-                new = set(words)
-            memo.update({w: self.hash(w) for w in new})
-        h = np.fromiter(map(memo.__getitem__, words), np.uint64, len(words))
+    def set_of(self, h: np.ndarray) -> np.ndarray:
+        """Sorted distinct 64-bit hashes of the shingles of words that are given by their hashes."""
+        if not len(h):
+            return h
         if len(h) < self.words:
             h = np.r_[h, np.zeros(self.words - len(h), np.uint64)]
         total = np.zeros(len(h) - self.words + 1, np.uint64)
@@ -74,6 +76,22 @@ class Shingler:
         total ^= total >> np.uint64(32)
         return np.unique(total)
 
+    def sets(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        """The set of each text; words of many texts are hashed together, each distinct one once."""
+        at = 0
+        while at < len(texts):
+            lists, held = [], 0
+            while at < len(texts) and held < CHARS:
+                text = texts[at].as_py() or ""
+                lists.append(text.encode().lower().split())
+                held += len(text)
+                at += 1
+            words, place, size = coded(lists, pa.large_binary())
+            hashes = np.frombuffer(b"".join([hashlib.blake2b(w, digest_size=8).digest() for w in words]), np.uint64)[place]
+            cut = np.r_[0, np.cumsum(size)]
+            for i, j in zip(cut[:-1], cut[1:]):
+                yield self.set_of(hashes[i:j])
+
 
 def minhashes(x: np.ndarray, groups: int, rows: int) -> np.ndarray:
     """2*groups values: of each group of rows minhashes one 64-bit hash."""
@@ -94,24 +112,24 @@ def sketches(docs: DataFrame, words: int = WORDS, groups: int = GROUPS, rows: in
     """doc_id, size and class of the set, the groups' values; no shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        released()
         s = Shingler(words)
         seen: set[str] = set()
         for b in batches:
-            for at in range(0, b.num_rows, 500):
-                out = []
-                for d, t in zip(b.column(0)[at : at + 500].to_pylist(), b.column(1)[at : at + 500]):
-                    x = s.set_of(t.as_py())
-                    if not len(x):
-                        out.append((d, 0, None, None, None))
-                        continue
-                    name = hashlib.blake2b(x.tobytes(), digest_size=16).hexdigest()
-                    if name in seen:  # a class's sketch is needed once
-                        out.append((d, len(x), name, None, None))
-                        continue
-                    if len(seen) < MEMO:
-                        seen.add(name)
-                    m = minhashes(x, groups, rows)
-                    out.append((d, len(x), name, m[:groups], m[groups:]))
+            out = []
+            for d, x in zip(b.column(0).to_pylist(), s.sets(b.column(1))):
+                if not len(x):
+                    out.append((d, 0, None, None, None))
+                    continue
+                name = hashlib.blake2b(x.tobytes(), digest_size=16).hexdigest()
+                if name in seen:  # a class's sketch is needed once
+                    out.append((d, len(x), name, None, None))
+                    continue
+                if len(seen) < SEEN:
+                    seen.add(name)
+                m = minhashes(x, groups, rows)
+                out.append((d, len(x), name, m[:groups], m[groups:]))
+            if out:
                 kinds = [pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int64())]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=[f.split()[0] for f in SKETCH.split(", ")])
 
@@ -128,10 +146,11 @@ def sets_of(docs: DataFrame, nodes: DataFrame, words: int = WORDS) -> DataFrame:
     """(node, n_shingles, shingles) of the documents named by nodes, from their texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        released()
         s = Shingler(words)
         for b in batches:
             for at in range(0, b.num_rows, 500):
-                sets = [s.set_of(t.as_py()) for t in b.column(1)[at : at + 500]]
+                sets = list(s.sets(b.column(1)[at : at + 500]))
                 columns = [b.column(0)[at : at + 500].cast(pa.int64()), pa.array([len(x) for x in sets], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, names=["node", "n_shingles", "shingles"])
 
@@ -139,47 +158,61 @@ def sets_of(docs: DataFrame, nodes: DataFrame, words: int = WORDS) -> DataFrame:
     return rows.mapInArrow(run, "node long, n_shingles long, shingles binary").where("n_shingles > 0")
 
 
-def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Components of a counted, small number of edges in one task."""
-    root: dict[int, int] = {}
+class Forest:
+    """Union-find; the root of a component is its least member."""
+
+    def __init__(self):
+        self.parent: dict[int, int] = {}
 
-    def find(x: int) -> int:
-        while root.setdefault(x, x) != x:
-            root[x] = root[root[x]]
-            x = root[x]
+    def find(self, x: int) -> int:
+        parent = self.parent
+        while parent.setdefault(x, x) != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
         return x
 
+    def join(self, x: int, y: int) -> bool:
+        x, y = self.find(x), self.find(y)
+        self.parent[max(x, y)] = min(x, y)
+        return x != y
+
+
+def contracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The components of a partition's edges, as stars."""
+    f = Forest()
     for b in batches:
         for u, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            a, c = find(u), find(v)
-            root[max(a, c)] = min(a, c)
-    nodes = list(root)
-    yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([find(x) for x in nodes], pa.int64())], names=["node", "root"])
+            f.join(u, v)
+    nodes = list(f.parent)
+    yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([f.find(x) for x in nodes], pa.int64())], names=["u", "v"])
 
 
-def components(edges: DataFrame, few: int = 500_000) -> DataFrame:
+def components(edges: DataFrame, task_edges: int = EDGES) -> DataFrame:
     """(node, root) for all nodes of edges (u, v), root being the least node that can be reached.
 
-    Up to `few` edges are joined in one task. Beyond that:
-    alternating large-star and small-star rounds; the degree of a node doesn't matter, as its neighbours' least
-    is a partial aggregate and each round only replaces edges.
+    Edges are dealt into partitions of about `task_edges`, each of which is contracted to stars in its task; large-star
+    and small-star rounds join the partitions' stars, until nothing changes. With one partition, nothing is left to do
+    after the contraction. The degree of a node doesn't matter, as its neighbours' least is a partial aggregate.
     """
     e = stored(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u != v").distinct(), "edges")
-    if e.limit(few + 1).count() <= few:
-        return e.coalesce(1).mapInArrow(joined, "node long, root long")
     sign = None
     while True:
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
-        down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        low = down.groupBy("u").agg(F.min("v").alias("m"))
-        small = down.join(low, "u").select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("e")).select(F.col("e.v").alias("u"), F.col("e.m").alias("v"))
-        e = stored(small.where("u != v").distinct(), "edges")
-        now = e.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first()
-        if now == sign:
-            roots = e.select(F.col("u").alias("node"), F.col("v").alias("root"))
-            return roots.unionByName(roots.select(F.col("root").alias("node"), "root")).groupBy("node").agg(F.min("root").alias("root"))
+        parts = max(1, -(-e.count() // task_edges))
+        dealt = e.coalesce(1) if parts == 1 else e.repartition(parts, "v")
+        stars = stored(dealt.mapInArrow(contracted, "u long, v long").where("u != v"), "stars")
+        dropped(e.sparkSession, e)
+        if parts > 1:
+            both = stars.unionByName(stars.select(F.col("v").alias("u"), F.col("u").alias("v")))
+            low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+            large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
+            low = large.groupBy("u").agg(F.min("v").alias("m"))
+            small = large.join(low, "u").select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("e")).select(F.col("e.v").alias("u"), F.col("e.m").alias("v"))
+            e = stored(small.where("u != v").distinct(), "edges")
+            now = e.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first()
+        if parts == 1 or now == sign:
+            done = stars if parts == 1 else e
+            roots = done.select(F.col("u").alias("node"), F.col("v").alias("root"))
+            return roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
         sign = now
 
 
@@ -215,58 +248,150 @@ def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
     return stored(labels.join(roots.withColumnRenamed("node", "root"), "root", "left").select("node", F.coalesce("to", "root").alias("root")), "labels")
 
 
-def buckets_of(values: DataFrame, groups: int) -> DataFrame:
-    """(key, node): the tables' buckets that hold more than one node. values: (node, a, b)."""
-    flat = values.select(
-        "node",
-        F.posexplode(F.concat("a", "b")).alias("at", "v"),
-    )
-    flat = stored(flat, "values")
+def buckets_of(values: DataFrame, groups: int) -> tuple[DataFrame, DataFrame]:
+    """(key, node, weight): the tables' buckets that hold more than one node; (node, v): shared values of family A.
+
+    values: (node, a, b). weight: how many keys of a node could be shared.
+    """
+    flat = stored(values.select("node", F.posexplode(F.concat("a", "b")).alias("at", "v")), "values")
     shared = flat.groupBy("v").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo != hi").select("v")
     hit = flat.join(shared, "v", "left_semi")
     sides = hit.groupBy("node").agg(
         F.collect_set(F.when(F.col("at") < groups, F.col("v"))).alias("a"),
         F.collect_set(F.when(F.col("at") >= groups, F.col("v"))).alias("b"),
     )  # 2 * groups values at most
-    keys = sides.select("node", F.explode("a").alias("x"), "b").select("node", "x", F.explode("b").alias("y"))
-    keys = stored(keys.select(F.xxhash64("x", "y").alias("key"), "node"), "keys")
+    sides = stored(sides, "sides")
+    dropped(flat.sparkSession, flat)
+    weight = (F.size("a") * F.size("b")).alias("weight")
+    keys = sides.select("node", weight, F.explode("a").alias("x"), "b").select("node", "weight", "x", F.explode("b").alias("y"))
+    keys = stored(keys.select(F.xxhash64("x", "y").alias("key"), "node", "weight"), "keys")
     full = keys.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo != hi").select("key")
-    return stored(keys.join(full, "key", "left_semi"), "buckets")
+    buckets = stored(keys.join(full, "key", "left_semi"), "buckets")
+    dropped(flat.sparkSession, keys)
+    return buckets, sides.select("node", F.explode("a").alias("v"))
+
+
+def still_mixed(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """The members, with their roots, of buckets that lie in several components."""
+    here = members.join(labels, "node")
+    keys = here.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("key")
+    return here.join(keys, "key", "left_semi")
+
+
+def peeled(here: DataFrame, values: DataFrame, sets: DataFrame, similar: int = SIMILAR) -> DataFrame:
+    """(node, root) of the members that could still have a link to a member of another component (step 4).
+
+    Groups are those of values of family A, of which a member has a few: they hold the buckets."""
+
+    def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for node, root, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
+                x = np.frombuffer(x.as_buffer(), np.int64)
+                columns = [pa.array(np.full(len(x), node)), pa.array(np.full(len(x), root)), pa.array(x)]
+                yield pa.RecordBatch.from_arrays(columns, names=["node", "root", "s"])
+
+    nodes = here.select("node", "root").distinct()
+    rows = nodes.join(sets.select("node", "shingles"), "node").select("node", "root", "shingles").mapInArrow(shingles, "node long, root long, s long")
+    rows = stored(rows, "shingles")
+    both = rows.groupBy("s").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("s")
+    f = rows.join(both, "s", "left_semi").groupBy("node").agg(F.count("*").alias("f"))
+    reach = nodes.join(f, "node").join(sets.select("node", "n_shingles"), "node")
+    reach = reach.select("node", "root", "n_shingles", F.floor(((100 + similar) * F.col("f") - similar * F.col("n_shingles")) / similar).alias("reach"))
+    members = values.join(reach, "node")
+    least = members.groupBy("v").agg(F.min("n_shingles").alias("least"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("v", "least")
+    out = stored(members.join(least, "v").where("reach >= least").select("node", "root").distinct(), "open")
+    dropped(rows.sparkSession, rows)
+    return out
+
+
+def meet(nodes: list[int], roots: list[int], side: np.ndarray, sets: list[np.ndarray], similar: int) -> Iterator[tuple[int, int]]:
+    """Links that join components, of the nodes of one block (side 0 alone) or of two. All pairs are compared, as a
+    product of the matrices of nodes and shingles, COLUMNS shingles at a time."""
+    size = np.array([len(x) for x in sets], np.int64)
+    _, column, n = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(sets)), size)
+    used = n[column] > 1
+    number = np.cumsum(n > 1) - 1
+    row, column = row[used], number[column[used]]
+    by = np.argsort(column, kind="stable")
+    row, column = row[by], column[by]
+    left = np.flatnonzero(side == 0)
+    right = np.flatnonzero(side == 1) if side.any() else left
+    common = np.zeros((len(left), len(right)), np.float32)
+    for at in range(0, int(number[-1]) + 1, COLUMNS):
+        i, j = np.searchsorted(column, [at, at + COLUMNS])
+        m = np.zeros((len(sets), COLUMNS), np.float32)
+        m[row[i:j], column[i:j] - at] = 1
+        common += m[left] @ m[right].T
+    common = common.astype(np.int64)
+    f = Forest()
+    for k, i in enumerate(left):
+        near = right[100 * common[k] >= similar * (size[i] + size[right] - common[k])]
+        for j in near.tolist():
+            if i != j and f.join(roots[i], roots[j]):
+                yield nodes[i], nodes[j]
+
+
+def rest_links(open_: DataFrame, values: DataFrame, sets: DataFrame, similar: int = SIMILAR, block: int = BLOCK) -> DataFrame:
+    """(u, v): confirmed links between components of the open nodes that share a value, enough to join all that are linked."""
+    rows = open_.join(values, "node").join(sets.select("node", F.length("shingles").alias("bytes")), "node")
+    rows = stored(rows.select("v", "node", "root", "bytes"), "open-values")
+    same = ["lo", "hi", "count", "low", "high", "sign", "bytes"]  # groups of the same nodes meet once
+    groups = rows.groupBy("v").agg(
+        F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("count"), F.min("node").alias("low"), F.max("node").alias("high"),
+        F.bit_xor(F.xxhash64("node")).alias("sign"), F.sum("bytes").alias("bytes"),
+    )
+    groups = groups.where("lo != hi").groupBy(*same).agg(F.min("v").alias("v")).select("v", F.ceil(F.col("bytes") / block).alias("blocks"))
+    cells = rows.join(groups, "v").withColumn("mine", F.pmod(F.xxhash64("node"), "blocks"))
+    cells = cells.select("v", "node", "root", "mine", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
+    cells = cells.select("v", F.least("mine", "other").alias("p"), F.greatest("mine", "other").alias("q"), "mine", "node", "root")
+    cells = cells.join(sets.select("node", "shingles"), "node").select("v", "p", "q", "mine", "node", "root", "shingles")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, held = None, []
+
+        def links() -> pa.RecordBatch:
+            nodes, roots, mine, sets = zip(*held)
+            found = list(meet(nodes, roots, (np.array(mine) != cell[1]).astype(int), [np.frombuffer(x, np.uint64) for x in sets], similar)) if len(set(roots)) > 1 else []
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["u", "v"])
+
+        for b in batches:
+            for v, p, q, mine, node, root, x in zip(*[c.to_pylist() for c in b.columns]):
+                if cell != (v, p, q):
+                    if held:
+                        yield links()
+                    cell, held = (v, p, q), []
+                held.append((node, root, mine, x))
+        if held:
+            yield links()
+
+    dealt = cells.repartition("v", "p", "q").sortWithinPartitions("v", "p", "q")
+    return dealt.mapInArrow(run, "u long, v long")
 
 
-def linked(buckets: DataFrame, sets: DataFrame, similar: int = SIMILAR, rounds: int = ROUNDS) -> DataFrame:
+def linked(buckets: DataFrame, values: DataFrame, sets: DataFrame, similar: int = SIMILAR, rounds: int = ROUNDS) -> DataFrame:
     """(node, root) of the nodes in buckets: the components of the confirmed links."""
     labels = stored(sets.select("node").distinct().select("node", F.col("node").alias("root")), "labels")
-    sizes = sets.groupBy("node").agg(F.min("n_shingles").alias("least"), F.max("n_shingles").alias("most"))
-    members = stored(buckets.join(sizes, "node"), "members")
-    tested = None
-    for k in range(rounds + 1):
+    members = buckets
+    for k in range(rounds):
         here = members.join(labels, "node")
-        if k < rounds:
-            centre = here.groupBy("key").agg(
-                F.min_by(F.struct("node", "root"), F.xxhash64("node", F.lit(k))).alias("m"), F.min("root").alias("lo"), F.max("root").alias("hi")
-            )
-            centre = centre.where("lo != hi").select("key", F.col("m.node").alias("to"), F.col("m.root").alias("to_root"))
-            near = here.join(centre, "key").where("root != to_root").groupBy("node", "to").count()
-            pairs = near.groupBy("node").agg(F.max_by("to", F.struct("count", "to")).alias("to"))
-            pairs = pairs.select(F.least("node", "to").alias("u"), F.greatest("node", "to").alias("v")).distinct()
-        else:
-            mixed = here.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("key")
-            left = here.join(mixed, "key", "left_semi")
-            right = left.select("key", F.col("node").alias("v"), F.col("root").alias("other"), F.col("least").alias("l2"), F.col("most").alias("m2"))
-            pairs = left.join(right, "key").where((F.col("node") < F.col("v")) & (F.col("root") != F.col("other")))
-            pairs = pairs.where((100 * F.col("most") >= similar * F.col("l2")) & (100 * F.col("m2") >= similar * F.col("least")))
-            pairs = pairs.select(F.col("node").alias("u"), "v").distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["u", "v"], "left_anti")
-        pairs = stored(pairs, "pairs")
-        if pairs.isEmpty():
-            continue
-        tested = pairs if tested is None else tested.unionByName(pairs)
+        first = F.struct("weight", F.xxhash64("node")) if k == 0 else F.xxhash64("node", F.lit(k))
+        centre = here.groupBy("key").agg(F.max_by(F.struct("node", "root"), first).alias("m"))
+        centre = centre.select("key", F.col("m.node").alias("to"), F.col("m.root").alias("to_root"))
+        near = here.join(centre, "key").where("root != to_root").groupBy("node", "to").count()
+        pairs = near.groupBy("node").agg(F.max_by("to", F.struct("count", "to")).alias("to"))
+        pairs = stored(pairs.select(F.least("node", "to").alias("u"), F.greatest("node", "to").alias("v")).distinct(), "pairs")
         links = stored(confirmed(pairs, sets, similar), "links")
         if not links.isEmpty():
             labels = merged(labels, links)
-    return labels
+        left = stored(still_mixed(members, labels).select("key", "node", "weight"), "members")
+        dropped(buckets.sparkSession, members)
+        members = left
+        if members.isEmpty():
+            return labels
+    open_ = peeled(still_mixed(members, labels), values, sets, similar)
+    links = stored(rest_links(open_, values, sets, similar), "links")
+    return labels if links.isEmpty() else merged(labels, links)
 
 
 def groups_of(docs: DataFrame, words: int = WORDS, similar: int = SIMILAR, groups: int = GROUPS, rows: int = ROWS, rounds: int = ROUNDS) -> DataFrame:
@@ -274,9 +399,9 @@ def groups_of(docs: DataFrame, words: int = WORDS, similar: int = SIMILAR, group
     drawn = stored(sketches(docs, words, groups, rows), "sketches")
     classes = stored(drawn.where("class is not null and doc_id is not null").groupBy("class").agg(F.min("doc_id").alias("node")), "classes")
     first = drawn.where("a is not null").join(classes, "class")
-    buckets = buckets_of(first.groupBy("node", "class").agg(F.first("a").alias("a"), F.first("b").alias("b")), groups)
+    buckets, values = buckets_of(first.groupBy("node", "class").agg(F.first("a").alias("a"), F.first("b").alias("b")), groups)
     sets = sets_of(docs, stored(buckets.select("node").distinct(), "nodes"), words)
-    labels = linked(buckets, stored(sets, "sets"), similar, rounds)
+    labels = linked(buckets, values, stored(sets, "sets"), similar, rounds)
     roots = classes.join(labels, "node", "left").select("class", F.coalesce("root", "node").alias("root"))
     out = drawn.select("doc_id", "n_shingles", "class").join(roots, "class", "left")
     out = out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id")).alias("component_id"))

@@ -78,6 +78,15 @@ def test_rest_finds_what_rounds_leave(spark):
     assert {tuple(r) for r in near_dedup.groups_of(docs, rounds=0).collect()} == brute(rows)
 
 
+def test_blocks_meet(spark, monkeypatch):
+    rows = corpus(4)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    rest = near_dedup.rest_links
+    monkeypatch.setattr(near_dedup, "rest_links", lambda *x: rest(*x, block=2000))
+    monkeypatch.setattr(near_dedup, "COLUMNS", 50)
+    assert {tuple(r) for r in near_dedup.groups_of(docs, rounds=0).collect()} == brute(rows)
+
+
 def test_empty(spark):
     assert near_dedup.groups_of(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
@@ -85,6 +94,6 @@ def test_empty(spark):
 def test_components_of_a_long_chain(spark):
     edges = [(k, k + 1) for k in range(60)] + [(100, k) for k in range(101, 140)]
     random.Random(1).shuffle(edges)
-    for few in (0, 500_000):
-        got = dict(map(tuple, near_dedup.components(spark.createDataFrame(edges, "u long, v long"), few).collect()))
+    for task_edges in (20, 500_000):
+        got = dict(map(tuple, near_dedup.components(spark.createDataFrame(edges, "u long, v long"), task_edges).collect()))
         assert got == {k: 0 for k in range(61)} | {k: 100 for k in range(100, 140)}
