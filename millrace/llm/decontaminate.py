@@ -8,12 +8,14 @@ what is left with all others'. A start that all of a window's terms confirm is a
 a slack, terms may stand that many places off, which gives proximity matches.
 
 Sizes: the index has a posting for each occurrence and is dealt by row, so no term's postings meet in one
-task. Benchmark terms, windows and candidate rows are broadcast only if they were counted and are few;
-beyond that, joins shuffle. Windows with a term that occurs nowhere are dropped before any join.
+task. Benchmark terms, windows' numbers and candidate rows are broadcast only if they were counted and are few;
+beyond that, joins shuffle by term or window, and it is adaptive execution that splits the partition of a frequent term.
+Windows with a term that occurs nowhere are dropped before any join.
 
 Edge cases: null or empty texts have no words and no hits; items without words have no windows; items of
 fewer words than a window are one window; equal windows of several items count for each of them; rows are
-told apart by a row number, so null and repeated doc_ids are kept as they are.
+told apart by a row number, so null and repeated doc_ids are kept as they are; empty tables give no rows, or rows
+without hits; other columns, of whatever names, are not read (clean() keeps them); a very long text is indexed whole.
 """
 
 from __future__ import annotations
@@ -40,12 +42,13 @@ def few(df: DataFrame, most: int = FEW) -> DataFrame:
 
 
 def windows_of(items: DataFrame, size: int = WINDOW) -> tuple[DataFrame, DataFrame]:
-    """(window, offset, term) of each distinct window, and (window, item_id). A window is its words, joined."""
+    """(window, offset, term) of each distinct window, and (window, item_id). Windows are known by numbers."""
     words = items.select("item_id", F.filter(pieces(F.col("text")), lambda w: w != "").alias("w")).where(F.size("w") > 0)
     starts = words.select("item_id", "w", F.explode(F.sequence(F.lit(1), F.greatest(F.size("w") - (size - 1), F.lit(1)))).alias("at"))
-    found = stored(starts.select("item_id", F.array_join(F.slice("w", F.col("at"), size), " ").alias("window")).distinct(), "windows")
-    terms = found.select("window").distinct().select("window", F.posexplode(F.split("window", " ")).alias("off", "term"))
-    return stored(terms, "window-terms"), found
+    found = stored(starts.select("item_id", F.array_join(F.slice("w", F.col("at"), size), " ").alias("words")).distinct(), "windows")
+    numbered = stored(found.select("words").distinct().withColumn("window", F.monotonically_increasing_id()), "window-numbers")
+    terms = numbered.select("window", F.posexplode(F.split("words", " ")).alias("off", "term"))
+    return stored(terms, "window-terms"), stored(found.join(numbered, "words").select("window", "item_id"), "window-items")
 
 
 def index_of(docs: DataFrame, terms: DataFrame) -> DataFrame:
@@ -59,7 +62,8 @@ def index_of(docs: DataFrame, terms: DataFrame) -> DataFrame:
 
 
 def matches(index: DataFrame, terms: DataFrame, slack: int = 0) -> DataFrame:
-    """(row, window, start): where all terms of a window occur at their offsets, or up to `slack` places off."""
+    """(row, window, start, size): where all terms of a window occur at their offsets, or up to `slack` places off; size is
+    the window's number of words."""
     counts = stored(index.where("pos > 0").groupBy("term").agg(F.count("*").alias("df")), "counts")
     known = terms.join(few(counts), "term", "left").withColumn("df", F.coalesce("df", F.lit(0)))
     ranked = known.groupBy("window").agg(F.array_sort(F.collect_list(F.struct("df", "off", "term"))).alias("by")).where("by[0].df > 0")
@@ -89,7 +93,8 @@ def matches(index: DataFrame, terms: DataFrame, slack: int = 0) -> DataFrame:
     length = ranked.select("window", F.size("by").alias("size"))
     alone = distinct_starts.join(length.where("size = 1").select("window"), "window", "left_semi").select("row", "window", "start")
     two = pairs.join(length.where("size = 2").select("window"), "window", "left_semi").select("row", "window", "start")
-    return stored(alone.unionByName(two).unionByName(intersect(pairs, others, F.col("n_needed"))), "matches")
+    every = stored(alone.unionByName(two).unionByName(intersect(pairs, others, F.col("n_needed"))), "matches")
+    return every.join(few(stored(length, "lengths")), "window").select("row", "window", "start", "size")
 
 
 def contamination(docs: DataFrame, items: DataFrame, size: int = WINDOW, least: int = ITEMS) -> DataFrame:
@@ -98,7 +103,7 @@ def contamination(docs: DataFrame, items: DataFrame, size: int = WINDOW, least:
     index = index_of(docs, terms)
     found = matches(index, terms)
     rows = index.where("pos = 0").select("row", "doc_id", "n_words")
-    hit = found.select("row", F.explode(F.sequence(F.col("start"), F.col("start") + F.size(F.split("window", " ")) - 1)).alias("pos")).distinct()
+    hit = found.select("row", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("size") - 1)).alias("pos")).distinct()
     hits = hit.groupBy("row").agg(F.count("*").alias("n_hit"))
     which = found.select("row", "window").distinct().join(few(of), "window").select("row", F.col("item_id").cast("string").alias("item")).distinct()
     which = which.groupBy("row").agg(F.count("*").alias("n_items"), F.array_join(F.array_sort(F.collect_list("item")), ",").alias("items"))
