@@ -4,14 +4,16 @@ Features are the byte n-grams (n = 2, 3, 4) of the lower-cased text with white s
 into `buckets` rows of an embedding matrix; a text is the average of its rows, a linear softmax gives the
 languages. Embeddings and weights are trained together by stochastic gradient descent in numpy on the
 driver, on a sample of labelled rows (`SAMPLE`, a parameter): those of least hash of doc_id, drawn evenly from
-the languages, one row of each at least; longer texts are trained on in pieces from all over them. A fifth of the sample is kept back: on it a temperature is fitted, so that the
-score is a probability, and the rejection threshold is set as the score that all but `SLACK` of correctly
-labelled texts exceed. For prediction, embedding and weights are multiplied out (bucket x language), which
-is what executors get; its size is fixed by the parameters. A text is read in slices, so memory is bounded.
+the languages, one row of each at least; longer texts are trained on in pieces from all over them. A fifth of the
+sample is kept back: on it, on whole texts, a temperature is fitted, so that the score is a probability, and the
+rejection threshold is set as the score that all but `SLACK` of correctly labelled texts exceed. For prediction,
+embedding and weights are multiplied out (bucket x language), which is what executors get; its size is fixed by the
+parameters. A text's n-grams are counted in slices of its bytes, none being lost or changed where slices meet.
 
 Edge cases: null text, or text without a letter, is `und` with score 0 and rejected; without any labelled
 row every text is `und`; ties between languages go to the first in alphabetical order; repeated rows and
-other columns change nothing.
+other columns, of whatever names, change nothing; an empty table gives no rows; a very long text needs a few times its
+own size.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import released, stored
 from .near_dedup import few
 
 SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double, rejected boolean"
@@ -46,32 +48,42 @@ class Model:
     threshold: float
 
 
-def buckets_of(text: str, size: int = BUCKETS) -> np.ndarray:
-    """Buckets of the n-grams of a text, which is made lower case, runs of other than letters being one blank."""
-    data = np.frombuffer((" " + SPACES.sub(" ", text.lower()).strip() + " ").encode("utf-8", "replace"), np.uint8).astype(np.uint32)
-    parts, gram = [], data
+def cleaned(text: str) -> np.ndarray:
+    """Bytes of a text that is made lower case, runs of other than letters being one blank, a blank on both sides."""
+    return np.frombuffer((" " + SPACES.sub(" ", text.lower()).strip() + " ").encode("utf-8", "replace"), np.uint8)
+
+
+def hashes(data: np.ndarray, start: int, stop: int, size: int) -> np.ndarray:
+    """Buckets of the n-grams that begin at start..stop of the bytes, whatever the stretch they are cut into."""
+    gram = part = data[start : stop + max(ORDERS) - 1].astype(np.uint32)
+    parts = []
     for n in range(2, max(ORDERS) + 1):
-        if len(data) < n:
+        if len(part) < n:
             break
-        gram = (gram[:-1] << np.uint32(8)) | data[n - 1 :]
+        gram = (gram[:-1] << np.uint32(8)) | part[n - 1 :]
         if n in ORDERS:
-            mixed = (gram + np.uint32(n)) * np.uint32(0x9E3779B1)
+            mixed = (gram[: stop - start] + np.uint32(n)) * np.uint32(0x9E3779B1)
             parts.append(((mixed ^ (mixed >> np.uint32(15))) * np.uint32(0x85EBCA77)) >> np.uint32(32 - int(math.log2(size))))
     return np.concatenate(parts).astype(np.int64) if parts else np.zeros(0, np.int64)
 
 
+def buckets_of(text: str, size: int = BUCKETS) -> np.ndarray:
+    """Buckets of all n-grams of a text."""
+    data = cleaned(text)
+    return hashes(data, 0, len(data), size)
+
+
 def has_letter(text: str | None) -> bool:
     return bool(text) and (text.isalpha() or any(c.isalpha() for c in text))
 
 
 def logits(text: str, m: Model) -> np.ndarray:
-    """Sum over the text's n-grams by slices, divided by their number."""
-    total, n = np.zeros(len(m.langs)), 0
-    for at in range(0, len(text), SLICE):
-        b = buckets_of(text[at : at + SLICE])
-        if len(b):
-            total += np.bincount(b, minlength=len(m.scores)) @ m.scores if len(b) > 20_000 else m.scores[b].sum(0)
-            n += len(b)
+    """Sum over the text's n-grams, SLICE bytes at a time, divided by their number."""
+    total, n, data = np.zeros(len(m.langs)), 0, cleaned(text)
+    for at in range(0, len(data), SLICE):
+        b = hashes(data, at, min(len(data), at + SLICE), len(m.scores))
+        total += np.bincount(b, minlength=len(m.scores)) @ m.scores if len(b) > 20_000 else m.scores[b].sum(0)
+        n += len(b)
     return total / max(n, 1) + m.bias
 
 
@@ -177,6 +189,7 @@ def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(m)  # BUCKETS x languages
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        released()
         m = shared.value
         for b in batches:
             rows = [predict(t.as_py(), m) for t in b.column(2)]
@@ -196,6 +209,7 @@ def kept(docs: DataFrame, model: Model | None = None) -> DataFrame:
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        released()
         for b in batches:
             yield b.filter(pa.array([not predict(t.as_py(), shared.value)[2] for t in b.column(at)], pa.bool_()))
 
