@@ -9,20 +9,25 @@ test takes what base spans leave of a run, first as a whole, then of each 20 cha
 letters with up to 4 digits behind them that are fewer than 8 or efficient in tokens. Left out are known digests
 (hexadecimal of 32, 40, 56, 64, 96 or 128 digits, UUIDs), runs of words and of digits.
 
-Offsets are code points, ends exclusive. Edge cases: null and empty texts have no spans; rows are independent.
+Offsets are code points, ends exclusive. Edge cases: null and empty texts have no spans; rows are independent, repeated
+ones come out repeated; an empty table gives no rows; columns other than doc_id and text, of whatever names, are not read
+(redact() keeps them all); a very long text needs a few times its own size, and its time grows in proportion.
 """
 
 from __future__ import annotations
 
 import base64
+import bisect
 import hashlib
+import itertools
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import model
+
 SCHEMA = "doc_id long, n_assign long, n_access long, n_hex long, n_random long, base_sha256 string, spans string"
 ASSIGN = re.compile(r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -38,14 +43,16 @@ SHORT = 8  #: letters from which a word is tested
 Span = tuple[int, int, int]
 
 
-@lru_cache(maxsize=2)
 def vocabulary(path: str):
-    import public_tokenizers
-    import tiktoken
+    def make():
+        import public_tokenizers
+        import tiktoken
 
-    with open(path, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        with open(path, "rb") as f:
+            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+    return model(f"vocabulary {path}", make)
 
 
 def base_spans(text: str) -> list[Span]:
@@ -59,17 +66,21 @@ def base_spans(text: str) -> list[Span]:
     return sorted(out)
 
 
-def outside(i: int, j: int, base: list[Span]) -> list[tuple[int, int]]:
-    """What base spans leave of i..j."""
+def outside(i: int, j: int, base: list[Span], upto: list[int]) -> list[tuple[int, int]]:
+    """What base spans leave of i..j. upto: of each span the greatest end of those up to it, which is ascending."""
     out = []
-    for start, _, end in base:
-        if start < j and end > i:
+    for start, _, end in base[bisect.bisect_right(upto, i) :]:
+        if start >= j:
+            break
+        if end > i:
             out.append((i, start))
             i = max(i, end)
     return [(a, b) for a, b in [*out, (i, j)] if a < b]
 
 
 def random_spans(text: str, base: list[Span], encoding, ratio: float = RATIO) -> list[Span]:
+    upto = list(itertools.accumulate((end for _, _, end in base), max))
+
     def dense(s: str) -> bool:
         return len(s) < ratio * len(encoding.encode_ordinary(s))
 
@@ -79,7 +90,7 @@ def random_spans(text: str, base: list[Span], encoding, ratio: float = RATIO) ->
 
     def rest(i: int, j: int) -> list[tuple[int, int]]:
         """What base spans leave of i..j, if it is random."""
-        left = outside(i, j, base)
+        left = outside(i, j, base, upto)
         s = "".join([text[a:b] for a, b in left])
         random = j - i >= LEAST and not DIGEST.fullmatch(s) and not NUMBERS.fullmatch(s) and dense(s)
         return left if random else []
@@ -89,7 +100,7 @@ def random_spans(text: str, base: list[Span], encoding, ratio: float = RATIO) ->
         if DIGEST.fullmatch(m[0]) or NUMBERS.fullmatch(m[0]):
             continue
         pieces = [(m.start() + p.start(), m.start() + p.end()) for p in PIECE.finditer(m[0])]
-        left = [outside(i, j, base) for i, j in pieces]
+        left = [outside(i, j, base, upto) for i, j in pieces]
         strange = [any(not word(text[a:b]) for a, b in x) for x in left]
         if not any(strange):
             continue
