@@ -9,312 +9,452 @@ where g(s) is what the entries leave of 1. A context is a state of the tree if i
 n(s) times the divergence of its distribution from that of the next shorter state is at least `nats`.
 Each token is scored in the longest state that is a suffix of the words before it, within its document.
 
-Tables. The model grows with the corpus, so it is never collected or broadcast. Level k has a row for each
-distinct gram of k + 1 symbols, of training or not: its training count n, its context (all but the last symbol)
-and its suffix (all but the first), by 64-bit hashes. log10 P of a gram in its longest state comes from that of
-its suffix by a join, and from sums over its context's rows by another; so does the next level. Before a document
-stand `depth` starts, and grams with a start in them have n = 0: their contexts are never states. At last the
-grams of full length of each document are joined with their log10 P and summed.
+How it is computed. Texts are cut into words once; a row of the `chunks` table holds some 250,000 tokens as numbers of
+its distinct words and their 64-bit hashes. What goes between tasks are not rows of tokens but packed arrays:
+- A chunk asks for the counts of its distinct grams of k + 1 symbols, cut by hash into `parts` (as many as the corpus
+  needs, so a part's arrays fit into a task); a part adds up what all chunks say and answers each of them. A gram that a
+  third of all tokens hold is one number of each chunk, so there is no hot key.
+- A gram can occur `least` times only if what is left of it without its first and its last symbol does: so level by
+  level a chunk asks only for grams whose shorter ones were answered with enough, which most grams of long contexts fail.
+- Of the chunks that have a gram, one is told to hand its entry on. The entries (gram, context, suffix, n) are a table
+  that grows with the corpus; joins and sums over it give g, the states and log P of each entry, from short contexts
+  to long ones.
+- At last each chunk asks, in the same way, for log P of the longest entry of each token, and for log g of the longer
+  contexts that are states, and adds up its documents.
+So the model is never collected or broadcast. Chunks are stored by buckets of their number, so that answers come to them
+without the chunks moving. Words and grams are told apart by 64-bit hashes.
 
 Edge cases: null or empty texts are the end alone; without training rows N = V = 0, so every token has
-probability 1; rows that are repeated, or lack a doc_id (fold: not held out), are scored one by one.
+probability 1; rows that are repeated, or lack a doc_id (fold: not held out), are scored one by one; an empty table gives
+no rows; columns other than doc_id and text, of whatever names, are not read; a document is never cut, so a very long
+text makes a long chunk.
 """
 
 from __future__ import annotations
 
-from collections import Counter
+import gc
+import uuid
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from contextlib import contextmanager
 from hashlib import blake2b
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import coded, dropped, released, scratch, stored
 
 DEPTH, LEAST, NATS, TAKEN = 3, 2, 10.0, 0.5
-BITS = 21  #: of a node's or word's number in a Tree
-ALL = (1 << BITS) - 1  #: instead of a symbol: any symbol
-CHUNK = 1 << 18  #: tokens that are counted together
-WORDS = 200_000  #: distinct words after which a task hands its counts on
-END = " "  #: no word has a blank
-START = "\n"  #: nor a line feed
-
-
-def words_of(text: str | None) -> list[bytes]:
-    return (text or "").encode().lower().split()
-
-
-def find(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-    """Places of wanted in sorted keys, -1 where they aren't."""
-    if not len(keys):
-        return np.full(len(wanted), -1, np.int64)
-    at = np.searchsorted(keys, wanted)
-    at[at == len(keys)] = 0
-    return np.where(keys[at] == wanted, at, -1)
-
-
-@dataclass
-class Level:
-    nodes: np.ndarray  #: sorted (node of the shorter context << BITS | word before it); places are node numbers
-    count: np.ndarray  #: of each node
-    entries: np.ndarray  #: sorted (node << BITS | symbol)
-    n: np.ndarray
-    kept: np.ndarray = field(default=None)  #: whether a node is a state
-    log_p: np.ndarray = field(default=None)  #: log10 P(symbol | node)
-    log_g: np.ndarray = field(default=None)  #: log10 g(node)
-
-
-@dataclass
-class Tree:
-    """The model in memory, to look at that of a small corpus; lm_scores works on tables."""
-
-    ids: dict[bytes, int]  #: frequent words; the end is END
-    log_base: np.ndarray
-    total: int
-    distinct: int
-    levels: list[Level] = field(default_factory=list)
-
-    def unknown(self, c):
-        """log10 of the root's probability of a word with count c."""
-        return np.log10((c + 0.1) / (self.total + 0.1 * (self.distinct + 1)))
-
-    def positions(self, docs: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-        """Symbols of all documents in a row (-1: infrequent), place within the document, nodes of each level (-1: none)."""
-        get, end = self.ids.get, self.ids.get(END.encode(), -1)
-        x = np.array([i for d in docs for i in (*[get(w, -1) for w in d], end)], np.int64)
-        size = np.array([len(d) + 1 for d in docs], np.int64)
-        place = np.arange(len(x)) - np.repeat(np.cumsum(size) - size, size)
-        nodes, node = [], np.zeros(len(x), np.int64)
-        for k, level in enumerate(self.levels, 1):
-            before = np.r_[np.full(min(k, len(x)), -1), x[: len(x) - k]]
-            ok = (node >= 0) & (before >= 0) & (place >= k)
-            found = np.full(len(x), -1, np.int64)
-            found[ok] = find(level.nodes, node[ok] << BITS | before[ok])
-            node = found
-            nodes.append(node)
-        return x, place, nodes
-
-    def counted(self, docs: list[list[bytes]]) -> np.ndarray:
-        """Keys (node << 2 BITS | word before << BITS | symbol or ALL) of the next level, one for each occurrence."""
-        x, place, nodes = self.positions(docs)
-        k = len(nodes) + 1
-        node = nodes[-1] if nodes else np.zeros(len(x), np.int64)
-        before = np.r_[np.full(min(k, len(x)), -1), x[: len(x) - k]]
-        ok = (node >= 0) & (before >= 0) & (place >= k)
-        key = node[ok] << 2 * BITS | before[ok] << BITS
-        w, here = x[ok], node[ok]
-        sure = w >= 0
-        if nodes:
-            sure[sure] = find(self.levels[-1].entries, here[sure] << BITS | w[sure]) >= 0
-        return np.r_[key | ALL, key[sure] | w[sure]]
-
-    def grow(self, keys: np.ndarray, n: np.ndarray) -> bool:
-        """Adds a level from the counts that are frequent enough; whether there was any."""
-        by = np.argsort(keys)
-        keys, n = keys[by], n[by]
-        whole = keys & ALL == ALL
-        entry = ~whole
-        nodes = np.unique(keys[entry] >> BITS)
-        if not len(nodes):
-            return False
-        count = n[whole][find(keys[whole] >> BITS, nodes)]
-        self.levels.append(Level(nodes, count, find(nodes, keys[entry] >> BITS) << BITS | keys[entry] & ALL, n[entry]))
-        return True
-
-    def lower(self, k: int, node: np.ndarray, w: np.ndarray) -> np.ndarray:
-        """log10 P(w | the longest state among the node of level k and its suffixes), for frequent w."""
-        out, at, open_ = np.zeros(len(w)), node.copy(), np.ones(len(w), bool)
-        for level in reversed(self.levels[:k]):
-            here = np.flatnonzero(open_ & level.kept[at])
-            e = find(level.entries, at[here] << BITS | w[here])
-            out[here] += np.where(e >= 0, level.log_p[e] if len(level.log_p) else 0, level.log_g[at[here]])
-            open_[here[e >= 0]] = False
-            at = level.nodes[at] >> BITS
-        out[open_] += self.log_base[w[open_]]
-        return out
-
-    def finish(self, nats: float, taken: float = TAKEN) -> None:
-        """Probabilities and divergence tests, from short contexts to long ones."""
-        for k, level in enumerate(self.levels):
-            at, w = level.entries >> BITS, level.entries & ALL
-            used = np.bincount(at, level.n - taken, len(level.nodes))
-            g = np.maximum(1 - used / level.count, 1e-12)
-            level.log_g = np.log10(g)
-            low = self.lower(k, level.nodes[at] >> BITS, w)
-            p = (level.n - taken) / level.count[at] + g[at] * 10**low
-            level.log_p = np.log10(p)
-            rest = level.count - np.bincount(at, level.n, len(level.nodes))
-            gain = np.bincount(at, level.n * (level.log_p - low), len(level.nodes)) + rest * level.log_g
-            level.kept = gain * np.log(10) >= nats
+CHUNK = 1 << 18  #: tokens of a chunk
+PART = 1 << 21  #: tokens for each part
+ROWS = 16  #: packed rows that a task takes at a time
+CHUNKS = "chunk long, docs binary, no_doc binary, held binary, sizes binary, words binary, tokens binary"
+PACKED = "part int, chunk long, keys binary, counts binary"
+ANSWERS = "level int, part int, chunk long, answer binary"
+SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
+ALL = -1  #: instead of a chunk: what concerns a whole part
+STATE = np.uint64(0xA5A5A5A5A5A5A5A5)  #: turns a gram's hash into that of the context
 
 
 def folds(docs: DataFrame) -> DataFrame:
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 == 0, F.lit(False))
-    return docs.select("doc_id", "text", held.alias("held_out"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", held.alias("held_out"))
 
 
-def groups(texts: pa.Array) -> Iterator[list[list[bytes]]]:
-    """Documents as words, in lists of about CHUNK tokens."""
-    out, held = [], 0
-    for t in texts:
-        out.append(words_of(t.as_py()))
-        held += len(out[-1]) + 1
-        if held > CHUNK:
-            yield out
-            out, held = [], 0
-    if out:
-        yield out
+def needed(least: float, total: int) -> int:
+    """The number of occurrences that makes an entry."""
+    return max(2, int(np.ceil(least * total if least < 1 else least)))
 
 
-def word_counts(rows: DataFrame) -> DataFrame:
-    """(word, n) of the training rows; the end is END."""
+def mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """64-bit hashes of pairs of them."""
+    x = a * np.uint64(0x9E3779B97F4A7C15) + (b ^ np.uint64(0xD6E8FEB86659FD93)) * np.uint64(0xC2B2AE3D27D4EB4F)
+    x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+    return x ^ x >> np.uint64(31)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c: Counter = Counter()
 
-        def flush() -> pa.RecordBatch:
-            b = pa.RecordBatch.from_arrays([pa.array([w.decode() for w in c], pa.string()), pa.array(list(c.values()), pa.int64())], names=["word", "n"])
-            c.clear()
-            return b
+def hashed(word: bytes) -> bytes:
+    return blake2b(word, digest_size=8).digest()
 
-        for b in batches:
-            for t in b.column(0):
-                c.update(words_of(t.as_py()))
-                c[END.encode()] += 1
-                if len(c) > WORDS:
-                    yield flush()
-        yield flush()
 
-    return rows.where("not held_out").select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+def root(c: np.ndarray, total: int, distinct: int) -> np.ndarray:
+    """log10 of the root's probability of words with counts c."""
+    return np.log10((c + 0.1) / (total + 0.1 * (distinct + 1)))
 
 
-def key_counts(rows: DataFrame, tree, at_least: int) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for docs in groups(b.column(0)):
-                keys, n = np.unique(tree.value.counted(docs), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(n, pa.int64())], names=["key", "n"])
+def part_of(keys: np.ndarray, bits: int) -> np.ndarray:
+    return (keys >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
 
-    counts = rows.where("not held_out").select("text").mapInArrow(run, "key long, n long")
-    return counts.groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= at_least)
 
+def batch(schema: str, rows: list[tuple]) -> pa.RecordBatch:
+    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "double": pa.float64(), "boolean": pa.bool_()}
+    fields = [f.split() for f in schema.split(", ")]
+    columns = list(zip(*rows)) if rows else [()] * len(fields)
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(columns, fields)], names=[n for n, _ in fields])
 
-def needed(least: float, total: int) -> int:
-    """The number of occurrences that makes an entry."""
-    return max(2, int(np.ceil(least * total if least < 1 else least)))
 
+@contextmanager
+def few_rows_at_a_time(spark: SparkSession):
+    """Tasks get packed rows, of megabytes each, in small batches while this lasts."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(ROWS))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
 
-def fitted(rows: DataFrame, depth: int = DEPTH, least: float = LEAST, nats: float = NATS) -> Tree:
-    """The tree of the training rows of folds()."""
-    sc = rows.sparkSession.sparkContext
-    counts = stored(word_counts(rows), "word-counts")
-    total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    at_least = needed(least, total)
-    frequent = sorted((r["word"], r["n"]) for r in counts.where(F.col("n") >= at_least).collect())
-    tree = Tree({w.encode(): k for k, (w, _) in enumerate(frequent)}, np.zeros(0), total, distinct)
-    if frequent:
-        tree.log_base = tree.unknown(np.array([n for _, n in frequent], float))
-        for _ in range(depth):
-            found = key_counts(rows, sc.broadcast(tree), at_least).toArrow()
-            if not tree.grow(found["key"].to_numpy(), found["n"].to_numpy()):
-                break
-    tree.finish(nats)
-    return tree
 
+def swept(spark: SparkSession) -> None:
+    """Has Spark delete the shuffle files of tables that nothing refers to."""
+    gc.collect()
+    spark._jvm.System.gc()
 
-def mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """64-bit hashes of pairs of them."""
-    x = a * np.uint64(0x9E3779B97F4A7C15) + (b ^ np.uint64(0xD6E8FEB86659FD93)) * np.uint64(0xC2B2AE3D27D4EB4F)
-    x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
-    return x ^ x >> np.uint64(31)
 
+def chunks_of(rows: DataFrame, size: int = CHUNK) -> DataFrame:
+    """The texts as packed tokens."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        released()
+        number = TaskContext.get().partitionId() << 32
+        ids: list[int | None] = []
+        held: list[bool] = []
+        lists: list[list[bytes]] = []
+
+        def packed() -> pa.RecordBatch:
+            words, at, n = coded(lists, pa.large_binary())
+            tokens = np.insert(at, np.cumsum(n), len(words)).astype("<u4")  # behind each text the end
+            hashes = b"".join([hashed(w) for w in words]) + hashed(b" ")  # no word has a blank
+            row = (
+                number, np.array([i or 0 for i in ids], "<i8").tobytes(), np.array([i is None for i in ids], bool).tobytes(), np.array(held, bool).tobytes(),
+                (n + 1).astype("<i8").tobytes(), hashes, tokens.tobytes(),
+            )
+            return batch(CHUNKS, [row])
+
+        count = 0
+        for b in batches:
+            for i, t, h in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist()):
+                ids.append(i)
+                held.append(h)
+                lists.append((t.as_py() or "").encode().lower().split())
+                count += len(lists[-1]) + 1
+                if count >= size:
+                    yield packed()
+                    number, count = number + 1, 0
+                    ids, held, lists = [], [], []
+        if lists:
+            yield packed()
+
+    return rows.select("doc_id", "text", "held_out").mapInArrow(run, CHUNKS)
+
+
+class Chunk:
+    """A chunk's tokens and what is known of their grams so far."""
+
+    def __init__(self, row: dict, depth: int):
+        self.number, self.depth = row["chunk"], depth
+        self.docs, self.no_doc = np.frombuffer(row["docs"], "<i8"), np.frombuffer(row["no_doc"], bool)
+        self.held, self.sizes = np.frombuffer(row["held"], bool), np.frombuffer(row["sizes"], "<i8")
+        x = np.frombuffer(row["words"], "<u8")[np.frombuffer(row["tokens"], "<u4")]
+        first = np.cumsum(self.sizes) - self.sizes
+        self.first = first
+        self.place = np.arange(len(x)) - np.repeat(first, self.sizes)
+        self.train = ~np.repeat(self.held, self.sizes)
+        self.grams = [x]  #: of each level: the hash of the gram that ends with each token
+        for k in range(1, depth + 1):
+            self.grams.append(mixed(self.grams[-1], np.r_[x[:k], x[:-k]] if len(x) > k else x))
+        self.n: list[np.ndarray] = []  #: of each level: training counts, 0 where they are too few
+        self.mine: list[np.ndarray] = []  #: of each level: the first token of each gram whose entry this chunk hands on
+
+    def asked(self, k: int) -> np.ndarray:
+        """Whether a token's gram of level k can be frequent."""
+        if not k:
+            return np.ones(len(self.place), bool)
+        lower = self.n[k - 1]
+        return (self.place >= k) & (lower > 0) & (np.r_[0, lower[:-1]] > 0)
+
+    def question(self, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct grams of level k, their counts in training, and of the asked tokens their gram's place; the tokens."""
+        tokens = np.flatnonzero(self.asked(k))
+        keys, at = np.unique(self.grams[k][tokens], return_inverse=True)
+        return keys, np.bincount(at, self.train[tokens], len(keys)).astype("<u4"), at, tokens
+
+    def learn(self, k: int, answer: np.ndarray, least: int) -> None:
+        """Takes the answer to question(k): twice the count of each gram, and 1 more if its entry is this chunk's."""
+        _, _, at, tokens = self.question(k)
+        total = (answer >> np.uint64(1)).astype(np.int64)
+        n = np.zeros(len(self.place), np.int64)
+        n[tokens] = total[at]
+        self.counts = n if not k else self.counts
+        self.n.append(np.where(n >= least, n, 0))
+        _, first = np.unique(at, return_index=True)
+        self.mine.append(tokens[first[(answer & np.uint64(1)).astype(bool) & (total >= least)]])
+
+    def entries(self, k: int, base) -> list[np.ndarray]:
+        """gram, context, suffix, n, the context's count and, of words and level 1, log P of the last word at the root: the
+        entries of level k that are this chunk's."""
+        i = self.mine[k]
+        none = np.zeros(len(i), np.int64)
+        if not k:
+            return [self.grams[0][i].view(np.int64), none, none, self.n[0][i], none, base(self.n[0][i])]
+        low = base(self.n[0][i]) if k == 1 else np.zeros(len(i))
+        return [self.grams[k][i].view(np.int64), self.grams[k - 1][i - 1].view(np.int64), self.grams[k - 1][i].view(np.int64), self.n[k][i], self.n[k - 1][i - 1], low]
+
+    def lookups(self) -> list[tuple[np.ndarray, np.ndarray]]:
+        """(tokens, keys): each token's longest entry, and the contexts longer than that which could be states."""
+        top = np.zeros(len(self.place), np.int64)
+        for k in range(1, self.depth + 1):
+            top[self.n[k] > 0] = k
+        out = []
+        for k in range(1, self.depth + 1):
+            t = np.flatnonzero(top == k)
+            out.append((t, self.grams[k][t]))
+            t = np.flatnonzero((top < k) & (self.place >= k) & (np.r_[0, self.n[k - 1][:-1]] > 0))
+            out.append((t, self.grams[k - 1][t - 1] ^ STATE))
+        return out
 
-def hashed(words: list[bytes]) -> np.ndarray:
-    return np.frombuffer(b"".join([blake2b(w, digest_size=8).digest() for w in words]), np.uint64)
 
+def cut(keys: np.ndarray, bits: int) -> list[tuple[int, int, int]]:
+    """(part, from, to) of ascending keys."""
+    part = part_of(keys, bits)
+    found, first = np.unique(part, return_index=True)
+    return list(zip(found.tolist(), first.tolist(), [*first[1:].tolist(), len(keys)]))
 
-def grams(docs: list[list[bytes]], depth: int, k: int) -> tuple[np.ndarray, ...]:
-    """Of each token: its document's place, the gram of k + 1 symbols that ends with it, the gram's context and
-    suffix, and whether the gram is without starts."""
-    number: dict[bytes, int] = {START.encode(): 0, END.encode(): 1}
-    at = np.array([i for d in docs for i in (*[0] * depth, *[number.setdefault(w, len(number)) for w in d], 1)], np.int64)
-    x = hashed(list(number))[at]
-    size = np.array([len(d) + 1 for d in docs], np.int64)
-    doc = np.repeat(np.arange(len(docs)), size)
-    place = np.arange(len(doc)) - np.repeat(np.cumsum(size) - size, size)
-    token = np.arange(len(doc)) + depth * (doc + 1)
-    whole, suffix = x, np.zeros(len(x), np.uint64)  # of m symbols that end at each place; the first places lie in starts, where none is read
-    for m in range(1, k + 1):
-        suffix, whole = whole, mixed(whole, np.r_[x[:m], x[:-m]])
-    return doc, whole[token], suffix[token - 1], suffix[token], place >= k
 
+def answered(row: dict, depth: int, levels: int, least: int) -> Chunk:
+    """A chunk that has learned the answers of the first `levels` levels; those of level -1 are kept as they are."""
+    c = Chunk(row, depth)
+    by: dict[int, list[bytes]] = {}
+    for a in row["answers"] or []:
+        by.setdefault(a["level"], []).append(a["answer"])
+    for k in range(levels):
+        c.learn(k, np.frombuffer(b"".join(by.get(k, [])), "<u8"), least)
+    c.found = np.frombuffer(b"".join(by.get(-1, [])), "<f8")
+    return c
 
-def gram_counts(rows: DataFrame, depth: int, k: int) -> DataFrame:
-    """(gram, context, suffix, n) of the distinct grams of level k; n counts training only."""
+
+def totalled(questions: DataFrame, level: int, bits: int) -> DataFrame:
+    """Answers to the chunks' questions, and of each part the sum and number of counts that aren't 0, as chunk ALL."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (r for b in batches for r in b.to_pylist())
+        for part, group in groupby(rows, lambda r: r["part"]):
+            group = list(group)
+            keys = [np.frombuffer(r["keys"], "<u8") for r in group]
+            found, at = np.unique(np.concatenate(keys), return_inverse=True)
+            total = np.bincount(at, np.concatenate([np.frombuffer(r["counts"], "<u4") for r in group]), len(found)).astype(np.uint64)
+            first = np.zeros(len(at), np.uint64)
+            first[np.unique(at, return_index=True)[1]] = 1
+            answer = total[at] * np.uint64(2) + first
+            if level:  # what occurs once is no entry
+                answer[total[at] < 2] = 0
+            ends = np.cumsum([len(k) for k in keys])
+            out = [(level, part, r["chunk"], answer[e - len(k) : e].tobytes()) for r, k, e in zip(group, keys, ends)]
+            yield batch(ANSWERS, [*out, (level, part, ALL, np.array([total.sum(), (total > 0).sum()], "<u8").tobytes())])
+
+    dealt = questions.repartition(1 << bits, "part").sortWithinPartitions("part", "chunk")
+    return dealt.select("part", "chunk", "keys", "counts").mapInArrow(run, ANSWERS)
+
+
+def packed_values(values: DataFrame, bits: int) -> DataFrame:
+    """Rows (key, value) as packed arrays of their parts: keys and, in the place of counts, values."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            at = 0
-            for docs in groups(b.column(1)):
-                train = ~np.array(b.column(0).slice(at, len(docs)).to_pylist(), bool)
-                at += len(docs)
-                doc, gram, context, suffix, counts = grams(docs, depth, k)
-                found, first, inverse = np.unique(gram, return_index=True, return_inverse=True)
-                n = np.bincount(inverse, counts & train[doc], len(found)).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([*[pa.array(c.view(np.int64)) for c in (found, context[first], suffix[first])], pa.array(n)], names=["gram", "context", "suffix", "n"])
-
-    found = rows.select("held_out", "text").mapInArrow(run, "gram long, context long, suffix long, n long")
-    return found.groupBy("gram", "context", "suffix").agg(F.sum("n").alias("n"))
-
-
-def level(rows: DataFrame, lower: DataFrame, depth: int, k: int, at_least: int, nats: float) -> DataFrame:
-    """(gram, c, log_p) of level k from that of level k - 1: c is the training count of the last word."""
-    low = lower.select(F.col("gram").alias("suffix"), "c", F.col("log_p").alias("low"))
-    known = stored(gram_counts(rows, depth, k).join(low, "suffix").select("gram", "context", "n", "c", "low"), f"grams-{k}")
-    entry = F.col("n") >= at_least
+            keys, v = b.column(0).to_numpy().view(np.uint64), b.column(1).to_numpy()
+            by = np.argsort(keys)
+            keys, v = keys[by], v[by]
+            yield batch(PACKED, [(p, ALL, keys[i:j].tobytes(), v[i:j].tobytes()) for p, i, j in cut(keys, bits)])
+
+    return values.select("key", "value").mapInArrow(run, PACKED)
+
+
+def found_values(questions: DataFrame, values: DataFrame, bits: int) -> DataFrame:
+    """Answers of level -1: the packed values of the questions' keys, 0 for those that have none."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (r for b in batches for r in b.to_pylist())
+        for part, group in groupby(rows, lambda r: r["part"]):
+            keys, value, table = [np.zeros(0, np.uint64)], [np.zeros(0)], None
+            for r in group:  # values come first
+                if r["chunk"] == ALL:
+                    keys.append(np.frombuffer(r["keys"], "<u8"))
+                    value.append(np.frombuffer(r["counts"], "<f8"))
+                    continue
+                if table is None:
+                    table = np.concatenate(keys)
+                    by = np.argsort(table)
+                    table, known = table[by], np.concatenate(value)[by]
+                asked = np.frombuffer(r["keys"], "<u8")
+                at = np.searchsorted(table, asked)
+                at[at == len(table)] = 0
+                answer = np.where(table[at] == asked, known[at], 0.0) if len(table) else np.zeros(len(asked))
+                yield batch(ANSWERS, [(-1, part, r["chunk"], answer.astype("<f8").tobytes())])
+
+    dealt = questions.unionByName(values).repartition(1 << bits, "part").sortWithinPartitions("part", "chunk")
+    return dealt.mapInArrow(run, ANSWERS)
+
+
+class Corpus:
+    """The stored chunks with the answers they have got, by buckets of their numbers."""
+
+    def __init__(self, rows: DataFrame, depth: int):
+        self.spark, self.depth = rows.sparkSession, depth
+        self.name, self.buckets = f"millrace_{uuid.uuid4().hex}", max(rows.rdd.getNumPartitions(), self.spark.sparkContext.defaultParallelism)
+        path = scratch(self.spark, "chunks")
+        chunks_of(rows).write.bucketBy(self.buckets, "chunk").sortBy("chunk").option("compression", "zstd").option("path", path).saveAsTable(self.name)
+        self.answers: list[DataFrame] = []
+        self.levels = 0  #: how many of them have been asked for
+
+    def table(self) -> DataFrame:
+        return self.spark.table(self.name)
+
+    def with_answers(self) -> DataFrame:
+        """Each chunk with all its answers, in order of level and part: only answers move."""
+        rows = self.table()
+        if not self.answers:
+            return rows.withColumn("answers", F.lit(None).cast("array<struct<level:int,part:int,answer:binary>>"))
+        every = self.answers[0]
+        for a in self.answers[1:]:
+            every = every.unionByName(a)
+        by = every.where(F.col("chunk") != ALL).repartition(self.buckets, "chunk").groupBy("chunk")
+        return rows.join(by.agg(F.array_sort(F.collect_list(F.struct("level", "part", "answer"))).alias("answers")), "chunk", "left")
+
+    def ask(self, k: int, bits: int, least: int) -> DataFrame:
+        """The questions of level k."""
+        depth, levels = self.depth, self.levels
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for row in b.to_pylist():
+                    c = answered(row, depth, levels, least)
+                    keys, n, _, _ = c.question(k)
+                    yield batch(PACKED, [(p, c.number, keys[i:j].tobytes(), n[i:j].tobytes()) for p, i, j in cut(keys, bits)])
+
+        return self.with_answers().mapInArrow(run, PACKED)
+
+    def entries(self, least: int, total: int, distinct: int) -> DataFrame:
+        """(gram, context, suffix, n, whole, low, level) of all levels from 1 on."""
+        depth, levels = self.depth, self.levels
+        names = ["gram", "context", "suffix", "n", "whole", "low", "level"]
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for row in b.to_pylist():
+                    c = answered(row, depth, levels, least)
+                    for k in range(1, depth + 1):
+                        x = c.entries(k, lambda n: root(n, total, distinct))
+                        yield pa.RecordBatch.from_arrays([*map(pa.array, x), pa.array(np.full(len(x[0]), k, np.int32))], names=names)
+
+        return self.with_answers().mapInArrow(run, "gram long, context long, suffix long, n long, whole long, low double, level int")
+
+    def look_up(self, bits: int, least: int) -> DataFrame:
+        """The questions of the last step."""
+        depth, levels = self.depth, self.levels
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for row in b.to_pylist():
+                    c = answered(row, depth, levels, least)
+                    keys = np.unique(np.concatenate([k for _, k in c.lookups()] or [np.zeros(0, np.uint64)]))
+                    yield batch(PACKED, [(p, c.number, keys[i:j].tobytes(), None) for p, i, j in cut(keys, bits)])
+
+        return self.with_answers().mapInArrow(run, PACKED)
+
+    def scores(self, least: int, total: int, distinct: int) -> DataFrame:
+        depth, levels = self.depth, self.levels
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for row in b.to_pylist():
+                    c = answered(row, depth, levels, least)
+                    base = root(c.counts, total, distinct)
+                    log_p, asked = base.copy(), c.lookups()
+                    keys = np.unique(np.concatenate([k for _, k in asked] or [np.zeros(0, np.uint64)]))
+                    for step, (tokens, k) in enumerate(asked):
+                        value = c.found[np.searchsorted(keys, k)]
+                        if step % 2 == 0:  # an entry's log P takes the place of the word's
+                            log_p[tokens] = value
+                    for tokens, k in asked[1::2]:
+                        log_p[tokens] += c.found[np.searchsorted(keys, k)]
+                    add = lambda x: np.add.reduceat(x, c.first) if len(c.first) else np.zeros(0)
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array(c.docs, pa.int64(), mask=c.no_doc), pa.array(c.held), pa.array(c.sizes, pa.int64()),
+                            pa.array(add((c.counts > 0).astype(np.int64)), pa.int64()), pa.array(add(base)), pa.array(add(log_p)),
+                        ],
+                        names=[f.split()[0] for f in SCORES.split(", ")],
+                    )
+
+        return self.with_answers().mapInArrow(run, SCORES)
+
+    def close(self) -> None:
+        path = self.table().inputFiles()
+        self.spark.sql(f"DROP TABLE {self.name}")
+        if path:
+            folder = self.spark._jvm.org.apache.hadoop.fs.Path(path[0].rsplit("/", 1)[0])
+            folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def with_log_p(entries: DataFrame, lower: DataFrame | None, k: int, nats: float) -> DataFrame:
+    """(gram, context, log_p, log_g, state) of the entries of level k; lower: (gram, log_p) of level k - 1, for k > 1.
+
+    The entries of a context, each distinct gram once, meet in one exchange; all sums are taken over that."""
+    if lower is not None:
+        entries = entries.drop("low").join(lower.select(F.col("gram").alias("suffix"), F.col("log_p").alias("low")), "suffix")
+    by = Window.partitionBy("context")
     over = F.col("n") - TAKEN
-    by = known.where("n > 0").groupBy("context").agg(
-        F.sum("n").alias("whole"), F.sum(F.when(entry, over)).alias("used"), F.sum(F.when(entry, F.col("n"))).alias("inside")
-    )
-    by = by.where("used is not null").withColumn("g", F.greatest(1 - F.col("used") / F.col("whole"), F.lit(1e-12)))
-    p = F.log10(over / F.col("whole") + F.col("g") * F.pow(F.lit(10.0), "low"))
-    gain = F.sum(F.col("n") * (p - F.col("low"))) + F.first((F.col("whole") - F.col("inside")) * F.log10("g"))
-    tested = known.where(entry).join(by, "context").groupBy("context").agg(gain.alias("gain"), F.first("whole").alias("whole"), F.first("g").alias("g"))
-    states = stored(tested.where(F.col("gain") * float(np.log(10)) >= nats).select("context", "whole", "g"), f"states-{k}")
-    log_p = F.when(F.col("g").isNull(), F.col("low")).when(entry, p).otherwise(F.col("low") + F.log10("g"))
-    return stored(known.join(states, "context", "left").select("gram", "c", log_p.alias("log_p")), f"level-{k}")
+    rows = entries.select("gram", "context", "n", "whole", "low", F.sum(over).over(by).alias("used"), F.sum("n").over(by).alias("inside"))
+    rows = rows.withColumn("g", F.greatest(1 - F.col("used") / F.col("whole"), F.lit(1e-12)))
+    rows = rows.withColumn("p", F.log10(over / F.col("whole") + F.col("g") * F.pow(F.lit(10.0), "low")))
+    gain = F.sum(F.col("n") * (F.col("p") - F.col("low"))).over(by) + (F.col("whole") - F.col("inside")) * F.log10("g")
+    rows = rows.select("gram", "context", "low", "p", F.log10("g").alias("log_g"), (gain * float(np.log(10)) >= nats).alias("state"))
+    return stored(rows.select("gram", "context", F.when(F.col("state"), F.col("p")).otherwise(F.col("low")).alias("log_p"), "log_g", "state"), f"level-{k}")
 
 
 def lm_scores(docs: DataFrame, depth: int = DEPTH, least: float = LEAST, nats: float = NATS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every document."""
-    rows = folds(docs)
-    words = stored(gram_counts(rows, depth, 0).select("gram", F.col("n").alias("c")), "words")
-    total, distinct = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0)).first()
-    base = F.log10((F.col("c") + 0.1) / (total + 0.1 * (distinct + 1)))
-    model = words.withColumn("log_p", base)
+    spark = docs.sparkSession
+    with few_rows_at_a_time(spark):
+        corpus = Corpus(folds(docs), depth)
+        tokens = corpus.table().agg(F.coalesce(F.sum(F.length("tokens") / 4), F.lit(0))).first()[0]
+        bits = max(0, int(tokens // PART).bit_length())
+        at_least, total, distinct = 2, 0, 0
+        for k in range(depth + 1):
+            answers = stored(totalled(corpus.ask(k, bits, at_least), k, bits), f"answers-{k}")
+            corpus.answers.append(answers)
+            corpus.levels += 1
+            if not k:
+                sums = answers.where(F.col("chunk") == ALL).select("answer").toArrow().column(0).to_pylist()  # a row for each part
+                total, distinct = (int(x) for x in np.sum([np.frombuffer(s, "<u8") for s in sums] or [[0, 0]], axis=0))
+                at_least = needed(least, total)
+            swept(spark)
+        entries = stored(corpus.entries(at_least, total, distinct), "entries", ["level"])
+        asked = stored(corpus.look_up(bits, at_least), "lookups")
+    swept(spark)
+    packs, lower = [], None
     for k in range(1, depth + 1):
-        model = level(rows, model, depth, k, needed(least, total), nats)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            at = 0
-            for group in groups(b.column(1)):
-                keys = np.array(b.column(0).slice(at, len(group)).to_pylist(), np.int64)
-                at += len(group)
-                doc, gram, *_ = grams(group, depth, depth)
-                yield pa.RecordBatch.from_arrays([pa.array(keys[doc]), pa.array(gram.view(np.int64))], names=["k", "gram"])
-
-    keyed = rows.select(F.xxhash64("doc_id", "text").alias("k"), "doc_id", "held_out", "text")
-    tokens = keyed.select("k", "text").mapInArrow(run, "k long, gram long").join(model, "gram")
-    parts = tokens.groupBy("k").agg(F.count("*").alias("n"), F.count_if(F.col("c") > 0).alias("known"), F.sum(base).alias("b"), F.sum("log_p").alias("s"))
-    whole = keyed.select("k", "doc_id", "held_out")
-    copies = whole.groupBy("k").agg(F.count("*").alias("copies"))
-    parts = parts.join(copies, "k").select("k", *[(F.col(c) / F.col("copies")).alias(c) for c in ("n", "known", "b", "s")])
-    return whole.join(parts, "k").select(
-        "doc_id", "held_out", F.col("n").cast("long").alias("n_tokens"), F.col("known").cast("long").alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
-        F.col("b").alias("base_score"), F.col("s").alias("score"),
-    )
+        rows = with_log_p(entries.where(F.col("level") == k).drop("level"), lower, k, nats)
+        states = rows.where("state").groupBy("context").agg(F.first("log_g").alias("value"))
+        states = states.select(F.col("context").bitwiseXOR(F.lit(int(STATE.astype(np.int64)))).alias("key"), "value")
+        values = rows.select(F.col("gram").alias("key"), F.col("log_p").alias("value")).unionByName(states)
+        packs.append(stored(packed_values(values, bits), f"values-{k}"))
+        if lower is not None:
+            dropped(spark, lower)
+        lower = rows
+        swept(spark)
+    dropped(spark, entries, *([lower] if lower is not None else []))
+    with few_rows_at_a_time(spark):
+        values = packs[0] if packs else asked.limit(0)
+        for p in packs[1:]:
+            values = values.unionByName(p)
+        corpus.answers.append(stored(found_values(asked, values, bits), "found"))
+        dropped(spark, asked, *packs)
+        out = stored(corpus.scores(at_least, total, distinct), "scores")
+        dropped(spark, *corpus.answers)
+        corpus.close()
+    return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")

@@ -79,16 +79,26 @@ def test_equals_brute_force(spark):
         same(suffix_tree.lm_scores(docs, 3, least, nats).collect(), want)
 
 
+def test_many_chunks_and_parts(spark, monkeypatch):
+    monkeypatch.setattr(suffix_tree, "PART", 100)
+    chunks = suffix_tree.chunks_of
+    monkeypatch.setattr(suffix_tree, "chunks_of", lambda rows: chunks(rows, 150))
+    rows = corpus(6)
+    docs = spark.createDataFrame([(i, t) for i, t in rows], "doc_id long, text string").repartition(3)
+    same(suffix_tree.lm_scores(docs, 3, 2, 5.0).collect(), brute(rows, 3, 0, 5.0)[0])
+
+
 def test_a_distribution_sums_to_one(spark):
-    docs = spark.createDataFrame(corpus(3), "doc_id long, text string")
-    tree = suffix_tree.fitted(suffix_tree.folds(docs), 2, 4e-6, 3.0)
-    import numpy as np
-
-    w = np.arange(len(tree.ids))
-    for k, level in enumerate(tree.levels):
-        for node in np.flatnonzero(level.kept)[:20]:
-            known = (10 ** tree.lower(k + 1, np.full(len(w), node), w)).sum()
-            assert 0 < known <= 1 + 1e-9
+    """P of all words after a context, and of an unknown one, by scoring one text for each of them."""
+    rows = corpus(3)
+    words = sorted({w for _, t in rows for w in (t or "").encode().lower().decode().split()})
+    ids = iter(i for i in range(1000, 10**6) if zlib.crc32(str(i).encode()) % 10 == 0)  # held out: they change nothing
+    for context in ("once upon a", "the of", "w1"):
+        texts = [(next(ids), f"{context} {w}") for w in [*words, "unseen"]] + [(next(ids), context)]
+        docs = spark.createDataFrame(rows + texts, "doc_id long, text string")
+        got = {r.doc_id: r for r in suffix_tree.lm_scores(docs, 3, 2, 3.0).collect()}
+        want = {r[0]: r for r in brute(rows + texts, 3, 0, 3.0)[0]}
+        assert all(math.isclose(got[i].score, want[i][6], abs_tol=1e-6) for i, _ in texts)
 
 
 def test_held_out_text_is_predicted_better_than_by_words_alone(spark):
