@@ -10,15 +10,22 @@ and L is the greatest total of left sides over such chains, plus one for the las
 the word end. The transducer keeps at most L plus one window of symbols, emits what is stable and
 starts anew behind it (any run of tokens of a BPE segmentation is the segmentation of its own text).
 
-Inside a window the segmentation is found left to right: the longest vocabulary token whose pair with
-the token before it is *valid* (BPE of the two joined gives just these two), with backtracking. A
-segmentation all of whose neighbours are valid is the BPE segmentation. Words shorter than the window
-can't be stable before their end; those of many texts are segmented together by `Batch`.
+The transducer keeps, for each place p of what it holds, the last token of the segmentation of the first p symbols:
+the only token that ends there and is *valid* behind the last token of what is before it (BPE of the two joined
+gives just these two). A segmentation all of whose neighbours are valid is the BPE segmentation, so this needs no
+backtracking. Whatever comes next, the token that crosses the end of what is held starts at a place behind which
+some token's beginning stands; the tokens that the segmentations up to all these places have in common are stable
+and go out at once. By the bound above that leaves at most L symbols, so memory is constant.
+
+Every text is read by an `Encoder` in slices of SLICE characters; white space ends a word, so finished words go
+through a transducer at once, and unfinished ones stay open. Many texts are read in step, and what a word gave is
+remembered for its next occurrence.
 
 Decoding is an incremental machine: ids go in, text comes out as soon as it is certain.
 
 Edge cases: null or empty text gives no tokens and the hash of the empty string; rows, ties and repeated
-rows are independent of each other; columns other than doc_id and text are not read.
+rows are independent of each other; columns other than doc_id and text, of whatever names, are not read; an empty
+table gives no rows; a very long text needs its own size and that of a slice.
 """
 
 from __future__ import annotations
@@ -30,18 +37,20 @@ import re
 import unicodedata
 from array import array
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import Memo
+from .common import coded, gathered, memo, model
 
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
-MEMO, PAIRS = 700_000, 300_000  #: cells and pairs of tokens that a worker remembers
-SLICE = 1 << 20  #: characters that are fed at a time
+MEMO, PAIRS = 96 << 20, 200_000  #: bytes of a worker's memo of words, and pairs of tokens that it remembers
+SLICE = 1 << 16  #: characters of a text that are fed at a time
+GROUP = 1 << 21  #: characters of all texts that are read in step
+HELD = 256  #: symbols from which a transducer looks for stable tokens
 OPEN = 1 << 14  #: characters without white space from which a word is streamed symbol by symbol
 ODD_SPACE = re.compile("[\x1c-\x1f]")  # white space for str.split, not for the tokenizer
 OTHER = regex.compile(r"[^\s\p{L}\p{N}]+")
@@ -64,22 +73,30 @@ class Merges:
         self.vocab, self.suffix = vocab, suffix
         self.ranks = {tuple(m): k for k, m in reversed(list(enumerate(merges)))}
         self.longest = max((self.symbols(t) for t in vocab), default=1)
-        self.pairs: Memo = Memo(PAIRS)
+        self.pairs: dict[tuple[str, str], bool] = {}
         #: of each token that is its own segmentation: rank of its last merge (-1: a symbol) and the two parts
         self.made: dict[str, tuple[int, str, str]] = {}
-        #: of each prefix of a token that does not end a word: whether it is a token itself
-        self.inner: dict[str, bool] = {}
         for t in vocab:
             pieces = self.split(t)
             if len(pieces) == 1:
                 self.made[t] = -1, "", ""
             elif self.apply(pieces, 2) and len(last := self.apply(pieces, 2)) == 2 and tuple(last) in self.ranks:
                 self.made[t] = self.ranks[tuple(last)], *last
+        #: tokens within a word; ends of tokens that end a word, each with whether it is all of one; beginnings of both
+        self.inner = ahocorasick.Automaton()
+        self.finals: dict[str, bool] = {}
+        self.starts: set[str] = {""}
         for t in self.made:
-            if not (suffix and t.endswith(suffix)):
-                for k in range(1, len(t)):
-                    self.inner.setdefault(t[:k], False)
-                self.inner[t] = True
+            final = bool(suffix) and t.endswith(suffix)
+            body = t[: -len(suffix)] if final else t
+            self.starts.update(body[:k] for k in range(1, len(body) + 1))
+            if final:
+                for k in range(1, len(body)):
+                    self.finals.setdefault(body[k:], False)
+                self.finals[body] = True
+            else:
+                self.inner.add_word(body, body)
+        self.inner.make_automaton()
         self.lookahead = self._lookahead()
 
     def symbols(self, token: str) -> int:
@@ -129,145 +146,15 @@ class Merges:
                     x, before = right, p
                 else:
                     y, before = left, q + 1
-            self.pairs.room(1)
+            if len(self.pairs) >= PAIRS:
+                self.pairs.clear()
             self.pairs[a, b] = found
         return found
 
-    def segment(self, word: str, final: bool = True) -> list[str]:
-        """Tokens of a word of the byte alphabet; final: the word ends here, so its last symbol has the suffix."""
-        end = self.suffix if final else ""
-        made, pairs = self.made, self.pairs
-        if not word:
-            return []
-        if word + end in made:
-            return [word + end]
-        n = len(word)
-        out: list[str] = []
-        fits: list[tuple[tuple[str, ...], int]] = []  # for each token: what could stand there, longest first, and which does
-        at, here, k = 0, self.options(word, 0, end), 0
-        while True:
-            last = out[-1] if out else None
-            while k < len(here):
-                t = here[k]
-                if last is None or pairs.get((last, t)) or self.pair(last, t):
-                    break
-                k += 1
-            else:  # nothing fits here: another token before
-                if not out:
-                    return self.apply([*word[:-1], word[-1] + end])
-                at -= len(out.pop())
-                here, k = fits.pop()
-                k += 1
-                continue
-            out.append(t)
-            at += len(t)
-            if at >= n:
-                return out
-            fits.append((here, k))
-            here, k = self.options(word, at, end), 0
-
-    def options(self, word: str, at: int, end: str) -> list[str]:
-        """Tokens that could stand at a place of a word, longest first."""
-        fits = []
-        for k in range(at + 1, len(word) + (not end)):
-            token = self.inner.get(t := word[at:k])
-            if token:
-                fits.append(t)
-            elif token is None:
-                break
-        if end and word[at:] + end in self.made:
-            fits.append(word[at:] + end)
-        return fits[::-1]
-
-
-class Batch:
-    """Segments many words at once with numpy: in each round every word merges its pair of least rank."""
-
-    NONE = np.int32(2**31 - 1)
-
-    def __init__(self, m: Merges):
-        alphabet = byte_alphabet()
-        self.base = np.array([m.vocab.get(alphabet[b], 0) for b in range(256)], np.int32)
-        self.last = np.array([m.vocab.get(alphabet[b] + m.suffix, 0) for b in range(256)], np.int32)
-        pairs = sorted(m.ranks, key=m.ranks.get)
-        self.merged = np.array([m.vocab[a + b] for a, b in pairs], np.int32)
-        keys = np.array([m.vocab[a] << 32 | m.vocab[b] for a, b in pairs], np.int64)
-        #: hash tables without chains: what finds its place taken goes to the next
-        self.tables, rest = [], np.arange(len(keys), dtype=np.int32)
-        while len(rest):
-            bits = max(8, int(len(rest)).bit_length() + 3)
-            slot = self.slots(keys[rest], bits)
-            held, first = np.unique(slot, return_index=True)
-            key, rank = np.full(1 << bits, -1, np.int64), np.full(1 << bits, self.NONE, np.int32)
-            key[held], rank[held] = keys[rest[first]], rest[first]
-            taken = np.zeros(1 << bits, bool)
-            rest = np.delete(rest, first)
-            taken[self.slots(keys[rest], bits)] = True
-            self.tables.append((bits, key, rank, taken))
-
-    @staticmethod
-    def slots(keys: np.ndarray, bits: int) -> np.ndarray:
-        h = keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-        return ((h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(64 - bits)).astype(np.int64)
-
-    def rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        keys = a.astype(np.int64) << 32 | b
-        out, todo = np.full(len(keys), self.NONE, np.int32), np.arange(len(keys))
-        for bits, key, rank, taken in self.tables:
-            slot = self.slots(keys[todo], bits)
-            hit = key[slot] == keys[todo]
-            out[todo[hit]] = rank[slot[hit]]
-            todo = todo[~hit & taken[slot]]
-            if not len(todo):
-                break
-        return out
-
-    def segment(self, words: list[bytes]) -> list[bytes]:
-        """Ids of each word (of one byte at least) as unsigned 32-bit integers."""
-        if not words:
-            return []
-        size = np.fromiter(map(len, words), np.int64, len(words))
-        flat = np.frombuffer(b"".join(words), np.uint8)
-        ends = np.cumsum(size)
-        sym = self.base[flat]
-        sym[ends - 1] = self.last[flat[ends - 1]]
-        of = np.repeat(np.arange(len(words)), size)
-        rank = np.full(len(sym), self.NONE, np.int32)
-        inside = np.flatnonzero(of[1:] == of[:-1])
-        rank[inside] = self.rank(sym[inside], sym[inside + 1])
-        done_sym, done_of = [], []
-        while len(sym):
-            first = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
-            size = np.diff(np.r_[first, len(sym)])
-            least = np.minimum.reduceat(rank, first)
-            over = np.repeat(least == self.NONE, size)
-            if over.any():
-                done_sym.append(sym[over])
-                done_of.append(of[over])
-                live = ~over
-                least = np.repeat(least, size)[live]
-                sym, of, rank = sym[live], of[live], rank[live]
-            else:
-                least = np.repeat(least, size)
-            at = np.flatnonzero(rank == least)
-            at = at[np.r_[True, of[at[1:]] != of[at[:-1]]]] if len(at) else at
-            sym[at] = self.merged[rank[at]]
-            keep = np.ones(len(sym), bool)
-            keep[at + 1] = False
-            at -= np.arange(len(at))  # places once the second pieces are gone
-            sym, of, rank = sym[keep], of[keep], rank[keep]
-            for i in (at, at[at > 0] - 1):
-                i = i[i + 1 < len(sym)]
-                same = of[i] == of[i + 1]
-                rank[i[~same]] = self.NONE
-                i = i[same]
-                rank[i] = self.rank(sym[i], sym[i + 1])
-            if len(at) and at[-1] == len(sym) - 1:
-                rank[-1] = self.NONE
-        sym, of = np.concatenate(done_sym), np.concatenate(done_of)
-        raw = sym[np.argsort(of, kind="stable")].astype("<u4").tobytes()
-        cut = np.r_[0, np.cumsum(np.bincount(of, minlength=len(words)))] * 4
-        return [raw[i:j] for i, j in zip(cut[:-1].tolist(), cut[1:].tolist())]
+    def segment(self, word: str) -> list[str]:
+        """Tokens of a whole word of the byte alphabet."""
+        t = WordTransducer(self)
+        return t.feed(word) + t.finish()
 
 
 class WordTransducer:
@@ -275,23 +162,84 @@ class WordTransducer:
 
     def __init__(self, merges: Merges):
         self.merges, self.held = merges, ""
-        self.window = 2 * merges.lookahead + 2 * merges.longest
+        self.last = [""]  #: of each place: the last token of the segmentation of what is held up to there
+
+    def _advance(self, stop: int) -> None:
+        """Finds the last tokens of all places up to stop: one token that ends there fits, the others don't."""
+        held, last, m = self.held, self.last, self.merges
+        pairs, pair, n = m.pairs, m.pair, len(self.last)
+        if stop < n:
+            return
+        for end, t in m.inner.iter(held, max(0, n - m.longest), stop):
+            if end + 1 != n:
+                if end >= n:
+                    break  # nothing fitted at n
+                continue
+            at = n - len(t)
+            if at:
+                before = last[at]
+                found = pairs.get((before, t))
+                if not (pair(before, t) if found is None else found):
+                    continue
+            last.append(t)
+            n += 1
+        if n <= stop:
+            raise ValueError(f"no token of the vocabulary fits at the end of {held[:n]!r}")
+
+    def _back(self, place: int) -> list[str]:
+        """The segmentation of what is held up to a place, last token first."""
+        out = []
+        while place:
+            out.append(self.last[place])
+            place -= len(out[-1])
+        return out
 
-    def feed(self, symbols: str) -> Iterator[str]:
-        for at in range(0, len(symbols), self.window):
-            self.held += symbols[at : at + self.window]
-            if len(self.held) > self.window:
-                done = 0
-                for token in self.merges.segment(self.held, final=False):
-                    if done + len(token) > len(self.held) - self.merges.lookahead:
-                        break
-                    done += len(token)
-                    yield token
-                self.held = self.held[done:]
+    def feed(self, symbols: str) -> list[str]:
+        """Takes symbols; tokens that have become stable."""
+        out: list[str] = []
+        for k in range(0, len(symbols), HELD):
+            self.held += symbols[k : k + HELD]
+            if len(self.held) > HELD:
+                out += self._stable()
+        return out
 
-    def finish(self) -> Iterator[str]:
-        word, self.held = self.held, ""
-        yield from self.merges.segment(word)
+    def _stable(self) -> list[str]:
+        """Takes out the tokens that no continuation can change."""
+        n = len(self.held)
+        self._advance(n)
+        common: list[str] | None = None
+        for p in range(max(0, n - self.merges.longest), n + 1):
+            if self.held[p:] in self.merges.starts:  # a token could begin here and cross the end
+                tokens = self._back(p)[::-1]
+                if common is None:
+                    common = tokens
+                else:
+                    same = next((k for k, (a, b) in enumerate(zip(common, tokens)) if a != b), min(len(common), len(tokens)))
+                    common = common[:same]
+        done = sum(map(len, common or []))
+        self.held, self.last = self.held[done:], self.last[done:]
+        return common or []
+
+    def finish(self) -> list[str]:
+        """The rest, the end of the word being known."""
+        held, m, n = self.held, self.merges, len(self.held)
+        out: list[str] = []
+        if n and held + m.suffix in m.made:
+            out = [held + m.suffix]
+        elif n and not m.suffix:
+            self._advance(n)
+            out = self._back(n)[::-1]
+        elif n:
+            self._advance(n - 1)
+            for p in range(n - 1, -1, -1):
+                is_token = m.finals.get(held[p:])
+                if is_token is None:
+                    raise ValueError(f"no token of the vocabulary ends the word {held!r}")
+                if is_token and (not p or m.pair(self.last[p], held[p:] + m.suffix)):
+                    out = [*self._back(p)[::-1], held[p:] + m.suffix]
+                    break
+        self.held, self.last = "", [""]
+        return out
 
 
 class Codec:
@@ -316,8 +264,7 @@ class Codec:
         self.marks = re.compile("(" + "|".join(re.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
         self.alphabet = byte_alphabet()
         self.table = "".join(self.alphabet[b] for b in range(256))
-        self.batch = Batch(self.merges)
-        self.cells: dict[str, bytes] = {}
+        self.name = f"cells of {path}"
         top = max(self.text, default=-1) + 1
         self.number = [str(i) for i in range(top)]
 
@@ -330,10 +277,8 @@ class Codec:
         """The byte alphabet's characters; printable ASCII stands for itself."""
         return text if text.isascii() and text.isprintable() and " " not in text else text.encode().decode("latin-1").translate(self.table)
 
-    def word(self, text: str) -> Iterator[str]:
-        t = WordTransducer(self.merges)
-        yield from t.feed(self.symbols(text))
-        yield from t.finish()
+    def word(self, text: str) -> list[str]:
+        return self.merges.segment(self.symbols(text))
 
     def parts(self, cell: str) -> list[str]:
         """Pre-tokens and special strings of a run of text that has no white space within."""
@@ -347,65 +292,67 @@ class Codec:
                 out += self.pattern.findall(self.normal(part))
         return out
 
-    def cell_tokens(self, cell: str) -> Iterator[str]:
-        for w in self.parts(cell):
-            yield from (w,) if w in self.special else self.word(w)
-
-    def learn(self, cells: set[str]) -> None:
-        """Has the memo hold these cells."""
-        memo = self.cells
-        new = [x for x in cells if x not in memo]
-        if len(memo) + len(new) > MEMO:
-            memo.clear()
-            new = list(cells)
-        parts = [self.parts(x) for x in new]
+    def raw(self, cells: list[str]) -> list[bytes]:
+        """Ids of each cell as little-endian unsigned 32-bit integers; words are remembered besides the cells."""
+        parts = [self.parts(cell) for cell in cells]
         words = list({w for p in parts for w in p})
-        raw = [w.encode() for w in words]
-        known = {w: array("I", [i]).tobytes() for w, i in self.special.items()}
-        short = [k for k, x in enumerate(raw) if len(x) <= 2 * self.merges.lookahead and words[k] not in known]
-        known |= zip([words[k] for k in short], self.batch.segment([raw[k] for k in short]))
-        known |= {w: array("I", [self.ids[t] for t in self.word(w)]).tobytes() for w in words if w not in known}
-        for cell, p in zip(new, parts):
-            memo[cell] = known[p[0]] if len(p) == 1 else b"".join([known[w] for w in p])
-
-    def encode(self, texts: list[list[str]]) -> Iterator[array]:
-        """Ids of texts that are given as cells."""
-        memo = self.cells
-        self.learn(set().union(*texts))
-        for cells in texts:
-            yield array("I", b"".join(map(memo.__getitem__, cells)))
+        known = dict(zip(words, memo(self.name, MEMO).values(["\n" + w for w in words], self.raw_words)))
+        return [known[p[0]] if len(p) == 1 else b"".join([known[w] for w in p]) for p in parts]
+
+    def raw_words(self, words: list[str]) -> list[bytes]:
+        ids, special = self.ids, self.special
+        return [array("I", [ids[w[1:]]] if w[1:] in special else [ids[t] for t in self.word(w[1:])]).tobytes() for w in words]
+
+    def encode(self, lists: list[list[str | bytes]]) -> list[np.ndarray]:
+        """Ids of lists of cells; what is bytes are ids already."""
+        kept = memo(self.name, MEMO)
+        cells, at, size = coded([[x for x in items if isinstance(x, str)] for items in lists])
+        values = kept.values(cells, self.raw)
+        flat, n = gathered(values, at, size)
+        cut = np.r_[0, np.cumsum(n)]
+        out = [flat[i:j] for i, j in zip(cut[:-1], cut[1:])]
+        for k, items in enumerate(lists):
+            if any(isinstance(x, bytes) for x in items):
+                value = dict(zip(cells, values))
+                out[k] = np.frombuffer(b"".join([x if isinstance(x, bytes) else value[x] for x in items]), "<u4")
+        return out
 
     def split(self, text: str) -> list[str]:
         return [x for x in SPACE.split(text) if x] if ODD_SPACE.search(text) else text.split()
 
 
 class Encoder:
-    """Streams one text: feed() it in slices of any size, then finish(); tokens come out as they become stable.
+    """Streams one text: feed() it in slices of any size, then finish().
 
-    Holds at most one slice, OPEN characters and the transducer's window, however long the text.
+    Out come finished cells, and ids of words that are still open as they become stable. Holds at most one slice, OPEN
+    characters and the transducer's, however long the text.
     """
 
     def __init__(self, codec: Codec):
         self.codec, self.rest, self.open, self.kind = codec, "", None, ""
         self.hold = max([3, *map(len, codec.special)])
 
-    def feed(self, piece: str) -> Iterator[str]:
+    def feed(self, piece: str) -> list[str | bytes]:
         self.rest += piece
-        cut = max((m.end() for m in SPACE.finditer(self.rest)), default=0)
+        out: list[str | bytes] = []
+        cut = next((k for k in range(len(self.rest), 0, -1) if SPACE.match(self.rest[k - 1])), 0)
         if cut:
             head, self.rest = self.rest[:cut], self.rest[cut:]
             if self.open:  # the first word goes on with the one that is open
                 first = SPACE.search(head)
-                yield from self._close(head[: first.start()])
+                out += self._ids(self._close(head[: first.start()]))
                 head = head[first.end() :]
-            for cell in self.codec.split(head):
-                yield from self.codec.cell_tokens(cell)
+            out += self.codec.split(head)
         while len(self.rest) > OPEN:
             done = self._cut(self.rest[: OPEN - self.hold])
             if not done:
                 break
             head, self.rest = self.rest[:done], self.rest[done:]
-            yield from self._stream(head)
+            out += self._ids(self._stream(head))
+        return out
+
+    def _ids(self, tokens: Iterable[str]) -> list[bytes]:
+        return [np.array([self.codec.ids[t] for t in tokens], "<u4").tobytes()]
 
     def _cut(self, text: str) -> int:
         """A place before which nothing can change: no special string, contraction or composition spans it."""
@@ -447,13 +394,9 @@ class Encoder:
         yield from self._stream(text)
         yield from self._end()
 
-    def finish(self) -> Iterator[str]:
+    def finish(self) -> list[str | bytes]:
         rest, self.rest = self.rest, ""
-        if self.open:
-            yield from self._close(rest)
-        else:
-            for cell in self.codec.split(rest):
-                yield from self.codec.cell_tokens(cell)
+        return self._ids(self._close(rest)) if self.open else self.codec.split(rest)
 
 
 class Decoder:
@@ -495,61 +438,67 @@ class Decoder:
         return self.machine.decode(b"", True) if self.mode == "bytes" else ""
 
 
-@lru_cache(maxsize=4)
 def codec(path: str | None = None) -> Codec:
     if path is None:
         import public_tokenizers
 
         path = public_tokenizers.path("word_bpe_49k.json")
-    return Codec(path)
+    return model(f"codec {path}", lambda: Codec(path))
+
+
+def streamed(texts: list[str | None], c: Codec) -> Iterator[list[tuple[int, np.ndarray, bool]]]:
+    """Reads the texts slice by slice, each by an Encoder of its own; rounds of (text's place, its next ids, whether they are its last)."""
+    at = 0
+    while at < len(texts):
+        lanes, held = [], 0
+        while at < len(texts) and (not lanes or held < GROUP):
+            text = texts[at] or ""
+            lanes.append((at, text, Encoder(c)))
+            held += min(len(text), SLICE)
+            at += 1
+        begin = 0
+        while lanes:
+            last = [begin + SLICE >= len(text) for _, text, _ in lanes]
+            items = [e.feed(text[begin : begin + SLICE]) + (e.finish() if end else []) for (_, text, e), end in zip(lanes, last)]
+            yield [(k, ids, end) for (k, _, _), ids, end in zip(lanes, c.encode(items), last)]
+            lanes = [x for x, end in zip(lanes, last) if not end]
+            begin += SLICE
 
 
 def encode_ids(text: str | None, c: Codec) -> list[int]:
     """All ids of one text."""
-    e = Encoder(c)
-    return [c.ids[t] for part in ([text[k : k + SLICE] for k in range(0, len(text or ""), SLICE)]) for t in e.feed(part)] + [c.ids[t] for t in e.finish()]
+    return [i for found in streamed([text], c) for _, ids, _ in found for i in ids.tolist()]
 
 
-def digest_all(texts: list[str | None], c: Codec) -> Iterator[tuple[int, str, str]]:
-    """Of each text: number of tokens, SHA-256 of the ids joined by a space, SHA-256 of the decoded text."""
-    at = 0
-    while at < len(texts):
-        if len(texts[at] or "") > SLICE:
-            yield digest_long(texts[at], c)
-            at += 1
-            continue
-        group, held = [], 0
-        while at < len(texts) and len(texts[at] or "") + held <= SLICE:
-            held += len(texts[at] or "")
-            group.append(c.split(texts[at] or ""))
-            at += 1
-        for ids in c.encode(group):
-            d = Decoder(c)
-            yield (
-                len(ids),
-                hashlib.sha256(" ".join(map(c.number.__getitem__, ids)).encode()).hexdigest(),
-                hashlib.sha256((d.feed(ids) + d.finish()).encode()).hexdigest(),
-            )
-
-
-def digest_long(text: str, c: Codec) -> tuple[int, str, str]:
-    """The same of one text in constant memory."""
-    ids, decoded, n = hashlib.sha256(), hashlib.sha256(), 0
-    e, d = Encoder(c), Decoder(c)
-
-    def take(tokens: Iterable[str]) -> None:
-        nonlocal n
-        for t in tokens:
-            i = c.ids[t]
-            ids.update(f" {i}".encode() if n else str(i).encode())
-            decoded.update(d.feed([i]).encode())
-            n += 1
+class Digest:
+    """Takes a text's ids as they come; number of tokens, SHA-256 of the ids joined by a space, SHA-256 of the decoded text."""
 
-    for k in range(0, len(text), SLICE):
-        take(e.feed(text[k : k + SLICE]))
-    take(e.finish())
-    decoded.update(d.finish().encode())
-    return n, ids.hexdigest(), decoded.hexdigest()
+    def __init__(self, c: Codec):
+        self.codec, self.n, self.decoder = c, 0, Decoder(c)
+        self.ids, self.decoded = hashlib.sha256(), hashlib.sha256()
+
+    def take(self, ids: list[int]) -> None:
+        if ids:
+            self.ids.update((" " * (self.n > 0) + " ".join(map(self.codec.number.__getitem__, ids))).encode())
+        self.n += len(ids)
+        self.decoded.update(self.decoder.feed(ids).encode())
+
+    def result(self) -> tuple[int, str, str]:
+        self.decoded.update(self.decoder.finish().encode())
+        return self.n, self.ids.hexdigest(), self.decoded.hexdigest()
+
+
+def digest_all(texts: list[str | None], c: Codec) -> list[tuple[int, str, str]]:
+    """A Digest's result for each text."""
+    out: list = [None] * len(texts)
+    open_: dict[int, Digest] = {}
+    for found in streamed(texts, c):
+        for k, ids, end in found:
+            d = open_.get(k) or open_.setdefault(k, Digest(c))
+            d.take(ids.tolist())
+            if end:
+                out[k] = open_.pop(k).result()
+    return out
 
 
 def bpe_round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
@@ -558,7 +507,7 @@ def bpe_round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
         for b in batches:
-            rows = list(digest_all(b.column(1).to_pylist(), c))
+            rows = digest_all(b.column(1).to_pylist(), c)
             n, i, d = map(list, zip(*rows)) if rows else ([], [], [])
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(i, pa.string()), pa.array(d, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 

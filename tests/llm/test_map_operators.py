@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from millrace.llm import bpe, library, media, secrets, token_counts, token_files
+from millrace.llm import bpe, common, library, media, secrets, token_counts, token_files
 
 SYLLABLES = ["the", " of", "\n", "  ", " ", "\t", "é", "漢", "'ll", "s", "'", "!!", "123", "<|endoftext|>", "<|endo", "\x1c", "\x85", "\xa0", "🙂", "x" * 30, "\r\n", " \n ", "Σ", "İ", "A", "́"]
 EDGE = [None, "", " ", "\n\n", "a", "A" * 3000, "<|endoftext|>", "x  <|endoftext|> y", "word " * 4000, "été 漢字 123", "don't!!'s"]
@@ -73,15 +73,22 @@ def test_bpe_pairs_and_lookahead():
     for _ in range(3000):
         a, b = r.choice(tokens), r.choice(tokens)
         assert m.pair(a, b) == (m.apply(m.split(a) + m.split(b)) == [a, b])
-    for _ in range(200):
-        u = "".join(r.choice("thearon") for _ in range(m.lookahead + 40))
-        short, long = m.segment(u, final=False), m.segment(u + "".join(r.choice("thearon") for _ in range(9)))
-        done = 0
-        for a, b in zip(short, long):
-            done += len(a)
-            if done > len(u) - m.lookahead:
-                break
-            assert a == b
+    for _ in range(100):  # what comes out early is right whatever follows, and less than the lookahead is held back
+        u = "".join(r.choice("thearon") for _ in range(r.randint(300, m.lookahead + 400)))
+        t = bpe.WordTransducer(m)
+        early = list(t.feed(u))
+        assert len(t.held) <= max(bpe.HELD, m.lookahead)
+        for more in ("", "s", "".join(r.choice("thearon") for _ in range(9))):
+            whole = m.apply([*(u + more)[:-1], (u + more)[-1] + m.suffix])
+            assert whole[: len(early)] == early and m.segment(u + more) == whole
+
+
+def test_bpe_words_are_segmented_as_defined():
+    m = bpe.codec().merges
+    r = random.Random(8)
+    for _ in range(3000):
+        w = "".join(r.choice("thearonsg'e!9") for _ in range(r.randint(1, 14)))
+        assert m.segment(w) == m.apply([*w[:-1], w[-1] + m.suffix])
 
 
 def test_bpe_decoder_is_incremental(word):
@@ -204,10 +211,125 @@ def test_secrets_beside_words_and_base_spans(spark):
     assert kept[2] == "[random][hex][random]" and kept[0] == "key [random] done"
 
 
-def test_short_texts_go_through_the_decoder(monkeypatch):
-    texts, c, fed = [t for t in EDGE if t] + mixed(4, 20, 40), bpe.codec(), []
-    before = list(bpe.digest_all(texts, c))
-    feed = bpe.Decoder.feed
-    monkeypatch.setattr(bpe.Decoder, "feed", lambda self, ids: fed.append(len(list(ids))) or feed(self, ids))
-    assert list(bpe.digest_all(texts, c)) == before and fed == [n for n, *_ in before]
-    assert [bpe.digest_long(t, c) for t in texts] == before
+def test_every_text_goes_through_transducer_and_decoder(monkeypatch):
+    c = bpe.codec()
+    texts, decoded, words = [t for t in EDGE if t] + mixed(4, 20, 40), [], []
+    monkeypatch.setattr(bpe, "memo", lambda name, most: common.Memo(most))  # nothing is remembered from other tests
+    feed, finish = bpe.Decoder.feed, bpe.WordTransducer.finish
+    monkeypatch.setattr(bpe.Decoder, "feed", lambda self, ids: decoded.append(len(ids)) or feed(self, ids))
+    monkeypatch.setattr(bpe.WordTransducer, "finish", lambda self: words.append(finish(self)) or words[-1])
+    for text in texts:
+        decoded.clear(), words.clear()
+        ((n, _, _),) = bpe.digest_all([text], c)
+        special = {c.special[t] for t in c.special}
+        assert sum(decoded) == n
+        made = {i for w in words for i in map(c.ids.get, w)}
+        assert set(bpe.encode_ids(text, c)) <= made | special
+
+
+def test_every_text_is_counted_from_chunks(byte):
+    texts = EDGE + mixed(9, 40, 300)
+    n = [len(byte.encode(t or "", add_special_tokens=False).ids) for t in texts]
+    for chunk, overlap in ((16, 4), (64, 8), (1024, 64)):
+        assert token_counts.counted(texts, token_counts.tokenizer(library.place("byte_bpe_50k.json")), chunk, overlap) == n
+    plan = token_counts.chunks("word " * 4000)
+    assert len(plan) > 15 and all(a.last == b.first and b.start < a.last < a.end for a, b in zip(plan, plan[1:]))
+
+
+def test_memo_holds_no_more_than_its_bytes():
+    m = common.Memo(100_000)
+    for k in range(50):
+        words = [f"{k}-{i}" for i in range(200)]
+        assert m.values(words, lambda x: [w.encode() for w in x]) == [w.encode() for w in words]
+        assert sum(len(x) + len(v) + m.COST for g in (m.young, m.old) for x, v in g.items()) <= 2 * 100_000
+    common.model("first", lambda: 1)
+    common.memo("one").values(["a"], lambda x: [b""])
+    common.model("second", lambda: 2)
+    assert list(common._models) == ["second"] and not common._memos  # what another operator kept is let go of
+
+
+def brute_base(text):
+    """assign, access and hex spans by going through the text character by character."""
+    out, low = [], "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text)
+    value = set("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-")
+
+    def run(i, allowed):
+        while i < len(text) and text[i] in allowed:
+            i += 1
+        return i
+
+    i = 0
+    while i < len(text):
+        after = None
+        for name in ("password", "passwd", "secret", "token", "api_key", "apikey"):
+            if after is None and low.startswith(name, i):
+                j = i + len(name)
+                j += j < len(text) and text[j] in "\"'"
+                j = run(j, " ")
+                if j < len(text) and text[j] in ":=":
+                    j = run(j + 1, " ")
+                    starts = [j + 1, j] if j < len(text) and text[j] in "\"'" else [j]
+                    start = next((s for s in starts if run(s, value) > s), None)
+                    if start is not None:
+                        after = run(start, value)
+                        if after - start >= 12:
+                            out.append((i, 0, after))
+        i = i + 1 if after is None else after
+    i = 0
+    while i < len(text):
+        j = run(i + 4, set("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789")) if text.startswith("AKIA", i) else i
+        if j > i + 4:
+            if j - i >= 18:
+                out.append((i, 1, j))
+            i = j
+        else:
+            i += 1
+    i = 0
+    while i < len(text):
+        j = run(i, set("0123456789abcdef"))
+        if j - i >= 16:
+            out.append((i, 2, j))
+        i = max(j, i + 1)
+    return sorted(out)
+
+
+def test_base_spans_equal_brute_force():
+    r = random.Random(11)
+    bits = ["password", "Passwd", "SECRET", "token", "api_key", "apikey", "=", ":", " ", "  ", '"', "'", "AKIA", "ABCDEFGH12345678", "0123456789abcdef", "deadbeef", "x", "-", "é", "\n", "hunter2hunter2", "a.b/c+d="]
+    for _ in range(4000):
+        text = "".join(r.choice(bits) for _ in range(r.randint(0, 12)))
+        assert secrets.base_spans(text) == brute_base(text), text
+
+
+def brute_outside(i, j, base):
+    left = [k for k in range(i, j) if not any(a <= k < b for a, _, b in base)]
+    out = []
+    for k in left:
+        if out and out[-1][1] == k:
+            out[-1] = out[-1][0], k + 1
+        else:
+            out.append((k, k + 1))
+    return out
+
+
+def test_what_base_spans_leave():
+    r = random.Random(12)
+    import itertools
+
+    for _ in range(500):
+        base = sorted((a, r.randint(0, 2), a + r.randint(1, 9)) for a in (r.randint(0, 40) for _ in range(r.randint(0, 6))))
+        upto = list(itertools.accumulate((b for _, _, b in base), max))
+        i = r.randint(0, 40)
+        j = i + r.randint(1, 20)
+        assert secrets.outside(i, j, base, upto) == brute_outside(i, j, base)
+
+
+def test_secrets_of_odd_tables(spark):
+    text = 'password="hunter2hunter2" ' + "zQ8rT1vXk9LmW3pYb7NcD2fH "
+    rows = [(1, text, "x", 5), (1, text, "x", 5), (None, None, None, None), (2, text * 2000, "y", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, spans string, n_hex int")
+    got = secrets.scan(docs).collect()
+    assert sorted((r.doc_id or 0, r.n_assign, r.n_random) for r in got) == [(0, 0, 0), (1, 1, 1), (1, 1, 1), (2, 2000, 2000)]
+    assert secrets.scan(docs.limit(0)).collect() == [] and secrets.redact(docs.limit(0)).collect() == []
+    kept = secrets.redact(docs)
+    assert kept.columns == docs.columns and kept.count() == 4 and kept.where("text like '%hunter2%'").count() == 0
