@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.plans import analysis, evaluation, ranking, retrieval, stateful, studies, workload
+from millrace.plans import analysis, evaluation, policies, ranking, retrieval, stateful, studies, workload
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
-for module in (retrieval, analysis, stateful, workload, evaluation, ranking, studies):
+for module in (retrieval, analysis, stateful, workload, evaluation, ranking, studies, policies):
     QUERIES |= module.QUERIES
     ORACLES |= module.ORACLES
