@@ -6,8 +6,10 @@ import ast
 import base64
 import json
 import re
+from bisect import bisect_right
 import unicodedata
 from collections.abc import Callable
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import Column
@@ -146,30 +148,18 @@ def sentences(text: str | None) -> list[tuple[int, int]]:
     return [(a + len(text[a:b]) - len(text[a:b].lstrip()), b) for a, b in out if text[a:b].strip()]
 
 
-def fixed_chunks(text: str | None, size: int, overlap: int = 0) -> list[tuple[int, int]]:
-    """Spans of windows of `size` words that share `overlap` words; the last one reaches the end."""
-    if not 0 <= overlap < size:
-        raise ValueError("overlap has to be less than size")
-    w = [m.span() for m in re.finditer(r"\S+", text or "")]
-    out = []
-    for at in range(0, len(w), size - overlap):
-        out.append((w[at][0], w[min(at + size, len(w)) - 1][1]))
-        if at + size >= len(w):
-            break
-    return out
-
-
 def sentence_chunks(text: str | None, budget: int) -> list[tuple[int, int]]:
-    """Whole sentences packed in order under a budget of words; a longer sentence is a chunk of its own."""
-    out: list[tuple[int, int]] = []
-    held = 0
-    for a, b in sentences(text):
-        n = len((text or "")[a:b].split())
-        if out and held + n <= budget:
-            out[-1], held = (out[-1][0], b), held + n
-        else:
-            out.append((a, b))
-            held = n
+    """Whole sentences packed in order under a budget of words; a longer sentence is a chunk of its own.
+
+    Sums of words up to each sentence tell, for each first sentence, the last one that still fits."""
+    text = text or ""
+    spans = sentences(text)
+    upto = list(accumulate((len(text[a:b].split()) for a, b in spans), initial=0))
+    out, first = [], 0
+    while first < len(spans):
+        last = max(first + 1, bisect_right(upto, upto[first] + budget) - 1)
+        out.append((spans[first][0], spans[last - 1][1]))
+        first = last
     return out
 
 

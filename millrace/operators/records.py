@@ -44,15 +44,31 @@ def micro(tallies: DataFrame) -> DataFrame:
     return t.select("*", F.round(p, 6).alias("precision"), F.round(r, 6).alias("recall"), F.round(F.coalesce(F.try_divide(2 * p * r, p + r), F.lit(0.0)), 6).alias("f1"))
 
 
-def chunks(docs: DataFrame, size: int = 80, overlap: int = 0, whole_sentences: bool = False) -> DataFrame:
-    """(doc_id, chunk_id, start, end, text): fixed word windows, or sentences packed under a budget of words."""
+def fixed_chunks(docs: DataFrame, size: int = 80, overlap: int = 0) -> DataFrame:
+    """(doc_id, chunk_id, start, end, text): windows of `size` words of which each shares `overlap` with the next, the last
+    one reaching the end. Column expressions: a text is cut into pieces of a word and the white space before it, so
+    windows are runs of pieces and offsets are lengths of runs."""
+    if not 0 <= overlap < size:
+        raise ValueError("overlap has to be less than size")
+    step = size - overlap
+    rows = docs.select("doc_id", F.regexp_extract_all("text", F.lit(r"\s*\S+"), F.lit(0)).alias("w")).where(F.size("w") > 0)
+    last = F.ceil(F.greatest(F.size("w") - size, F.lit(0)) / step).cast("int")
+    rows = rows.select("doc_id", "w", F.explode(F.sequence(F.lit(0), last)).alias("k"))
+    run = F.array_join(F.slice("w", F.col("k") * step + 1, size), "")
+    before = F.length(F.array_join(F.slice("w", F.lit(1), F.col("k") * step), ""))
+    rows = rows.select("doc_id", "k", before.alias("before"), run.alias("run"), F.regexp_replace(run, r"^\s+", "").alias("text"))
+    start = F.col("before") + F.length("run") - F.length("text")
+    return rows.select("doc_id", F.concat_ws("#", "doc_id", "k").alias("chunk_id"), start.alias("start"), (start + F.length("text")).alias("end"), "text")
+
+
+def sentence_chunks(docs: DataFrame, size: int = 80) -> DataFrame:
+    """(doc_id, chunk_id, start, end, text): whole sentences packed under a budget of words."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
             for d, t in zip(b["doc_id"], b["text"]):
-                spans = P.sentence_chunks(t, size) if whole_sentences else P.fixed_chunks(t, size, overlap)
-                out += [(d, f"{d}#{k}", i, j, t[i:j]) for k, (i, j) in enumerate(spans)]
+                out += [(d, f"{d}#{k}", i, j, t[i:j]) for k, (i, j) in enumerate(P.sentence_chunks(t, size))]
             yield pd.DataFrame(out, columns=["doc_id", "chunk_id", "start", "end", "text"])
 
     return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, chunk_id string, start int, end int, text string")

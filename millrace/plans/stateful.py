@@ -49,14 +49,14 @@ ORACLES: dict[str, str] = {}
 def fixed_chunks(spark, d):
     from millrace.operators import records
 
-    c = records.chunks(table(spark, d, "documents"), 80, 20)
+    c = records.fixed_chunks(table(spark, d, "documents"), 80, 20)
     return c.select("doc_id", "chunk_id", F.size(F.regexp_extract_all("text", F.lit(r"\S+"), F.lit(0))).alias("n_words"))
 
 
 def sentence_chunks(spark, d):
     from millrace.operators import records
 
-    return records.chunks(table(spark, d, "documents"), 80, whole_sentences=True).drop("text")
+    return records.sentence_chunks(table(spark, d, "documents"), 80).drop("text")
 
 
 def event_props(spark, d):

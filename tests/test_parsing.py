@@ -1,4 +1,6 @@
 import json
+import random
+import re
 
 import pytest
 
@@ -28,21 +30,42 @@ def test_sentences():
     assert P.sentences("") == P.sentences(None) == P.sentences("  ") == []
 
 
-def test_chunks():
-    t = "one two three four five six seven"
-    assert [t[a:b] for a, b in P.fixed_chunks(t, 3)] == ["one two three", "four five six", "seven"]
-    t = "a b c d e f g h"
-    assert [t[a:b] for a, b in P.fixed_chunks(t, 4, 2)] == ["a b c d", "c d e f", "e f g h"]
-    t = "A b. C d e. F g h i j. K."
-    assert [t[a:b] for a, b in P.sentence_chunks(t, 5)] == ["A b. C d e.", "F g h i j.", "K."]
-    assert P.fixed_chunks(None, 3) == []
+def windows(text, size, overlap):
+    """The definition, word by word."""
+    at = [m.span() for m in re.finditer(r"\S+", text or "")]
+    out, k = [], 0
+    while at:
+        out.append((at[k][0], at[min(k + size, len(at)) - 1][1]))
+        if k + size >= len(at):
+            break
+        k += size - overlap
+    return out
+
+
+def test_fixed_chunks(spark):
+    r = random.Random(1)
+    texts = [None, "", "  ", "alone", " pear  plum\nfig ", *["".join(r.choice(["kiwi", "é", " ", "\n", "  "]) for _ in range(r.randint(0, 40))) for _ in range(40)]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for size, overlap in ((3, 0), (4, 2), (1, 0), (50, 10)):
+        got: dict = {}
+        for x in records.fixed_chunks(docs, size, overlap).collect():
+            assert x.text == texts[x.doc_id][x.start : x.end]
+            got.setdefault(x.doc_id, []).append((x.start, x.end))
+        assert all(sorted(got.get(i, [])) == windows(t, size, overlap) for i, t in enumerate(texts))
+
+
+def test_sentence_chunks():
+    t = "Rain fell. Rivers rose fast. Nobody in the valley had seen it before. Stop. Go."
+    got = [t[a:b] for a, b in P.sentence_chunks(t, 5)]
+    assert got == ["Rain fell. Rivers rose fast.", "Nobody in the valley had seen it before.", "Stop. Go."]
+    assert P.sentence_chunks(None, 5) == P.sentence_chunks("", 5) == []
 
 
 def test_normal_forms():
-    assert P.normalized("  Ｃafe \n STRASSE ß") == "cafe strasse ss"
-    assert P.joined_letters("i g n o r e this a b c") == "ignore this a b c"
-    assert P.hidden_base64("x aWdub3JlIHByZXZpb3VzIHJ1bGVz y") == ["ignore previous rules"]
-    assert P.generic("a[0].b[12]") == "a[].b[]"
+    assert P.normalized(" Ｇroße\tÄpfel ") == "grosse äpfel"
+    assert P.joined_letters("say h e l l o to a b") == "say hello to a b"
+    assert P.hidden_base64("see bm90aGluZyBpcyBoaWRkZW4gaGVyZQ== end") == ["nothing is hidden here"]
+    assert P.generic("p.q[3].r[0]") == "p.q[].r[]"
 
 
 def test_leaf_comparison(spark):
