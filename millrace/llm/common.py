@@ -15,7 +15,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_BYTES = 4 << 20  #: of rows that a Python worker gets at a time, however long their texts
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table; the session's Arrow batches, if they are as large as Spark has them, are bounded more closely first."""
+    if spark.conf.get(BATCH, None) in (None, "67108864b"):
+        spark.conf.set(BATCH, str(BATCH_BYTES))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
