@@ -140,6 +140,11 @@ def released() -> None:
     if _models or _memos:
         _models.clear()
         _memos.clear()
-        gc.collect()
-        with contextlib.suppress(OSError, AttributeError):
-            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        trimmed()
+
+
+def trimmed() -> None:
+    """Gives the memory of what nothing refers to back to the system."""
+    gc.collect()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)

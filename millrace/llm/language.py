@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import released, stored
+from .common import released, stored, trimmed
 from .near_dedup import few
 
 SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double, rejected boolean"
@@ -126,7 +126,7 @@ def train(texts: list[str], langs: list[str], seed: int = SEED) -> Model:
         for piece in (head, head[at : at + int(rng.integers(15, 60))]):
             b = buckets_of(piece)
             if len(b) and has_letter(piece):
-                grams.append(b)
+                grams.append(b.astype(np.min_scalar_type(BUCKETS - 1)))  # the sample's grams are the driver's largest memory
                 target.append(int(y[k]))
     e = rng.uniform(-1 / DIM, 1 / DIM, (BUCKETS, DIM))
     w, bias = np.zeros((DIM, len(names))), np.zeros(len(names))
@@ -180,7 +180,10 @@ def sample(docs: DataFrame, size: int = SAMPLE) -> DataFrame:
 
 def fitted(docs: DataFrame, size: int = SAMPLE) -> Model:
     rows = sorted((r["lang"], r["h"], r["text"]) for r in sample(docs, size).collect())
-    return train([r[2] for r in rows], [r[0] for r in rows])
+    model = train([r[2] for r in rows], [r[0] for r in rows])
+    del rows
+    trimmed()
+    return model
 
 
 def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
