@@ -49,7 +49,10 @@ from .common import coded, dropped, released, scratch, stored
 
 DEPTH, LEAST, NATS, TAKEN = 3, 2, 10.0, 0.5
 CHUNK = 1 << 18  #: tokens of a chunk
+BUCKET = 8  #: chunks of a bucket, whose answers a task holds together
+WORD = 6  #: bytes of a word and the white space behind it, for an estimate of the number of chunks
 PART = 1 << 21  #: tokens for each part
+VALUES = 1 << 19  #: values that are packed together
 ROWS = 16  #: packed rows that a task takes at a time
 CHUNKS = "chunk long, docs binary, no_doc binary, held binary, sizes binary, words binary, tokens binary"
 PACKED = "part int, chunk long, keys binary, counts binary"
@@ -183,16 +186,19 @@ class Chunk:
         keys, at = np.unique(self.grams[k][tokens], return_inverse=True)
         return keys, np.bincount(at, self.train[tokens], len(keys)).astype("<u4"), at, tokens
 
-    def learn(self, k: int, answer: np.ndarray, least: int) -> None:
+    def learn(self, k: int, answer: np.ndarray, least: int, handing: bool = True) -> None:
         """Takes the answer to question(k): twice the count of each gram, and 1 more if its entry is this chunk's."""
-        _, _, at, tokens = self.question(k)
+        tokens = np.flatnonzero(self.asked(k))
+        _, at = np.unique(self.grams[k][tokens], return_inverse=True)
         total = (answer >> np.uint64(1)).astype(np.int64)
         n = np.zeros(len(self.place), np.int64)
         n[tokens] = total[at]
         self.counts = n if not k else self.counts
         self.n.append(np.where(n >= least, n, 0))
-        _, first = np.unique(at, return_index=True)
-        self.mine.append(tokens[first[(answer & np.uint64(1)).astype(bool) & (total >= least)]])
+        if handing:
+            first = np.zeros(len(answer), np.int64)
+            first[at[::-1]] = tokens[::-1]  # of a gram's tokens the first one is written last
+            self.mine.append(first[(answer & np.uint64(1)).astype(bool) & (total >= least)])
 
     def entries(self, k: int, base) -> list[np.ndarray]:
         """gram, context, suffix, n, the context's count and, of words and level 1, log P of the last word at the root: the
@@ -225,14 +231,14 @@ def cut(keys: np.ndarray, bits: int) -> list[tuple[int, int, int]]:
     return list(zip(found.tolist(), first.tolist(), [*first[1:].tolist(), len(keys)]))
 
 
-def answered(row: dict, depth: int, levels: int, least: int) -> Chunk:
+def answered(row: dict, depth: int, levels: int, least: int, handing: bool = False) -> Chunk:
     """A chunk that has learned the answers of the first `levels` levels; those of level -1 are kept as they are."""
     c = Chunk(row, depth)
     by: dict[int, list[bytes]] = {}
     for a in row["answers"] or []:
         by.setdefault(a["level"], []).append(a["answer"])
     for k in range(levels):
-        c.learn(k, np.frombuffer(b"".join(by.get(k, [])), "<u8"), least)
+        c.learn(k, np.frombuffer(b"".join(by.get(k, [])), "<u8"), least, handing)
     c.found = np.frombuffer(b"".join(by.get(-1, [])), "<f8")
     return c
 
@@ -264,11 +270,21 @@ def packed_values(values: DataFrame, bits: int) -> DataFrame:
     """Rows (key, value) as packed arrays of their parts: keys and, in the place of counts, values."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keys, v = b.column(0).to_numpy().view(np.uint64), b.column(1).to_numpy()
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def packed() -> pa.RecordBatch:
+            keys, v = (np.concatenate(x) for x in zip(*held))
             by = np.argsort(keys)
             keys, v = keys[by], v[by]
-            yield batch(PACKED, [(p, ALL, keys[i:j].tobytes(), v[i:j].tobytes()) for p, i, j in cut(keys, bits)])
+            return batch(PACKED, [(p, ALL, keys[i:j].tobytes(), v[i:j].tobytes()) for p, i, j in cut(keys, bits)])
+
+        for b in batches:  # batches are small, and a packed row of few values costs more than they do
+            held.append((np.array(b.column(0)).view(np.uint64), np.array(b.column(1))))
+            if sum(len(k) for k, _ in held) >= VALUES:
+                yield packed()
+                held.clear()
+        if held:
+            yield packed()
 
     return values.select("key", "value").mapInArrow(run, PACKED)
 
@@ -304,7 +320,9 @@ class Corpus:
 
     def __init__(self, rows: DataFrame, depth: int):
         self.spark, self.depth = rows.sparkSession, depth
-        self.name, self.buckets = f"millrace_{uuid.uuid4().hex}", max(rows.rdd.getNumPartitions(), self.spark.sparkContext.defaultParallelism)
+        held = rows.agg(F.coalesce(F.sum(F.octet_length("text") + 1), F.lit(0))).first()[0]
+        least = max(rows.rdd.getNumPartitions(), self.spark.sparkContext.defaultParallelism)
+        self.name, self.buckets = f"millrace_{uuid.uuid4().hex}", min(max(least, -(-held // (WORD * CHUNK * BUCKET))), 100_000)  # Spark has no more
         path = scratch(self.spark, "chunks")
         chunks_of(rows).write.bucketBy(self.buckets, "chunk").sortBy("chunk").option("compression", "zstd").option("path", path).saveAsTable(self.name)
         self.answers: list[DataFrame] = []
@@ -345,7 +363,7 @@ class Corpus:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 for row in b.to_pylist():
-                    c = answered(row, depth, levels, least)
+                    c = answered(row, depth, levels, least, True)
                     for k in range(1, depth + 1):
                         x = c.entries(k, lambda n: root(n, total, distinct))
                         yield pa.RecordBatch.from_arrays([*map(pa.array, x), pa.array(np.full(len(x[0]), k, np.int32))], names=names)
@@ -434,7 +452,6 @@ def lm_scores(docs: DataFrame, depth: int = DEPTH, least: float = LEAST, nats: f
                 at_least = needed(least, total)
             swept(spark)
         entries = stored(corpus.entries(at_least, total, distinct), "entries", ["level"])
-        asked = stored(corpus.look_up(bits, at_least), "lookups")
     swept(spark)
     packs, lower = [], None
     for k in range(1, depth + 1):
@@ -449,11 +466,13 @@ def lm_scores(docs: DataFrame, depth: int = DEPTH, least: float = LEAST, nats: f
         swept(spark)
     dropped(spark, entries, *([lower] if lower is not None else []))
     with few_rows_at_a_time(spark):
+        asked = corpus.look_up(bits, at_least)
         values = packs[0] if packs else asked.limit(0)
         for p in packs[1:]:
             values = values.unionByName(p)
         corpus.answers.append(stored(found_values(asked, values, bits), "found"))
-        dropped(spark, asked, *packs)
+        dropped(spark, *packs)
+        swept(spark)
         out = stored(corpus.scores(at_least, total, distinct), "scores")
         dropped(spark, *corpus.answers)
         corpus.close()

@@ -125,3 +125,27 @@ def test_a_phrase_stays_learned_as_the_corpus_grows(spark):
         got = suffix_tree.lm_scores(docs).where(f"doc_id = {held}").first()
         gains.append(got.score - got.base_score)
     assert gains[0] > 3 and gains[1] > gains[0]
+
+
+def test_a_task_holds_few_chunks_however_few_files_the_table_has(spark, monkeypatch):
+    """Answers of all chunks of a bucket meet in one task, so buckets are as many as the texts need."""
+    chunks = suffix_tree.chunks_of
+    monkeypatch.setattr(suffix_tree, "CHUNK", 100)
+    monkeypatch.setattr(suffix_tree, "chunks_of", lambda rows: chunks(rows, 100))
+    docs = spark.createDataFrame([(i, "one two three four five six seven eight nine ten " * 3) for i in range(1500)], "doc_id long, text string").coalesce(1)
+    corpus = suffix_tree.Corpus(suffix_tree.folds(docs), 3)
+    n = corpus.table().count()
+    assert n > 300 and corpus.buckets >= n / suffix_tree.BUCKET > 2 * spark.sparkContext.defaultParallelism
+    corpus.close()
+
+
+def test_values_are_packed_across_batches(spark):
+    bits = 3
+    values = spark.range(0, 1000, 1, 1).selectExpr("xxhash64(id) as key", "cast(id as double) as value")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10")
+    try:
+        rows = suffix_tree.packed_values(values, bits).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert len(rows) == 1 << bits and sum(len(r["keys"]) for r in rows) == 8000
