@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions import text as T
 
 P = (1 << 61) - 1
+GROUP = 256  #: sets whose bits are counted together
 
 
 def shingle_sets(docs: DataFrame, n: int = 5, tokens=T.words) -> DataFrame:
@@ -76,11 +81,27 @@ def estimates(pairs: DataFrame, signatures: DataFrame, k: int = 16) -> DataFrame
 
 
 def simhash(sets: DataFrame, bits: int = 60) -> DataFrame:
-    """(doc_id, simhash): a bit is set if more of the set's hashes have it than lack it."""
-    votes = [F.sum(F.when(F.expr(f"getbit(s, {i})") == 1, 1).otherwise(-1)) for i in range(bits)]
-    total = exploded(sets).groupBy("doc_id").agg(*[v.alias(f"v{i}") for i, v in enumerate(votes)])
-    out = sum(F.when(F.col(f"v{i}") > 0, F.lit(1 << i)).otherwise(F.lit(0)).cast("long") for i in range(bits))
-    return total.select("doc_id", out.alias("simhash"))
+    """(doc_id, simhash): a bit is set if more of the set's hashes have it than lack it. Rows of one doc_id are one set.
+
+    Votes are counted a batch of arrays at a time: as rows, or as lambdas, each hash would cost `bits` evaluations."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for at in range(0, b.num_rows, GROUP):
+                part = b.column(1).slice(at, GROUP)
+                ends, s = np.asarray(part.offsets).astype(np.int64), np.asarray(part.values)
+                n = np.diff(ends)
+                s, full, code = s[ends[0] : ends[-1]], np.flatnonzero(n), np.zeros(len(n), np.int64)
+                first = (ends[:-1] - ends[0])[full]
+                for i in range(bits if len(full) else 0):
+                    votes = np.add.reduceat(s >> i & 1, first)
+                    code[full] |= (2 * votes > n[full]).astype(np.int64) << i
+                out.append(code)
+            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(np.concatenate(out) if out else np.zeros(0, np.int64))], names=["doc_id", "simhash"])
+
+    whole = sets.groupBy("doc_id").agg(F.array_distinct(F.flatten(F.collect_list("s"))).alias("s"))
+    return whole.select(F.col("doc_id").cast("long").alias("doc_id"), "s").mapInArrow(run, "doc_id long, simhash long")
 
 
 def hamming(a, b):

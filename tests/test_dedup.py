@@ -49,3 +49,14 @@ def test_queries_give_every_pair_and_count_missed_ones(spark, monkeypatch):
     said = {tuple(r) for r in dedup.candidates(dedup.minhash(rows)).collect()}
     got = analysis.lsh_pair_scores(spark, "").first()
     assert (got.tp, got.fp, got.fn) == (len(said & truth), len(said - truth), len(truth - said)) and got.fn > 0
+
+
+def test_simhash_equals_votes_and_takes_rows_of_a_document_as_one_set(spark):
+    found = sets(7)
+    rows = [(i, sorted(x)) for i, x in enumerate(found) if x] + [(0, sorted(found[0])), (1, [5, 9]), (None, [3]), (10**6, [])]
+    want = {}
+    for i, x in rows:
+        want.setdefault(i, set()).update(x)
+    votes = {i: sum(1 << k for k in range(60) if 2 * sum(v >> k & 1 for v in x) > len(x)) for i, x in want.items()}
+    got = dedup.simhash(spark.createDataFrame(rows, "doc_id long, s array<long>")).collect()
+    assert {r.doc_id: r.simhash for r in got} == votes and len(got) == len(votes)
