@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import uuid
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -19,6 +20,18 @@ def safe(x: Column, y: Column, empty: float = 0.0) -> Column:
     return F.coalesce(F.try_divide(x, y), F.lit(empty))
 
 
+def kept(rows: DataFrame) -> DataFrame:
+    """rows as a table in the folder for checkpoints, read back, so that several readers don't compute them again; as they
+    are where the session has no such folder."""
+    spark = rows.sparkSession
+    path = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not path:
+        return rows
+    path = f"{path.rstrip('/')}/millrace/kept-{uuid.uuid4().hex}"
+    rows.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(rows.schema).parquet(path)
+
+
 def running(rows: DataFrame, by: list, sums: dict[str, str]) -> DataFrame:
     """rows with sums of columns over all rows up to each one, in an order whose last part makes it unique.
 

@@ -3,6 +3,8 @@
 import random
 from itertools import combinations
 
+from pyspark.sql import functions as F
+
 from millrace.operators import dedup
 from millrace.plans import analysis
 
@@ -60,3 +62,19 @@ def test_simhash_equals_votes_and_takes_rows_of_a_document_as_one_set(spark):
     votes = {i: sum(1 << k for k in range(60) if 2 * sum(v >> k & 1 for v in x) > len(x)) for i, x in want.items()}
     got = dedup.simhash(spark.createDataFrame(rows, "doc_id long, s array<long>")).collect()
     assert {r.doc_id: r.simhash for r in got} == votes and len(got) == len(votes)
+
+
+def test_scores_are_counted_without_writing_pairs_down(spark, monkeypatch):
+    """Copies by the thousand, near copies of them, and a document in two rows: the counts of all pairs."""
+    r = random.Random(3)
+    one = r.sample(range(1 << 59), 40)
+    found = sets(9) + [set(one) for _ in range(40)] + [set(one[:36]) for _ in range(30)] + [set(one[:36]) | {k} for k in range(5)]
+    rows = [(i, sorted(x)) for i, x in enumerate(found) if x]
+    frame_ = spark.createDataFrame([(rows[0][0], rows[0][1][:1]), *rows, (None, [5])], "doc_id long, s array<long>")
+    truth = similar(found)
+    said = {tuple(x) for x in dedup.candidates(dedup.minhash(spark.createDataFrame(rows, "doc_id long, s array<long>"))).collect()}
+    monkeypatch.setattr(dedup, "candidates", None)
+    got = dedup.candidate_scores(frame_).first()
+    assert (got.tp, got.fp, got.fn) == (len(said & truth), len(said - truth), len(truth - said)) and got.tp > 2000 and got.fp > 0
+    many = spark.range(20_000).select(F.col("id").alias("doc_id"), F.array(*map(F.lit, one)).alias("s"))
+    assert tuple(dedup.candidate_scores(many).first()) == (199_990_000, 0, 0, 1.0, 1.0, 1.0)
