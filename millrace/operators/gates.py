@@ -2,18 +2,30 @@
 
 outcomes: (item, slice, old, new), old and new being 0 or 1. Items are numbered within their slice, and over all, by
 item; a resample draws numbers by a hash of round, slice and place, so no task needs another's random state. The
-number of rounds is a parameter of the test; what is shuffled is a row for each round, slice and item.
+number of rounds is a parameter of the test; what is shuffled is a byte for each slice and item, once for each
+ROUNDS_TOGETHER rounds.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+from itertools import groupby
+
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.operators.stats import benjamini_hochberg, rounded
+from millrace.functions.digests import digest_heads
+from millrace.operators.stats import benjamini_hochberg, kept, rounded
 
 ALL = "*"  #: the slice of all items
 ROUNDS, MOST, ALPHA = 200, 0.02, 0.025
+NONE = -128  #: instead of a difference that is null
+ROUNDS_TOGETHER = 4  #: rounds for which a slice's differences go to a task
+PACKED = 1 << 27  #: items of the largest slice whose differences go to tasks as a byte each
+STEP = 1 << 20  #: draws that are looked up together
 
 
 def compared(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -26,24 +38,101 @@ def compared(old: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def with_all(outcomes: DataFrame) -> DataFrame:
-    """(slice, i, n, v): differences numbered within each slice and over all."""
+    """(slice, item, v): differences within each slice and over all; outcomes without a slice count over all only."""
     v = (F.col("new").cast("int") - F.col("old").cast("int")).alias("v")
-    rows = outcomes.select("item", "slice", v).unionByName(outcomes.select("item", F.lit(ALL).alias("slice"), v))
+    return outcomes.select("slice", "item", v).where("slice is not null").unionByName(outcomes.select(F.lit(ALL).alias("slice"), "item", v))
+
+
+def blocks(rows: DataFrame) -> DataFrame:
+    """(slice, part, v): the differences of each slice in order of item, a byte each, NONE for null: the blocks of the range
+    partitions, in order of part. No task sorts more than its range."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, at, held = TaskContext.get().partitionId(), None, []
+
+        def block() -> pa.RecordBatch:
+            v = np.concatenate(held).astype(np.int8).tobytes()
+            return pa.RecordBatch.from_arrays([pa.array([at]), pa.array([part], pa.int32()), pa.array([v], pa.binary())], names=["slice", "part", "v"])
+
+        for b in batches:
+            names = b.column(0).dictionary_encode()
+            code, v = names.indices.to_numpy(), b.column(1).fill_null(NONE).to_numpy()
+            cut = [0, *(np.flatnonzero(np.diff(code)) + 1).tolist(), len(code)]
+            for i, j in zip(cut, cut[1:]):
+                if i == j:
+                    continue
+                name = names.dictionary[int(code[i])].as_py()
+                if held and name != at:
+                    yield block()
+                    held = []
+                at = name
+                held.append(v[i:j])
+        if held:
+            yield block()
+
+    dealt = rows.repartitionByRange("slice", "item").sortWithinPartitions("slice", "item")
+    return dealt.select(F.col("slice").cast("string").alias("slice"), "v").mapInArrow(run, "slice string, part int, v binary")
+
+
+def drawn_sums(v: np.ndarray, name: str, rounds: Iterable[int]) -> list[tuple[int, int, int]]:
+    """(round, sum, how many aren't null) of len(v) draws from v with replacement: in each round, draw i takes the number that
+    the first eight hexadecimal digits of MD5 of round-slice-i say, modulo len(v)."""
+    value, known, some = np.where(v == NONE, 0, v).astype(np.int64), v != NONE, bool((v == NONE).any())
+    out = []
+    for r in rounds:
+        total = count = 0
+        for first in range(0, len(v), STEP):
+            k = digest_heads(f"{r}-{name}-".encode(), first, min(len(v), first + STEP)) % len(v)
+            total += int(value[k].sum())
+            count += int(known[k].sum()) if some else len(k)
+        out.append((r, total, count))
+    return out
+
+
+def resampled_means(packed: DataFrame, rounds: int) -> DataFrame:
+    """(slice, round, m): the means of all rounds. A task has the packed differences of a slice and some rounds."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (r for b in batches for r in b.to_pylist())
+        for (name, first), group in groupby(rows, lambda r: (r["slice"], r["first"])):
+            v = np.concatenate([np.frombuffer(r["v"], np.int8) for r in group])
+            found = drawn_sums(v, name, range(first, min(rounds, first + ROUNDS_TOGETHER)))
+            r, total, count = map(list, zip(*found))
+            columns = [pa.array([name] * len(r)), pa.array(r, pa.int32()), pa.array([t if c else None for t, c in zip(total, count)], pa.int64()), pa.array([len(v)] * len(r), pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["slice", "round", "total", "n"])
+
+    tasks = max(int(packed.sparkSession.conf.get("spark.sql.shuffle.partitions")), packed.sparkSession.sparkContext.defaultParallelism)
+    each = packed.select("slice", "part", "v", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1), F.lit(ROUNDS_TOGETHER))).alias("first"))
+    each = each.repartition(tasks, "slice", "first").sortWithinPartitions("slice", "first", "part")
+    sums = each.mapInArrow(run, "slice string, round int, total long, n long")
+    return sums.select("slice", "round", F.round(F.col("total") / F.col("n"), 9).alias("m"))
+
+
+def resampled_means_by_rows(rows: DataFrame, rounds: int) -> DataFrame:
+    """The same, of slices of any size: a row for each round, slice and item is shuffled."""
     w = Window.partitionBy("slice").orderBy("item")
-    numbered = rows.select("slice", "item", "v", (F.row_number().over(w) - 1).alias("i"))
-    return numbered.join(F.broadcast(numbered.groupBy("slice").agg(F.count("*").alias("n"))), "slice").drop("item")
+    rows = rows.select("slice", "v", (F.row_number().over(w) - 1).alias("i"), F.count("*").over(Window.partitionBy("slice")).alias("n"))
+    drawn = rows.select("slice", "n", "i", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))).alias("round"))
+    h = F.conv(F.substring(F.md5(F.concat_ws("-", "round", "slice", "i").cast("binary")), 1, 8), 16, 10).cast("long")
+    drawn = drawn.select("slice", "round", (h % F.col("n")).alias("i")).groupBy("slice", "round", "i").count()
+    means = drawn.join(rows.select("slice", "i", "v", "n"), ["slice", "i"]).groupBy("slice", "round")
+    return means.agg(F.round(F.sum(F.col("v") * F.col("count")) / F.first("n"), 9).alias("m"))
 
 
 def resampled(outcomes: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """(slice, n, delta, low, high, p): mean difference, its 95% percentile interval, and the share of resampled means
-    of at least 0, which is the p of a regression."""
-    rows = with_all(outcomes)
-    drawn = rows.select("slice", "n", "i", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))).alias("round"))
-    h = F.conv(F.substring(F.md5(F.concat_ws("-", "round", "slice", "i").cast("binary")), 1, 8), 16, 10).cast("long")
-    drawn = drawn.select("slice", "round", (h % F.col("n")).alias("i")).groupBy("slice", "round", "i").count()
-    means = drawn.join(rows.select("slice", "i", "v", "n"), ["slice", "i"]).groupBy("slice", "round").agg(F.round(F.sum(F.col("v") * F.col("count")) / F.first("n"), 9).alias("m"))
+    of at least 0, which is the p of a regression. Slices of up to PACKED items are resampled as packed differences,
+    larger ones as rows."""
+    rows = kept(with_all(outcomes))
+    by = kept(rows.groupBy("slice").agg(F.count("*").alias("n"), rounded(F.avg("v"), "delta")))
+    large, whole = by.where(F.col("n") > PACKED).select("slice"), rows
+    if large.limit(1).count():
+        whole = rows.join(large, "slice", "left_anti")
+    means = resampled_means(blocks(whole), rounds)
+    if whole is not rows:
+        means = means.unionByName(resampled_means_by_rows(rows.join(large, "slice", "left_semi"), rounds))
     ci = means.groupBy("slice").agg(rounded(F.percentile("m", 0.025), "low"), rounded(F.percentile("m", 0.975), "high"), rounded(F.avg((F.col("m") >= 0).cast("double")), "p"))
-    return rows.groupBy("slice").agg(F.count("*").alias("n"), rounded(F.avg("v"), "delta")).join(ci, "slice")
+    return kept(by.join(ci, "slice").select("slice", "n", "delta", "low", "high", "p"))
 
 
 def verdicts(table: DataFrame, most: float = MOST, alpha: float = ALPHA) -> DataFrame:

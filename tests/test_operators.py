@@ -1,5 +1,6 @@
 """Operators that SQL can't check, against brute force, pinned cases and what has to hold."""
 
+import hashlib
 import json
 import math
 import random
@@ -8,6 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from millrace.functions import digests
 from millrace.functions import text as T
 from millrace.operators import evaluation, extraction, features, gates, grounding, pruned, rerank, retrieval, stats, vectors
 from millrace.sources import contracts, generators
@@ -263,3 +265,24 @@ def test_grids_and_rogues(spark):
     error = lambda g: vectors.rmse(e.select("vec_id", "embedding"), vectors.grid_decoded(vectors.grid_codes(e, 16, g), g)).agg(F.avg("rmse")).first()[0]
     assert error(tight) < error(wide) / 5
     assert vectors.total_bytes("grid4", 10, 7) == 10 * 4 + 56
+
+
+def test_md5_of_many_numbers():
+    for prefix in (b"0-*-", b"", b"199-\xc3\xa9-", b"x" * 51, b"y" * 80):
+        want = [int(hashlib.md5(prefix + str(i).encode()).hexdigest()[:8], 16) for i in range(95, 10_050)]
+        assert digests.digest_heads(prefix, 95, 10_050).tolist() == want
+
+
+def test_resampling_packed_and_as_rows(spark, monkeypatch):
+    """Differences of a slice go to tasks as bytes; larger slices as rows; null outcomes and slices among them."""
+    r = random.Random(8)
+    rows = [(i, r.choice(["a", "b", "-c é", None]), r.choice([0, 1, 1, None]), r.choice([0, 1])) for i in range(400)]
+    rows += [(1000 + i, "none", None, 1) for i in range(3)]
+    table = spark.createDataFrame(rows, "item long, slice string, old int, new int").repartition(5)
+    key = lambda x: sorted(map(tuple, x.collect()), key=repr)
+    by_rows = lambda t: gates.resampled_means_by_rows(gates.with_all(t), 30)
+    packed = lambda t: gates.resampled_means(gates.blocks(gates.with_all(t)), 30)
+    assert key(packed(table)) == key(by_rows(table)) and len(key(packed(table))) == 30 * 5
+    want = key(gates.resampled(table, 30))
+    monkeypatch.setattr(gates, "PACKED", 100)
+    assert key(gates.resampled(table, 30)) == want and len(want) == 5
