@@ -86,6 +86,44 @@ def test_arrays_are_aligned(spark):
     assert again.count() == len(said_rows) and again.where("element < 0").count() == sum(len(e) for i in every for k, e in every[i][1].items() if k not in {j for _, j in pairs.get(i, ())})
 
 
+def test_long_arrays_and_many_records_are_aligned(spark, monkeypatch):
+    """Ties, chains that outlast the rounds, records that span batches, records without id."""
+    r = random.Random(4)
+    rows = [(None if i == 7 else i, x, y, r.choice([0.25, 0.5, 1.0])) for i in range(60) for x, y in r.sample([(x, y) for x in range(9) for y in range(9)], r.randint(1, 60))]
+    rows += [(1000, k // 2, (k + 1) // 2, 1 - k / 64) for k in range(50)]
+    want = set()
+    for i in {x[0] for x in rows}:
+        left, right = set(), set()
+        for _, x, y, f in sorted((x for x in rows if x[0] == i), key=lambda x: (-x[3], x[1], x[2])):
+            if x not in left and y not in right:
+                left.add(x)
+                right.add(y)
+                want.add((i, x, y, f))
+    table = spark.createDataFrame(rows, "id long, gi long, pi long, f1 double").repartition(3)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        for rounds, pairs in ((8, 20), (1, 1 << 17)):
+            monkeypatch.setattr(extraction, "ROUNDS", rounds)
+            monkeypatch.setattr(extraction, "PAIRS", pairs)
+            got = [tuple(x) for x in extraction.aligned(table).collect()]
+            assert len(got) == len(want) and set(got) == want
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
+def test_values_that_match_share_a_key(spark):
+    said = ['"5"', '"\\t5"', "5", "5.0", "-0", "0", '"-0.0"', '"$5"', '"5 "', '"a  B"', '"A b"', '"ß"', '"SS"', '"Jan 5, 2024"', '"2024-01-05"', '" 2024-01-05"', '"\\t2024-01-05"', "null", '"null"', "true", "1e5", '"1e5"', "100000", '""', "{}", None]
+    t = spark.createDataFrame(list(enumerate(said)), "element long, value string").selectExpr("1L as id", "element", "'p' as path", "value")
+    for upto in extraction.LADDER:
+        x, y = t.selectExpr("element as gi", "value as g"), t.selectExpr("element as pi", "value as s")
+        want = {(a.gi, a.pi) for a in x.crossJoin(y).where(extraction.values_match(F.col("g"), F.col("s"), upto)).collect()}
+        got = [(a.gi, a.pi, a.f1) for a in extraction.element_scores(t, t, upto).collect()]
+        assert {a[:2] for a in got} == want and len(got) == len(want) and {a[2] for a in got} == {1.0}
+    big = spark.range(30_000).selectExpr("1L as id", "id as element", "'p' as path", "cast(id as string) as value")
+    assert extraction.element_scores(big, big).count() == 30_000
+
+
 def test_the_ladder_of_equalities(spark):
     cases = [
         ('"$1,234.50"', "1234.5", "numeric", True), ('"$1,234.50"', "1234.5", "exact", False), ("42", '"42abc"', "text", False), ('"Jan 5, 2024"', '"2024-01-05"', "date", True),
