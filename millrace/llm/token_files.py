@@ -124,14 +124,15 @@ def encoded(docs: DataFrame, path: str | None = None, end: int = END) -> DataFra
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lib = library(path or place("word_bpe_49k.json"))
         for b in batches:
-            sizes = [len(x.as_py() or "") for x in b.column(1)]
+            texts = [t or "" for t in b.column(1).to_pylist()]
+            sizes = list(map(len, texts))
             at = 0
             while at < len(sizes):
                 stop, held = at + 1, sizes[at]
                 while stop < len(sizes) and held + sizes[stop] <= GROUP:
                     held += sizes[stop]
                     stop += 1
-                flat, n = lib.encode([t.as_py() or "" for t in b.column(1)[at:stop]])
+                flat, n = lib.encode(texts[at:stop])
                 flat = np.insert(flat, np.cumsum(n), end).astype("<u4")  # an end behind each document
                 cut = np.r_[0, np.cumsum(n + 1)].tolist()
                 raw = memoryview(flat.tobytes())

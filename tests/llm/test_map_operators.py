@@ -333,3 +333,30 @@ def test_secrets_of_odd_tables(spark):
     assert secrets.scan(docs.limit(0)).collect() == [] and secrets.redact(docs.limit(0)).collect() == []
     kept = secrets.redact(docs)
     assert kept.columns == docs.columns and kept.count() == 4 and kept.where("text like '%hunter2%'").count() == 0
+
+
+def test_words_without_marks_have_the_library_s_ids(word, monkeypatch):
+    """Letters with or without signs behind them go to the library side by side, all else between marks."""
+    lib = library.Library(library.place("word_bpe_49k.json"))
+    called = []
+    monkeypatch.setattr(library.Library, "share", staticmethod(lambda *a, f=library.Library.share: (called.append(a[-1]), f(*a))))
+    texts = ["", " ", "plain words, of letters. only?!", "İ İx ſt ŉ it's don't! x.y éÀ?! 12 3.4 É", "a\x85b\xa0c　d", "<|endoftext|> a<|endoftext|>.", "a\x1cb \x01"]
+    for some in (texts[:-1], texts, texts[2:3]):
+        flat, n = lib.encode(some)
+        want = [word.encode(t, add_special_tokens=False).ids for t in some]
+        assert n.tolist() == list(map(len, want)) and flat.tolist() == [i for w in want for i in w]
+    assert 0 in called and 1 in called
+    lib.final[:] = False  # where pre-tokens can't be told, words go between marks
+    assert b"".join(lib.raw(["fresh", "words."])) == b"".join(np.array(word.encode(w, add_special_tokens=False).ids, "<u4").tobytes() for w in ("fresh", "words."))
+
+
+def test_workers_give_memory_back_between_operators(monkeypatch):
+    """Also where the operator before kept no model: what its arrays took must not add up with the next model."""
+    calls = []
+    monkeypatch.setattr(common, "_models", {})
+    monkeypatch.setattr(common, "_memos", {})
+    monkeypatch.setattr(common, "trimmed", lambda: calls.append(1))
+    common.released()
+    assert calls == [1]
+    assert common.model("x", lambda: calls.append("made") or 5) == common.model("x", lambda: 6) == 5
+    assert calls[1:] == [1, "made", 1]
