@@ -94,12 +94,17 @@ class Code:
             raise ValueError("an id without a code")
         ends = np.cumsum(size)
         at = ends - size
-        value = self.codes[ids] << (32 - size - (at & 7)).astype(np.uint64)
-        byte, n = at >> 3, (int(ends[-1]) + 7 >> 3) if len(ids) else 0
-        out = np.zeros(n + 4)
-        for k in range(4):
-            out += np.bincount(byte + k, (value >> np.uint64(24 - 8 * k) & np.uint64(255)).astype(np.float64), n + 4)[: n + 4]
-        return out.astype(np.uint8).tobytes(), at[::EVERY].astype("<u8")
+        n = (int(ends[-1]) + 7 >> 3) if len(ids) else 0
+        if not n:
+            return bytes(4), at.astype("<u8")
+        value, word, left = self.codes[ids], at >> 6, 64 - (at & 63) - size  # left: bits behind the code in its 64-bit word
+        over = np.flatnonzero(left < 0)  # at most one code of a word goes on in the next
+        out = np.zeros(int(word[-1]) + 2, np.uint64)
+        out[word[over] + 1] = value[over] << (64 + left[over]).astype(np.uint64)
+        head = value << np.maximum(left, 0).astype(np.uint64)
+        head[over] = value[over] >> (-left[over]).astype(np.uint64)
+        out[: int(word[-1]) + 1] += np.add.reduceat(head, np.searchsorted(word, np.arange(int(word[-1]) + 1)))  # codes are shorter than a word, so one begins in each
+        return out.astype(">u8").tobytes()[:n] + bytes(4), at[::EVERY].astype("<u8")
 
     def unpack(self, bits: bytes, checkpoints: np.ndarray, n: int) -> np.ndarray:
         data = np.frombuffer(bits + bytes(8), np.uint8).astype(np.uint32)
@@ -155,7 +160,7 @@ def global_counts(ids: DataFrame) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
         for b in batches:
-            n = np.bincount(np.concatenate([np.zeros(0, np.int64), *map(widened, b.column(0).to_pylist())]).astype(np.int64))
+            n = np.bincount(np.concatenate([np.zeros(0, np.uint16), *map(widened, b.column(0).to_pylist())]))
             total = np.pad(total, (0, max(0, len(n) - len(total)))) + np.pad(n, (0, max(0, len(total) - len(n))))
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(total[used], pa.int64())], names=["id", "n"])

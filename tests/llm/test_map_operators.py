@@ -360,3 +360,14 @@ def test_workers_give_memory_back_between_operators(monkeypatch):
     assert calls == [1]
     assert common.model("x", lambda: calls.append("made") or 5) == common.model("x", lambda: 6) == 5
     assert calls[1:] == [1, "made", 1]
+
+
+def test_bits_are_packed_in_words_as_they_are_one_by_one():
+    counts = np.r_[0, 1 << np.arange(20), np.ones(3000, np.int64)]
+    code = token_files.Code(token_files.code_lengths(counts))
+    for n in (0, 1, 7, 64, 65, 3000):
+        ids = np.random.default_rng(n).integers(1, len(counts), n)
+        bits = "".join(f"{int(code.codes[i]):0{int(code.lengths[i])}b}" for i in ids)
+        raw, checkpoints = code.pack(ids)
+        assert "".join(f"{b:08b}" for b in raw) == bits.ljust(8 * len(raw), "0") and len(raw) == -(-len(bits) // 8) + 4
+        assert code.unpack(raw, checkpoints, n).tolist() == ids.tolist()
