@@ -9,20 +9,20 @@ where g(s) is what the entries leave of 1. A context is a state of the tree if i
 n(s) times the divergence of its distribution from that of the next shorter state is at least `nats`.
 Each token is scored in the longest state that is a suffix of the words before it, within its document.
 
-How it is computed. Texts are cut into words once; a row of the `chunks` table holds some 250,000 tokens as numbers of
+How it is computed. Texts are cut into words once; a row of the `chunks` table holds about a million tokens as numbers of
 its distinct words and their 64-bit hashes. What goes between tasks are not rows of tokens but packed arrays:
-- A chunk asks for the counts of its distinct grams of k + 1 symbols, cut by hash into `parts` (as many as the corpus
-  needs, so a part's arrays fit into a task); a part adds up what all chunks say and answers each of them. A gram that a
-  third of all tokens hold is one number of each chunk, so there is no hot key.
-- A gram can occur `least` times only if what is left of it without its first and its last symbol does: so level by
-  level a chunk asks only for grams whose shorter ones were answered with enough, which most grams of long contexts fail.
-- Of the chunks that have a gram, one is told to hand its entry on. The entries (gram, context, suffix, n) are a table
-  that grows with the corpus; joins and sums over it give g, the states and log P of each entry, from short contexts
-  to long ones.
-- At last each chunk asks, in the same way, for log P of the longest entry of each token, and for log g of the longer
-  contexts that are states, and adds up its documents.
+- A chunk asks for the counts of its words, cut by hash into `parts` (as many as the corpus needs, so a part's arrays fit
+  into a task); a part adds up what all chunks say and answers each of them with the words' counts and numbers.
+- A window is a token and the words before it. A chunk sends its distinct windows, with their counts, to the part of the
+  word right before the token. All contexts that end in a word, and all their entries, so meet in one part, which finds
+  counts, g, states and log P of all levels by sorting, and answers each window with its log P.
+- A context that occurs `HOT` times or more would bring too much into one part. Level by level, chunks ask for the grams
+  of such contexts by hash of the gram, as for words; sums over each such context's entries give g and whether it is a
+  state (a row for each hot context comes to the driver: at most `depth` times tokens / HOT), and the chunks find log P of
+  that level themselves. Windows then go to the part of their shortest context that isn't hot.
+- Nothing is left out: every gram that occurs `least` times is an entry.
 So the model is never collected or broadcast. Chunks are stored by buckets of their number, so that answers come to them
-without the chunks moving. Words and grams are told apart by 64-bit hashes.
+without the chunks moving. Words, and grams of hot contexts, are told apart by 64-bit hashes.
 
 Edge cases: null or empty texts are the end alone; without training rows N = V = 0, so every token has
 probability 1; rows that are repeated, or lack a doc_id (fold: not held out), are scored one by one; an empty table gives
@@ -42,24 +42,27 @@ from itertools import groupby
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import coded, dropped, released, scratch, stored
 
 DEPTH, LEAST, NATS, TAKEN = 3, 2, 10.0, 0.5
-CHUNK = 1 << 18  #: tokens of a chunk
-BUCKET = 8  #: chunks of a bucket, whose answers a task holds together
-WORD = 6  #: bytes of a word and the white space behind it, for an estimate of the number of chunks
+CHUNK = 1 << 20  #: tokens of a chunk
+BUCKET = 2  #: chunks of a bucket, whose answers a task holds together
+WORD = 5  #: bytes of a word and the white space behind it, for an estimate of the number of chunks
 PART = 1 << 21  #: tokens for each part
+HOT = 1 << 20  #: occurrences from which on a context's windows are too many for one part
 VALUES = 1 << 19  #: values that are packed together
-ROWS = 16  #: packed rows that a task takes at a time
+ROWS = 256  #: packed rows that a task takes at a time
 CHUNKS = "chunk long, docs binary, no_doc binary, held binary, sizes binary, words binary, tokens binary"
 PACKED = "part int, chunk long, keys binary, counts binary"
+QUESTIONS = "part int, chunk long, start int, data binary"
 ANSWERS = "level int, part int, chunk long, answer binary"
+SUMS = "context long, first double, second double"
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
-ALL = -1  #: instead of a chunk: what concerns a whole part
-STATE = np.uint64(0xA5A5A5A5A5A5A5A5)  #: turns a gram's hash into that of the context
+ALL, HOTTEST = -1, -2  #: instead of a chunk: what concerns a whole part
+LAST = 100  #: level of the answers to windows, to which their start is added
 
 
 def folds(docs: DataFrame) -> DataFrame:
@@ -130,11 +133,12 @@ def chunks_of(rows: DataFrame, size: int = CHUNK) -> DataFrame:
 
         def packed() -> pa.RecordBatch:
             words, at, n = coded(lists, pa.large_binary())
-            tokens = np.insert(at, np.cumsum(n), len(words)).astype("<u4")  # behind each text the end
-            hashes = b"".join([hashed(w) for w in words]) + hashed(b" ")  # no word has a blank
+            tokens = np.insert(at, np.cumsum(n), len(words))  # behind each text the end
+            hashes = np.frombuffer(b"".join([hashed(w) for w in words]) + hashed(b" "), "<u8")  # no word has a blank
+            hashes, place = np.unique(hashes, return_inverse=True)
             row = (
                 number, np.array([i or 0 for i in ids], "<i8").tobytes(), np.array([i is None for i in ids], bool).tobytes(), np.array(held, bool).tobytes(),
-                (n + 1).astype("<i8").tobytes(), hashes, tokens.tobytes(),
+                (n + 1).astype("<i8").tobytes(), hashes.tobytes(), place[tokens].astype("<u4").tobytes(),
             )
             return batch(CHUNKS, [row])
 
@@ -155,115 +159,358 @@ def chunks_of(rows: DataFrame, size: int = CHUNK) -> DataFrame:
     return rows.select("doc_id", "text", "held_out").mapInArrow(run, CHUNKS)
 
 
+def packed(columns: list[np.ndarray], at: int, to: int) -> bytes:
+    """Rows at to `to` of byte planes, each of which a shuffle compresses by itself."""
+    return b"".join([c[:, at:to].tobytes() for c in columns])
+
+
+def planes(column: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(column.view(np.uint8).reshape(len(column), column.itemsize).T)
+
+
+def unpacked(data: bytes, kinds: list[str]) -> list[np.ndarray]:
+    """The columns of a packed row."""
+    sizes = [np.dtype(k).itemsize for k in kinds]
+    rows = np.frombuffer(data, np.uint8).reshape(sum(sizes), -1)
+    ends = np.cumsum(sizes)
+    return [np.ascontiguousarray(rows[e - n : e].T).reshape(-1).view(k) for e, n, k in zip(ends, sizes, kinds)]
+
+
+def ordered(columns: list[np.ndarray], first: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The order of rows by `first` and the columns, and in this order whether a row differs from the one before it."""
+    if columns[0].itemsize == 4:  # two at a time
+        wide = [c.astype(np.uint64) for c in columns]
+        keys = [x << np.uint64(32) | y for x, y in zip(wide[::2], wide[1::2])] + wide[len(wide) // 2 * 2 :]
+    else:
+        keys = list(columns)
+    if first is not None:
+        keys.insert(0, first)
+    by = np.lexsort(keys[::-1]) if len(keys[0]) else np.zeros(0, np.int64)
+    return by, changes([k[by] for k in keys])
+
+
+def changes(columns: list[np.ndarray]) -> np.ndarray:
+    """Whether a row differs from the one before it."""
+    new = np.zeros(len(columns[0]), bool)
+    new[:1] = True
+    for c in columns:
+        new[1:] |= c[1:] != c[:-1]
+    return new
+
+
+class Model:
+    """What the driver knows: numbers, and the hot contexts level by level."""
+
+    def __init__(self, depth: int, least: float, nats: float):
+        self.depth, self.least, self.nats = depth, least, nats
+        self.need, self.total, self.distinct, self.kind = 2, 0, 0, "<u4"
+        self.bits, self.many = 0, HOT
+        self.hot: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  #: of each level: ascending hashes, g, whether a state
+
+    def root(self, c: np.ndarray) -> np.ndarray:
+        return root(c, self.total, self.distinct)
+
+    def kinds(self, start: int) -> list[str]:
+        """Columns of windows that start there: words before the token, nearest first, the token, count, and the token's
+        count or log P."""
+        return [self.kind] * (self.depth + 1) + ["<u4", "<f8" if start else "<u8"]
+
+
 class Chunk:
-    """A chunk's tokens and what is known of their grams so far."""
+    """A chunk's tokens and what is known of them so far: of each token log P in the longest hot state, `low`."""
 
-    def __init__(self, row: dict, depth: int):
-        self.number, self.depth = row["chunk"], depth
+    def __init__(self, row: dict, model: Model):
+        self.number, self.model = row["chunk"], model
         self.docs, self.no_doc = np.frombuffer(row["docs"], "<i8"), np.frombuffer(row["no_doc"], bool)
         self.held, self.sizes = np.frombuffer(row["held"], bool), np.frombuffer(row["sizes"], "<i8")
-        x = np.frombuffer(row["words"], "<u8")[np.frombuffer(row["tokens"], "<u4")]
-        first = np.cumsum(self.sizes) - self.sizes
-        self.first = first
-        self.place = np.arange(len(x)) - np.repeat(first, self.sizes)
-        self.train = ~np.repeat(self.held, self.sizes)
-        self.grams = [x]  #: of each level: the hash of the gram that ends with each token
-        for k in range(1, depth + 1):
-            self.grams.append(mixed(self.grams[-1], np.r_[x[:k], x[:-k]] if len(x) > k else x))
-        self.n: list[np.ndarray] = []  #: of each level: training counts, 0 where they are too few
-        self.mine: list[np.ndarray] = []  #: of each level: the first token of each gram whose entry this chunk hands on
-
-    def asked(self, k: int) -> np.ndarray:
-        """Whether a token's gram of level k can be frequent."""
+        self.words, self.tokens = np.frombuffer(row["words"], "<u8"), np.frombuffer(row["tokens"], "<u4")
+        self.first = np.cumsum(self.sizes) - self.sizes
+        self.answers: dict[int, list[bytes]] = {}
+        for a in row["answers"] or []:
+            self.answers.setdefault(a["level"], []).append(a["answer"])
+        if 0 not in self.answers:
+            return
+        self.place = np.arange(len(self.tokens)) - np.repeat(self.first, self.sizes)
+        known = [unpacked(a, ["<u8", "<u8"]) for a in self.answers[0]]
+        counts, numbers = (np.concatenate(x) for x in zip(*known))
+        self.counts, self.numbers = counts[self.tokens], numbers.astype(model.kind)[self.tokens]
+        self.base = model.root(counts)[self.tokens]
+        self.low = self.base.copy()
+        self.start = np.zeros(len(self.tokens), np.int8)  #: hot levels of each token
+        self.behind = self.counts  #: counts of the last level's grams, those of hot contexts
+        for k in range(1, len(model.hot) + 1):
+            self.learn(k)
+
+    def train(self) -> np.ndarray:
+        return ~np.repeat(self.held, self.sizes)
+
+    def gram(self, t: np.ndarray, k: int) -> np.ndarray:
+        """Hashes of the k + 1 symbols up to each token of t."""
+        x = self.words[self.tokens[t]]
+        for j in range(1, k + 1):
+            x = mixed(x, self.words[self.tokens[t - j]])
+        return x
+
+    def hot(self, k: int) -> np.ndarray:
+        """Tokens whose context of k words is hot."""
+        t = np.flatnonzero(self.start == k - 1)
+        t = t[self.place[t] >= k]
+        return t[self.behind[t - 1] >= self.model.many]
+
+    def question(self, k: int) -> Iterator[tuple]:
+        """Distinct words, or grams of hot contexts, with their counts in training; context and log P one level lower."""
         if not k:
-            return np.ones(len(self.place), bool)
-        lower = self.n[k - 1]
-        return (self.place >= k) & (lower > 0) & (np.r_[0, lower[:-1]] > 0)
-
-    def question(self, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Distinct grams of level k, their counts in training, and of the asked tokens their gram's place; the tokens."""
-        tokens = np.flatnonzero(self.asked(k))
-        keys, at = np.unique(self.grams[k][tokens], return_inverse=True)
-        return keys, np.bincount(at, self.train[tokens], len(keys)).astype("<u4"), at, tokens
-
-    def learn(self, k: int, answer: np.ndarray, least: int, handing: bool = True) -> None:
-        """Takes the answer to question(k): twice the count of each gram, and 1 more if its entry is this chunk's."""
-        tokens = np.flatnonzero(self.asked(k))
-        _, at = np.unique(self.grams[k][tokens], return_inverse=True)
-        total = (answer >> np.uint64(1)).astype(np.int64)
-        n = np.zeros(len(self.place), np.int64)
-        n[tokens] = total[at]
-        self.counts = n if not k else self.counts
-        self.n.append(np.where(n >= least, n, 0))
-        if handing:
-            first = np.zeros(len(answer), np.int64)
-            first[at[::-1]] = tokens[::-1]  # of a gram's tokens the first one is written last
-            self.mine.append(first[(answer & np.uint64(1)).astype(bool) & (total >= least)])
-
-    def entries(self, k: int, base) -> list[np.ndarray]:
-        """gram, context, suffix, n, the context's count and, of words and level 1, log P of the last word at the root: the
-        entries of level k that are this chunk's."""
-        i = self.mine[k]
-        none = np.zeros(len(i), np.int64)
-        if not k:
-            return [self.grams[0][i].view(np.int64), none, none, self.n[0][i], none, base(self.n[0][i])]
-        low = base(self.n[0][i]) if k == 1 else np.zeros(len(i))
-        return [self.grams[k][i].view(np.int64), self.grams[k - 1][i - 1].view(np.int64), self.grams[k - 1][i].view(np.int64), self.n[k][i], self.n[k - 1][i - 1], low]
-
-    def lookups(self) -> list[tuple[np.ndarray, np.ndarray]]:
-        """(tokens, keys): each token's longest entry, and the contexts longer than that which could be states."""
-        top = np.zeros(len(self.place), np.int64)
-        for k in range(1, self.depth + 1):
-            top[self.n[k] > 0] = k
-        out = []
-        for k in range(1, self.depth + 1):
-            t = np.flatnonzero(top == k)
-            out.append((t, self.grams[k][t]))
-            t = np.flatnonzero((top < k) & (self.place >= k) & (np.r_[0, self.n[k - 1][:-1]] > 0))
-            out.append((t, self.grams[k - 1][t - 1] ^ STATE))
-        return out
+            keys = self.words
+            columns = [keys, np.bincount(self.tokens[self.train()], minlength=len(keys)).astype("<u8")]
+        else:
+            t = self.hot(k)
+            keys, first, at = np.unique(self.gram(t, k), return_index=True, return_inverse=True)
+            columns = [keys, np.bincount(at, self.train()[t], len(keys)).astype("<u8"), self.gram(t[first] - 1, k - 1), self.low[t[first]]]
+        columns = [planes(c) for c in columns]
+        for p, i, j in cut(keys, self.model.bits):
+            yield p, self.number, 0, packed(columns, i, j)
+
+    def learn(self, k: int) -> None:
+        """Takes the answer to question(k) and log P of level k."""
+        t = self.hot(k)
+        _, at = np.unique(self.gram(t, k), return_inverse=True)
+        n = np.concatenate([np.zeros(0, "<u8"), *[unpacked(a, ["<u8"])[0] for a in self.answers.get(k, [])]])[at].astype(np.int64)
+        contexts, g, state = self.model.hot[k - 1]
+        found = np.searchsorted(contexts, self.gram(t - 1, k - 1))
+        whole, low = self.behind[t - 1].astype(np.int64), self.low[t]
+        p = np.where(n >= self.model.need, n - TAKEN, 0.0) / whole + g[found] * 10.0**low
+        self.low[t] = np.where(state[found], np.log10(p), low)
+        self.start[t] = k
+        self.behind = np.zeros(len(self.tokens), np.int64)
+        self.behind[t] = n
+
+    def windows(self) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """start, part, and tokens in order of part and words with whether each window is a new one: of the tokens that have
+        a context left which can have entries."""
+        depth = self.model.depth
+        for start in range(min(depth, len(self.model.hot) + 1)):
+            t = np.flatnonzero((self.start == start) & (self.place > start))
+            if not start:
+                t = t[self.counts[t - 1] >= self.model.need]
+            part = part_of(self.gram(t - 1, start), self.model.bits)
+            by, new = ordered([*self.before(t), self.numbers[t]], part.astype(np.uint16 if self.model.bits <= 16 else np.int64))
+            yield start, part[by], t[by], new
+
+    def before(self, t: np.ndarray) -> list[np.ndarray]:
+        """Numbers of the words before each token, nearest first; 0 where there is none."""
+        return [np.where(self.place[t] >= k, self.numbers[np.maximum(t - k, 0)], self.numbers.dtype.type(0)) for k in range(1, self.model.depth + 1)]
+
+    def asked(self) -> Iterator[tuple]:
+        """Packed windows."""
+        train = self.train()
+        for start, part, t, new in self.windows():
+            at = np.flatnonzero(new)
+            if not len(at):
+                continue
+            n, one = np.add.reduceat(train[t].astype("<u4"), at, dtype="<u4"), t[at]
+            columns = [planes(c) for c in [*self.before(one), self.numbers[one], n, self.low[one] if start else self.counts[one].astype("<u8")]]
+            for p, i, j in runs(part[at]):
+                yield p, self.number, start, packed(columns, i, j)
+
+    def scored(self) -> pa.RecordBatch:
+        for start, _, t, new in self.windows():
+            if len(t):
+                value = np.concatenate([unpacked(a, ["<f8"])[0] for a in self.answers[LAST + start]])[np.cumsum(new) - 1]
+                self.low[t] = np.where(value < 0, value, self.low[t])
+        add = lambda x: np.add.reduceat(x, self.first) if len(self.first) else np.zeros(0)
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array(self.docs, pa.int64(), mask=self.no_doc), pa.array(self.held), pa.array(self.sizes, pa.int64()),
+                pa.array(add((self.counts > 0).astype(np.int64)), pa.int64()), pa.array(add(self.base)), pa.array(add(self.low)),
+            ],
+            names=[f.split()[0] for f in SCORES.split(", ")],
+        )
+
+
+def runs(x: np.ndarray) -> list[tuple[int, int, int]]:
+    """(value, from, to) of an ascending array."""
+    found, first = np.unique(x, return_index=True)
+    return list(zip(found.tolist(), first.tolist(), [*first[1:].tolist(), len(x)]))
 
 
 def cut(keys: np.ndarray, bits: int) -> list[tuple[int, int, int]]:
     """(part, from, to) of ascending keys."""
-    part = part_of(keys, bits)
-    found, first = np.unique(part, return_index=True)
-    return list(zip(found.tolist(), first.tolist(), [*first[1:].tolist(), len(keys)]))
+    return runs(part_of(keys, bits))
 
 
-def answered(row: dict, depth: int, levels: int, least: int, handing: bool = False) -> Chunk:
-    """A chunk that has learned the answers of the first `levels` levels; those of level -1 are kept as they are."""
-    c = Chunk(row, depth)
-    by: dict[int, list[bytes]] = {}
-    for a in row["answers"] or []:
-        by.setdefault(a["level"], []).append(a["answer"])
-    for k in range(levels):
-        c.learn(k, np.frombuffer(b"".join(by.get(k, [])), "<u8"), least, handing)
-    c.found = np.frombuffer(b"".join(by.get(-1, [])), "<f8")
-    return c
+def in_batches(rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
+    """Rows of QUESTIONS, some megabytes at a time."""
+    held: list[tuple] = []
+    size = 0
+    for r in rows:
+        held.append(r)
+        size += len(r[3])
+        if size >= 4 << 20:
+            yield batch(QUESTIONS, held)
+            held, size = [], 0
+    if held:
+        yield batch(QUESTIONS, held)
 
 
-def totalled(questions: DataFrame, level: int, bits: int) -> DataFrame:
-    """Answers to the chunks' questions, and of each part the sum and number of counts that aren't 0, as chunk ALL."""
+def parts(questions: DataFrame, bits: int, run) -> DataFrame:
+    """run(part, start, chunks, data) for the questions of each part; it gives rows of ANSWERS."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = (r for b in batches for r in b.to_pylist())
-        for part, group in groupby(rows, lambda r: r["part"]):
-            group = list(group)
-            keys = [np.frombuffer(r["keys"], "<u8") for r in group]
-            found, at = np.unique(np.concatenate(keys), return_inverse=True)
-            total = np.bincount(at, np.concatenate([np.frombuffer(r["counts"], "<u4") for r in group]), len(found)).astype(np.uint64)
-            first = np.zeros(len(at), np.uint64)
-            first[np.unique(at, return_index=True)[1]] = 1
-            answer = total[at] * np.uint64(2) + first
-            if level:  # what occurs once is no entry
-                answer[total[at] < 2] = 0
-            ends = np.cumsum([len(k) for k in keys])
-            out = [(level, part, r["chunk"], answer[e - len(k) : e].tobytes()) for r, k, e in zip(group, keys, ends)]
-            yield batch(ANSWERS, [*out, (level, part, ALL, np.array([total.sum(), (total > 0).sum()], "<u8").tobytes())])
-
-    dealt = questions.repartition(1 << bits, "part").sortWithinPartitions("part", "chunk")
-    return dealt.select("part", "chunk", "keys", "counts").mapInArrow(run, ANSWERS)
+        for (part, start), group in groupby(rows, lambda r: (r["part"], r["start"])):
+            chunks, data = zip(*[(r["chunk"], r["data"]) for r in group])
+            yield from run(part, start, chunks, data)
+
+    return questions.repartition(1 << bits, "part").sortWithinPartitions("part", "start", "chunk").mapInArrow(each, ANSWERS)
+
+
+def columns_of(data: tuple[bytes, ...], kinds: list[str]) -> tuple[list[np.ndarray], np.ndarray]:
+    """The columns of many packed rows, and where each of them ends."""
+    rows = [unpacked(d, kinds) for d in data]
+    return [np.concatenate(c) for c in zip(*rows)], np.cumsum([len(r[0]) for r in rows])
+
+
+def replies(level: int, part: int, chunks: tuple[int, ...], ends: np.ndarray, columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    sides = [planes(c) for c in columns]
+    rows = [(level, part, c, packed(sides, i, j)) for c, i, j in zip(chunks, np.r_[0, ends[:-1]].tolist(), ends.tolist())]
+    for at in range(0, len(rows), ROWS):
+        yield batch(ANSWERS, rows[at : at + ROWS])
+
+
+def counted_words(questions: DataFrame, bits: int, many: int) -> DataFrame:
+    """Answers with counts and numbers of words, frequent ones first; of each part, as chunk ALL, the sum and the number of
+    counts that aren't 0, and the largest number; as chunk HOTTEST the words that occur `many` times, but the end, and how often."""
+
+    def run(part: int, _: int, chunks: tuple, data: tuple) -> Iterator[pa.RecordBatch]:
+        (keys, n), ends = columns_of(data, ["<u8", "<u8"])
+        found, at = np.unique(keys, return_inverse=True)
+        total = np.bincount(at, n, len(found)).astype("<u8")
+        number = np.empty(len(found), "<u8")
+        number[np.argsort(-total.astype(np.int64), kind="stable")] = (np.arange(len(found), dtype=np.uint64) << np.uint64(bits)) + np.uint64(part + 1)
+        yield from replies(0, part, chunks, ends, [total[at], number[at]])
+        hot = (total >= many) & (found != np.frombuffer(hashed(b" "), "<u8"))
+        yield batch(ANSWERS, [(0, part, ALL, np.array([total.sum(), (total > 0).sum(), number.max()], "<u8").tobytes()), hottest(0, part, found[hot], total[hot])])
+
+    return parts(questions, bits, run)
+
+
+def hottest(level: int, part: int, keys: np.ndarray, n: np.ndarray) -> tuple:
+    return level, part, HOTTEST, packed([planes(keys), planes(n)], 0, len(keys))
+
+
+def hot_contexts(answers: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Ascending hashes of the contexts that are hot one level up, and their counts: a row for each part comes to the driver."""
+    rows = answers.where(F.col("chunk") == HOTTEST).select("answer").toArrow().column(0).to_pylist()
+    keys, n = (np.concatenate([np.zeros(0, "<u8"), *x]) for x in zip(*[unpacked(r, ["<u8", "<u8"]) for r in rows] or [((), ())]))
+    by = np.argsort(keys)
+    return keys[by], n[by].astype(np.int64)
+
+
+def counted_grams(questions: DataFrame, level: int, bits: int, need: int, many: int) -> DataFrame:
+    """Answers with counts of grams; of each part, as chunk ALL, context, count and lower log P of all entries, and as chunk
+    HOTTEST the grams that occur `many` times, and how often."""
+
+    def run(part: int, _: int, chunks: tuple, data: tuple) -> Iterator[pa.RecordBatch]:
+        (keys, n, context, low), ends = columns_of(data, ["<u8", "<u8", "<u8", "<f8"])
+        found, first, at = np.unique(keys, return_index=True, return_inverse=True)
+        total = np.bincount(at, n, len(found)).astype("<u8")
+        yield from replies(level, part, chunks, ends, [total[at]])
+        e = total >= need
+        of_all = (level, part, ALL, packed([planes(c) for c in (context[first][e], total[e], low[first][e])], 0, int(e.sum())))
+        yield batch(ANSWERS, [of_all, hottest(level, part, found[total >= many], total[total >= many])])
+
+    return parts(questions, bits, run)
+
+
+def summed(answers: DataFrame, add) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ascending contexts of the entries that counted_grams found, and sums of the two numbers that add gives of each entry
+    from its context, count and lower log P: a row for each hot context comes to the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for data in b.column(0).to_pylist():
+                context, n, low = unpacked(data, ["<u8", "<u8", "<f8"])
+                found, at = np.unique(context, return_inverse=True)
+                sums = [pa.array(np.bincount(at, x, len(found)), pa.float64()) for x in add(context, n.astype(np.float64), low)]
+                yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), *sums], names=[f.split()[0] for f in SUMS.split(", ")])
+
+    rows = answers.where(F.col("chunk") == ALL).select("answer").mapInArrow(run, SUMS)
+    rows = rows.groupBy("context").agg(F.sum("first").alias("first"), F.sum("second").alias("second")).toArrow()
+    context = np.array(rows.column(0), np.int64).view(np.uint64)
+    by = np.argsort(context)
+    return context[by], np.array(rows.column(1), np.float64)[by], np.array(rows.column(2), np.float64)[by]
+
+
+def hot_states(answers: DataFrame, whole: tuple[np.ndarray, np.ndarray], nats: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ascending contexts, g, and whether a state, of the hot contexts; whole: ascending contexts and their counts."""
+    contexts, n = whole
+    found, used, inside = summed(answers, lambda context, n, low: (n - TAKEN, n))
+    at = np.searchsorted(contexts, found)
+    g, rest = np.ones(len(contexts)), n.astype(np.float64)
+    g[at] = np.maximum(1 - used / n[at], 1e-12)
+    rest[at] -= inside
+
+    def gains(context: np.ndarray, m: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        i = np.searchsorted(contexts, context)
+        return m * (np.log10((m - TAKEN) / n[i] + g[i] * 10.0**low) - low), np.zeros(len(m))
+
+    _, gain, _ = summed(answers, gains)
+    state = np.zeros(len(contexts), bool)
+    state[at] = (gain + rest[at] * np.log10(g[at])) * np.log(10) >= nats
+    return contexts, g, state
+
+
+def window_scores(columns: list[np.ndarray], start: int, model: Model) -> np.ndarray:
+    """log P of windows of a part that holds all windows of their contexts of start + 1 words and more; 0 where no state
+    longer than that has a say."""
+    depth = model.depth
+    by, new = ordered(columns[: depth + 1])
+    at = np.flatnonzero(new)
+    n = np.add.reduceat(columns[depth + 1][by].astype(np.int64), at)
+    one = by[at]  # from here on distinct windows, in order
+    words, last = [c[one] for c in columns[:depth]], columns[depth][one]
+    low = columns[depth + 2][one] if start else model.root(columns[depth + 2][one])
+    if last.itemsize > 4:
+        last = np.unique(last, return_inverse=True)[1]
+    last, changed = last.astype(np.int64), np.zeros(len(one), bool)
+    fresh = changes(words[:start]) if start else np.zeros(len(one), bool)
+    for k in range(start + 1, depth + 1):
+        fresh = fresh | changes([words[k - 1]])
+        context = np.cumsum(fresh) - 1
+        key = context << 32 | last
+        if k < depth:
+            _, first, gram = np.unique(key, return_index=True, return_inverse=True)
+            count = np.bincount(gram, n, len(first)).astype(np.int64)
+        else:  # a row is a gram
+            first = gram = np.arange(len(one))
+            count = n
+        whole = np.add.reduceat(n, np.flatnonzero(fresh))
+        entry = (count >= model.need) & (words[k - 1][first] > 0)
+        e, m = first[entry], count[entry].astype(np.float64)  # the entries' first rows, and their counts
+        c, size = context[e], len(whole)
+        g = np.maximum(1 - np.bincount(c, m - TAKEN, size) / np.maximum(whole, 1), 1e-12)
+        p = np.log10((m - TAKEN) / whole[c] + g[c] * 10.0 ** low[e])
+        gain = np.bincount(c, m * (p - low[e]), size) + (whole - np.bincount(c, m, size)) * np.log10(g)
+        state = (gain * np.log(10) >= model.nats) & (np.bincount(c, minlength=size) > 0)
+        higher = low + np.log10(g)[context]  # of what is no entry
+        of = np.full(len(first), -1)
+        of[entry] = np.arange(len(e))
+        of = of[gram]
+        higher = np.where(of >= 0, p[of] if len(p) else 0.0, higher)
+        use = state[context]
+        low = np.where(use, higher, low)
+        changed |= use
+    out = np.empty(len(by))
+    out[by] = np.where(changed, low, 0.0)[np.cumsum(new) - 1]
+    return out
+
+
+def answered_windows(questions: DataFrame, model: Model) -> DataFrame:
+    def run(part: int, start: int, chunks: tuple, data: tuple) -> Iterator[pa.RecordBatch]:
+        columns, ends = columns_of(data, model.kinds(start))
+        yield from replies(LAST + start, part, chunks, ends, [window_scores(columns, start, model)])
+
+    return parts(questions, model.bits, run)
 
 
 def packed_values(values: DataFrame, bits: int) -> DataFrame:
@@ -289,32 +536,6 @@ def packed_values(values: DataFrame, bits: int) -> DataFrame:
     return values.select("key", "value").mapInArrow(run, PACKED)
 
 
-def found_values(questions: DataFrame, values: DataFrame, bits: int) -> DataFrame:
-    """Answers of level -1: the packed values of the questions' keys, 0 for those that have none."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = (r for b in batches for r in b.to_pylist())
-        for part, group in groupby(rows, lambda r: r["part"]):
-            keys, value, table = [np.zeros(0, np.uint64)], [np.zeros(0)], None
-            for r in group:  # values come first
-                if r["chunk"] == ALL:
-                    keys.append(np.frombuffer(r["keys"], "<u8"))
-                    value.append(np.frombuffer(r["counts"], "<f8"))
-                    continue
-                if table is None:
-                    table = np.concatenate(keys)
-                    by = np.argsort(table)
-                    table, known = table[by], np.concatenate(value)[by]
-                asked = np.frombuffer(r["keys"], "<u8")
-                at = np.searchsorted(table, asked)
-                at[at == len(table)] = 0
-                answer = np.where(table[at] == asked, known[at], 0.0) if len(table) else np.zeros(len(asked))
-                yield batch(ANSWERS, [(-1, part, r["chunk"], answer.astype("<f8").tobytes())])
-
-    dealt = questions.unionByName(values).repartition(1 << bits, "part").sortWithinPartitions("part", "chunk")
-    return dealt.mapInArrow(run, ANSWERS)
-
-
 class Corpus:
     """The stored chunks with the answers they have got, by buckets of their numbers."""
 
@@ -339,76 +560,28 @@ class Corpus:
         every = self.answers[0]
         for a in self.answers[1:]:
             every = every.unionByName(a)
-        by = every.where(F.col("chunk") != ALL).repartition(self.buckets, "chunk").groupBy("chunk")
+        by = every.where(F.col("chunk") >= 0).repartition(self.buckets, "chunk").groupBy("chunk")
         return rows.join(by.agg(F.array_sort(F.collect_list(F.struct("level", "part", "answer"))).alias("answers")), "chunk", "left")
 
-    def ask(self, k: int, bits: int, least: int) -> DataFrame:
-        """The questions of level k."""
-        depth, levels = self.depth, self.levels
+    def each(self, model: Model, run, schema: str) -> DataFrame:
+        """run(chunk) of all chunks, each of which gives batches."""
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 for row in b.to_pylist():
-                    c = answered(row, depth, levels, least)
-                    keys, n, _, _ = c.question(k)
-                    yield batch(PACKED, [(p, c.number, keys[i:j].tobytes(), n[i:j].tobytes()) for p, i, j in cut(keys, bits)])
+                    yield from run(Chunk(row, model))
 
-        return self.with_answers().mapInArrow(run, PACKED)
-
-    def entries(self, least: int, total: int, distinct: int) -> DataFrame:
-        """(gram, context, suffix, n, whole, low, level) of all levels from 1 on."""
-        depth, levels = self.depth, self.levels
-        names = ["gram", "context", "suffix", "n", "whole", "low", "level"]
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                for row in b.to_pylist():
-                    c = answered(row, depth, levels, least, True)
-                    for k in range(1, depth + 1):
-                        x = c.entries(k, lambda n: root(n, total, distinct))
-                        yield pa.RecordBatch.from_arrays([*map(pa.array, x), pa.array(np.full(len(x[0]), k, np.int32))], names=names)
+        return self.with_answers().mapInArrow(each, schema)
 
-        return self.with_answers().mapInArrow(run, "gram long, context long, suffix long, n long, whole long, low double, level int")
-
-    def look_up(self, bits: int, least: int) -> DataFrame:
-        """The questions of the last step."""
-        depth, levels = self.depth, self.levels
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                for row in b.to_pylist():
-                    c = answered(row, depth, levels, least)
-                    keys = np.unique(np.concatenate([k for _, k in c.lookups()] or [np.zeros(0, np.uint64)]))
-                    yield batch(PACKED, [(p, c.number, keys[i:j].tobytes(), None) for p, i, j in cut(keys, bits)])
-
-        return self.with_answers().mapInArrow(run, PACKED)
+    def ask(self, model: Model, k: int) -> DataFrame:
+        """The questions of level k."""
+        return self.each(model, lambda c: in_batches(c.question(k)), QUESTIONS)
 
-    def scores(self, least: int, total: int, distinct: int) -> DataFrame:
-        depth, levels = self.depth, self.levels
+    def windows(self, model: Model) -> DataFrame:
+        return self.each(model, lambda c: in_batches(c.asked()), QUESTIONS)
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                for row in b.to_pylist():
-                    c = answered(row, depth, levels, least)
-                    base = root(c.counts, total, distinct)
-                    log_p, asked = base.copy(), c.lookups()
-                    keys = np.unique(np.concatenate([k for _, k in asked] or [np.zeros(0, np.uint64)]))
-                    for step, (tokens, k) in enumerate(asked):
-                        value = c.found[np.searchsorted(keys, k)]
-                        if step % 2 == 0:  # an entry's log P takes the place of the word's
-                            log_p[tokens] = value
-                    for tokens, k in asked[1::2]:
-                        log_p[tokens] += c.found[np.searchsorted(keys, k)]
-                    add = lambda x: np.add.reduceat(x, c.first) if len(c.first) else np.zeros(0)
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array(c.docs, pa.int64(), mask=c.no_doc), pa.array(c.held), pa.array(c.sizes, pa.int64()),
-                            pa.array(add((c.counts > 0).astype(np.int64)), pa.int64()), pa.array(add(base)), pa.array(add(log_p)),
-                        ],
-                        names=[f.split()[0] for f in SCORES.split(", ")],
-                    )
-
-        return self.with_answers().mapInArrow(run, SCORES)
+    def scores(self, model: Model) -> DataFrame:
+        return self.each(model, lambda c: [c.scored()], SCORES)
 
     def close(self) -> None:
         path = self.table().inputFiles()
@@ -418,62 +591,31 @@ class Corpus:
             folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
-def with_log_p(entries: DataFrame, lower: DataFrame | None, k: int, nats: float) -> DataFrame:
-    """(gram, context, log_p, log_g, state) of the entries of level k; lower: (gram, log_p) of level k - 1, for k > 1.
-
-    The entries of a context, each distinct gram once, meet in one exchange; all sums are taken over that."""
-    if lower is not None:
-        entries = entries.drop("low").join(lower.select(F.col("gram").alias("suffix"), F.col("log_p").alias("low")), "suffix")
-    by = Window.partitionBy("context")
-    over = F.col("n") - TAKEN
-    rows = entries.select("gram", "context", "n", "whole", "low", F.sum(over).over(by).alias("used"), F.sum("n").over(by).alias("inside"))
-    rows = rows.withColumn("g", F.greatest(1 - F.col("used") / F.col("whole"), F.lit(1e-12)))
-    rows = rows.withColumn("p", F.log10(over / F.col("whole") + F.col("g") * F.pow(F.lit(10.0), "low")))
-    gain = F.sum(F.col("n") * (F.col("p") - F.col("low"))).over(by) + (F.col("whole") - F.col("inside")) * F.log10("g")
-    rows = rows.select("gram", "context", "low", "p", F.log10("g").alias("log_g"), (gain * float(np.log(10)) >= nats).alias("state"))
-    return stored(rows.select("gram", "context", F.when(F.col("state"), F.col("p")).otherwise(F.col("low")).alias("log_p"), "log_g", "state"), f"level-{k}")
-
-
 def lm_scores(docs: DataFrame, depth: int = DEPTH, least: float = LEAST, nats: float = NATS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every document."""
     spark = docs.sparkSession
+    model = Model(depth, least, nats)
     with few_rows_at_a_time(spark):
         corpus = Corpus(folds(docs), depth)
         tokens = corpus.table().agg(F.coalesce(F.sum(F.length("tokens") / 4), F.lit(0))).first()[0]
-        bits = max(0, int(tokens // PART).bit_length())
-        at_least, total, distinct = 2, 0, 0
-        for k in range(depth + 1):
-            answers = stored(totalled(corpus.ask(k, bits, at_least), k, bits), f"answers-{k}")
-            corpus.answers.append(answers)
-            corpus.levels += 1
-            if not k:
-                sums = answers.where(F.col("chunk") == ALL).select("answer").toArrow().column(0).to_pylist()  # a row for each part
-                total, distinct = (int(x) for x in np.sum([np.frombuffer(s, "<u8") for s in sums] or [[0, 0]], axis=0))
-                at_least = needed(least, total)
-            swept(spark)
-        entries = stored(corpus.entries(at_least, total, distinct), "entries", ["level"])
-    swept(spark)
-    packs, lower = [], None
-    for k in range(1, depth + 1):
-        rows = with_log_p(entries.where(F.col("level") == k).drop("level"), lower, k, nats)
-        states = rows.where("state").groupBy("context").agg(F.first("log_g").alias("value"))
-        states = states.select(F.col("context").bitwiseXOR(F.lit(int(STATE.astype(np.int64)))).alias("key"), "value")
-        values = rows.select(F.col("gram").alias("key"), F.col("log_p").alias("value")).unionByName(states)
-        packs.append(stored(packed_values(values, bits), f"values-{k}"))
-        if lower is not None:
-            dropped(spark, lower)
-        lower = rows
+        model.bits = max(0, int(tokens // PART).bit_length())
+        corpus.answers.append(stored(counted_words(corpus.ask(model, 0), model.bits, model.many), "words"))
+        sums = corpus.answers[0].where(F.col("chunk") == ALL).select("answer").toArrow().column(0).to_pylist()  # a row for each part
+        sums = [np.frombuffer(s, "<u8") for s in sums] or [np.zeros(3, "<u8")]
+        model.total, model.distinct, top = (int(x) for x in (*np.sum(sums, axis=0)[:2], np.max(sums, axis=0)[2]))
+        model.need, model.kind = needed(least, model.total), "<u4" if top < 1 << 32 else "<u8"
         swept(spark)
-    dropped(spark, entries, *([lower] if lower is not None else []))
-    with few_rows_at_a_time(spark):
-        asked = corpus.look_up(bits, at_least)
-        values = packs[0] if packs else asked.limit(0)
-        for p in packs[1:]:
-            values = values.unionByName(p)
-        corpus.answers.append(stored(found_values(asked, values, bits), "found"))
-        dropped(spark, *packs)
-        swept(spark)
-        out = stored(corpus.scores(at_least, total, distinct), "scores")
-        dropped(spark, *corpus.answers)
+        for k in range(1, depth + 1):
+            hot = hot_contexts(corpus.answers[-1])
+            if not len(hot[0]):
+                break
+            corpus.answers.append(stored(counted_grams(corpus.ask(model, k), k, model.bits, model.need, model.many), f"grams-{k}"))
+            model.hot.append(hot_states(corpus.answers[-1], hot, nats))
+            swept(spark)
+        before = list(corpus.answers)
+        corpus.answers.append(answered_windows(corpus.windows(model), model))
+        out = stored(corpus.scores(model), "scores")
+        corpus.answers.clear()
+        dropped(spark, *before)
         corpus.close()
-    return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
+    return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.total).cast("long").alias("train_tokens"), "base_score", "score")

@@ -149,3 +149,33 @@ def test_values_are_packed_across_batches(spark):
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
     assert len(rows) == 1 << bits and sum(len(r["keys"]) for r in rows) == 8000
+
+
+def test_hot_contexts_of_every_length(spark, monkeypatch):
+    """Contexts whose windows are too many for one part: some words, pairs and triples, in many chunks and parts."""
+    monkeypatch.setattr(suffix_tree, "PART", 100)
+    chunks = suffix_tree.chunks_of
+    monkeypatch.setattr(suffix_tree, "chunks_of", lambda rows: chunks(rows, 150))
+    rows = corpus(7) + [(None, "the of the"), (9, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = brute(rows, 3, 0, 3.0)[0]
+    for many in (2, 20, 60):
+        monkeypatch.setattr(suffix_tree, "HOT", many)
+        same(suffix_tree.lm_scores(docs, 3, 2, 3.0).collect(), want)
+
+
+def test_what_goes_between_tasks_is_a_few_times_the_text(spark):
+    """Copies make most grams entries; their keys and answers once were ten times the text."""
+    r = random.Random(8)
+    texts = [" ".join(f"word{int(r.paretovariate(0.6))}"[:9] for _ in range(200)) for _ in range(1000)]
+    docs = spark.createDataFrame([(i, texts[i % 1000]) for i in range(2000)], "doc_id long, text string").repartition(4)
+    sc = spark.sparkContext._jsc.sc()
+
+    def written() -> int:
+        sc.listenerBus().waitUntilEmpty()
+        return sc.statusStore().executorList(True).apply(0).totalShuffleWrite()
+
+    before = written()
+    suffix_tree.lm_scores(docs).collect()
+    moved, size = written() - before, 2 * sum(map(len, texts))
+    assert 0 < moved < 4 * size, moved / size
