@@ -15,7 +15,9 @@ its distinct words and their 64-bit hashes. What goes between tasks are not rows
   into a task); a part adds up what all chunks say and answers each of them with the words' counts and numbers.
 - A window is a token and the words before it. A chunk sends its distinct windows, with their counts, to the part of the
   word right before the token. All contexts that end in a word, and all their entries, so meet in one part, which finds
-  counts, g, states and log P of all levels by sorting, and answers each window with its log P.
+  counts, g, states and log P of all levels by sorting, and answers each window with what they add to its log P.
+- Windows go in `WAVES` of parts, one after the other, so that only a share of them and of their answers is on disk at a
+  time; what a wave adds to each document's score is kept.
 - A context that occurs `HOT` times or more would bring too much into one part. Level by level, chunks ask for the grams
   of such contexts by hash of the gram, as for words; sums over each such context's entries give g and whether it is a
   state (a row for each hot context comes to the driver: at most `depth` times tokens / HOT), and the chunks find log P of
@@ -33,6 +35,7 @@ text makes a long chunk.
 from __future__ import annotations
 
 import gc
+import time
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -54,6 +57,8 @@ WORD = 5  #: bytes of a word and the white space behind it, for an estimate of t
 PART = 1 << 21  #: tokens for each part
 HOT = 1 << 20  #: occurrences from which on a context's windows are too many for one part
 VALUES = 1 << 19  #: values that are packed together
+WAVES = 2  #: waves of parts; each costs two more readings of the chunks
+LET_GO = 1.5  #: seconds; Python tells the JVM up to one second later that it refers to a table no more
 ROWS = 256  #: packed rows that a task takes at a time
 CHUNKS = "chunk long, docs binary, no_doc binary, held binary, sizes binary, words binary, tokens binary"
 PACKED = "part int, chunk long, keys binary, counts binary"
@@ -63,6 +68,7 @@ SUMS = "context long, first double, second double"
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
 ALL, HOTTEST = -1, -2  #: instead of a chunk: what concerns a whole part
 LAST = 100  #: level of the answers to windows, to which their start is added
+GAINS = 200  #: level of what waves of windows add to the documents' scores
 
 
 def folds(docs: DataFrame) -> DataFrame:
@@ -118,6 +124,7 @@ def few_rows_at_a_time(spark: SparkSession):
 def swept(spark: SparkSession) -> None:
     """Has Spark delete the shuffle files of tables that nothing refers to."""
     gc.collect()
+    time.sleep(LET_GO)
     spark._jvm.System.gc()
 
 
@@ -160,8 +167,18 @@ def chunks_of(rows: DataFrame, size: int = CHUNK) -> DataFrame:
 
 
 def packed(columns: list[np.ndarray], at: int, to: int) -> bytes:
-    """Rows at to `to` of byte planes, each of which a shuffle compresses by itself."""
-    return b"".join([c[:, at:to].tobytes() for c in columns])
+    """Rows at to `to` of byte planes, compressed."""
+    return squeezed(b"".join([c[:, at:to].tobytes() for c in columns]))
+
+
+def squeezed(data: bytes) -> bytes:
+    """Compressed data behind their size; a shuffle's own compression has no entropy code, which planes gain by."""
+    return len(data).to_bytes(8, "little") + pa.Codec("zstd", 1).compress(data, asbytes=True)
+
+
+def unsqueezed(data: bytes) -> bytes:
+    size = int.from_bytes(data[:8], "little")
+    return pa.Codec("zstd").decompress(memoryview(data)[8:], size, asbytes=True) if size else b""
 
 
 def planes(column: np.ndarray) -> np.ndarray:
@@ -171,7 +188,7 @@ def planes(column: np.ndarray) -> np.ndarray:
 def unpacked(data: bytes, kinds: list[str]) -> list[np.ndarray]:
     """The columns of a packed row."""
     sizes = [np.dtype(k).itemsize for k in kinds]
-    rows = np.frombuffer(data, np.uint8).reshape(sum(sizes), -1)
+    rows = np.frombuffer(unsqueezed(data), np.uint8).reshape(sum(sizes), -1)
     ends = np.cumsum(sizes)
     return [np.ascontiguousarray(rows[e - n : e].T).reshape(-1).view(k) for e, n, k in zip(ends, sizes, kinds)]
 
@@ -204,7 +221,7 @@ class Model:
     def __init__(self, depth: int, least: float, nats: float):
         self.depth, self.least, self.nats = depth, least, nats
         self.need, self.total, self.distinct, self.kind = 2, 0, 0, "<u4"
-        self.bits, self.many = 0, HOT
+        self.bits, self.waves, self.many = 0, 1, HOT
         self.hot: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  #: of each level: ascending hashes, g, whether a state
 
     def root(self, c: np.ndarray) -> np.ndarray:
@@ -284,15 +301,17 @@ class Chunk:
         self.behind = np.zeros(len(self.tokens), np.int64)
         self.behind[t] = n
 
-    def windows(self) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    def windows(self, wave: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
         """start, part, and tokens in order of part and words with whether each window is a new one: of the tokens that have
-        a context left which can have entries."""
+        a context left which can have entries, in a part of the wave."""
         depth = self.model.depth
         for start in range(min(depth, len(self.model.hot) + 1)):
             t = np.flatnonzero((self.start == start) & (self.place > start))
             if not start:
                 t = t[self.counts[t - 1] >= self.model.need]
             part = part_of(self.gram(t - 1, start), self.model.bits)
+            mine = part % self.model.waves == wave
+            t, part = t[mine], part[mine]
             by, new = ordered([*self.before(t), self.numbers[t]], part.astype(np.uint16 if self.model.bits <= 16 else np.int64))
             yield start, part[by], t[by], new
 
@@ -300,10 +319,10 @@ class Chunk:
         """Numbers of the words before each token, nearest first; 0 where there is none."""
         return [np.where(self.place[t] >= k, self.numbers[np.maximum(t - k, 0)], self.numbers.dtype.type(0)) for k in range(1, self.model.depth + 1)]
 
-    def asked(self) -> Iterator[tuple]:
-        """Packed windows."""
+    def asked(self, wave: int) -> Iterator[tuple]:
+        """Packed windows of a wave."""
         train = self.train()
-        for start, part, t, new in self.windows():
+        for start, part, t, new in self.windows(wave):
             at = np.flatnonzero(new)
             if not len(at):
                 continue
@@ -312,16 +331,32 @@ class Chunk:
             for p, i, j in runs(part[at]):
                 yield p, self.number, start, packed(columns, i, j)
 
-    def scored(self) -> pa.RecordBatch:
-        for start, _, t, new in self.windows():
+    def added(self, x: np.ndarray) -> np.ndarray:
+        """Sums over the tokens of each document."""
+        return np.add.reduceat(x, self.first) if len(self.first) else np.zeros(0)
+
+    def gained(self, wave: int) -> np.ndarray:
+        """What the answers to a wave's windows add to each document's score."""
+        gain = np.zeros(len(self.tokens))
+        for start, _, t, new in self.windows(wave):
             if len(t):
-                value = np.concatenate([unpacked(a, ["<f8"])[0] for a in self.answers[LAST + start]])[np.cumsum(new) - 1]
-                self.low[t] = np.where(value < 0, value, self.low[t])
-        add = lambda x: np.add.reduceat(x, self.first) if len(self.first) else np.zeros(0)
+                gain[t] = np.concatenate([np.frombuffer(unsqueezed(a), "<f8") for a in self.answers[LAST + start]])[np.cumsum(new) - 1]
+        return self.added(gain)
+
+    def settled(self, wave: int) -> pa.RecordBatch:
+        """What a wave adds, as an answer to this chunk."""
+        return batch(ANSWERS, [(GAINS, wave, self.number, squeezed(self.gained(wave).tobytes()))])
+
+    def scored(self) -> pa.RecordBatch:
+        """The scores, when all waves but the last are settled and its answers are here."""
+        score = self.added(self.low) + self.gained(self.model.waves - 1)
+        for a in self.answers.get(GAINS, []):
+            score += np.frombuffer(unsqueezed(a), "<f8")
+        add = self.added
         return pa.RecordBatch.from_arrays(
             [
                 pa.array(self.docs, pa.int64(), mask=self.no_doc), pa.array(self.held), pa.array(self.sizes, pa.int64()),
-                pa.array(add((self.counts > 0).astype(np.int64)), pa.int64()), pa.array(add(self.base)), pa.array(add(self.low)),
+                pa.array(add((self.counts > 0).astype(np.int64)), pa.int64()), pa.array(add(self.base)), pa.array(score),
             ],
             names=[f.split()[0] for f in SCORES.split(", ")],
         )
@@ -370,9 +405,9 @@ def columns_of(data: tuple[bytes, ...], kinds: list[str]) -> tuple[list[np.ndarr
     return [np.concatenate(c) for c in zip(*rows)], np.cumsum([len(r[0]) for r in rows])
 
 
-def replies(level: int, part: int, chunks: tuple[int, ...], ends: np.ndarray, columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-    sides = [planes(c) for c in columns]
-    rows = [(level, part, c, packed(sides, i, j)) for c, i, j in zip(chunks, np.r_[0, ends[:-1]].tolist(), ends.tolist())]
+def replies(level: int, part: int, chunks: tuple[int, ...], ends: np.ndarray, data) -> Iterator[pa.RecordBatch]:
+    """Answers to chunks; data(from, to): what of a part's rows goes to one of them."""
+    rows = [(level, part, c, data(i, j)) for c, i, j in zip(chunks, np.r_[0, ends[:-1]].tolist(), ends.tolist())]
     for at in range(0, len(rows), ROWS):
         yield batch(ANSWERS, rows[at : at + ROWS])
 
@@ -387,7 +422,8 @@ def counted_words(questions: DataFrame, bits: int, many: int) -> DataFrame:
         total = np.bincount(at, n, len(found)).astype("<u8")
         number = np.empty(len(found), "<u8")
         number[np.argsort(-total.astype(np.int64), kind="stable")] = (np.arange(len(found), dtype=np.uint64) << np.uint64(bits)) + np.uint64(part + 1)
-        yield from replies(0, part, chunks, ends, [total[at], number[at]])
+        sides = [planes(total[at]), planes(number[at])]
+        yield from replies(0, part, chunks, ends, lambda i, j: packed(sides, i, j))
         hot = (total >= many) & (found != np.frombuffer(hashed(b" "), "<u8"))
         yield batch(ANSWERS, [(0, part, ALL, np.array([total.sum(), (total > 0).sum(), number.max()], "<u8").tobytes()), hottest(0, part, found[hot], total[hot])])
 
@@ -414,7 +450,8 @@ def counted_grams(questions: DataFrame, level: int, bits: int, need: int, many:
         (keys, n, context, low), ends = columns_of(data, ["<u8", "<u8", "<u8", "<f8"])
         found, first, at = np.unique(keys, return_index=True, return_inverse=True)
         total = np.bincount(at, n, len(found)).astype("<u8")
-        yield from replies(level, part, chunks, ends, [total[at]])
+        sides = [planes(total[at])]
+        yield from replies(level, part, chunks, ends, lambda i, j: packed(sides, i, j))
         e = total >= need
         of_all = (level, part, ALL, packed([planes(c) for c in (context[first][e], total[e], low[first][e])], 0, int(e.sum())))
         yield batch(ANSWERS, [of_all, hottest(level, part, found[total >= many], total[total >= many])])
@@ -461,18 +498,19 @@ def hot_states(answers: DataFrame, whole: tuple[np.ndarray, np.ndarray], nats: f
 
 
 def window_scores(columns: list[np.ndarray], start: int, model: Model) -> np.ndarray:
-    """log P of windows of a part that holds all windows of their contexts of start + 1 words and more; 0 where no state
-    longer than that has a say."""
+    """What states of start + 1 words and more add to log P of windows of a part that holds all windows of such contexts; 0
+    where none of them has a say. Windows of a context that are no entries of it share one number, so repeats are many."""
     depth = model.depth
     by, new = ordered(columns[: depth + 1])
     at = np.flatnonzero(new)
     n = np.add.reduceat(columns[depth + 1][by].astype(np.int64), at)
     one = by[at]  # from here on distinct windows, in order
     words, last = [c[one] for c in columns[:depth]], columns[depth][one]
-    low = columns[depth + 2][one] if start else model.root(columns[depth + 2][one])
+    floor = columns[depth + 2][one] if start else model.root(columns[depth + 2][one])
+    low, added = floor, np.zeros(len(one))
     if last.itemsize > 4:
         last = np.unique(last, return_inverse=True)[1]
-    last, changed = last.astype(np.int64), np.zeros(len(one), bool)
+    last = last.astype(np.int64)
     fresh = changes(words[:start]) if start else np.zeros(len(one), bool)
     for k in range(start + 1, depth + 1):
         fresh = fresh | changes([words[k - 1]])
@@ -492,23 +530,24 @@ def window_scores(columns: list[np.ndarray], start: int, model: Model) -> np.nda
         p = np.log10((m - TAKEN) / whole[c] + g[c] * 10.0 ** low[e])
         gain = np.bincount(c, m * (p - low[e]), size) + (whole - np.bincount(c, m, size)) * np.log10(g)
         state = (gain * np.log(10) >= model.nats) & (np.bincount(c, minlength=size) > 0)
-        higher = low + np.log10(g)[context]  # of what is no entry
+        higher = added + np.log10(g)[context]  # of what is no entry
         of = np.full(len(first), -1)
         of[entry] = np.arange(len(e))
         of = of[gram]
-        higher = np.where(of >= 0, p[of] if len(p) else 0.0, higher)
-        use = state[context]
-        low = np.where(use, higher, low)
-        changed |= use
+        if len(p):
+            higher = np.where(of >= 0, (p - floor[e])[of], higher)
+        added = np.where(state[context], higher, added)
+        low = floor + added
     out = np.empty(len(by))
-    out[by] = np.where(changed, low, 0.0)[np.cumsum(new) - 1]
+    out[by] = added[np.cumsum(new) - 1]
     return out
 
 
 def answered_windows(questions: DataFrame, model: Model) -> DataFrame:
     def run(part: int, start: int, chunks: tuple, data: tuple) -> Iterator[pa.RecordBatch]:
         columns, ends = columns_of(data, model.kinds(start))
-        yield from replies(LAST + start, part, chunks, ends, [window_scores(columns, start, model)])
+        found = window_scores(columns, start, model)
+        yield from replies(LAST + start, part, chunks, ends, lambda i, j: squeezed(found[i:j].tobytes()))  # whole numbers repeat, their bytes don't
 
     return parts(questions, model.bits, run)
 
@@ -577,8 +616,11 @@ class Corpus:
         """The questions of level k."""
         return self.each(model, lambda c: in_batches(c.question(k)), QUESTIONS)
 
-    def windows(self, model: Model) -> DataFrame:
-        return self.each(model, lambda c: in_batches(c.asked()), QUESTIONS)
+    def windows(self, model: Model, wave: int) -> DataFrame:
+        return self.each(model, lambda c: in_batches(c.asked(wave)), QUESTIONS)
+
+    def settled(self, model: Model, wave: int) -> DataFrame:
+        return self.each(model, lambda c: [c.settled(wave)], ANSWERS)
 
     def scores(self, model: Model) -> DataFrame:
         return self.each(model, lambda c: [c.scored()], SCORES)
@@ -599,6 +641,7 @@ def lm_scores(docs: DataFrame, depth: int = DEPTH, least: float = LEAST, nats: f
         corpus = Corpus(folds(docs), depth)
         tokens = corpus.table().agg(F.coalesce(F.sum(F.length("tokens") / 4), F.lit(0))).first()[0]
         model.bits = max(0, int(tokens // PART).bit_length())
+        model.waves = min(WAVES, 1 << model.bits)
         corpus.answers.append(stored(counted_words(corpus.ask(model, 0), model.bits, model.many), "words"))
         sums = corpus.answers[0].where(F.col("chunk") == ALL).select("answer").toArrow().column(0).to_pylist()  # a row for each part
         sums = [np.frombuffer(s, "<u8") for s in sums] or [np.zeros(3, "<u8")]
@@ -612,8 +655,12 @@ def lm_scores(docs: DataFrame, depth: int = DEPTH, least: float = LEAST, nats: f
             corpus.answers.append(stored(counted_grams(corpus.ask(model, k), k, model.bits, model.need, model.many), f"grams-{k}"))
             model.hot.append(hot_states(corpus.answers[-1], hot, nats))
             swept(spark)
+        for wave in range(model.waves - 1):
+            corpus.answers.append(answered_windows(corpus.windows(model, wave), model))
+            corpus.answers[-1] = stored(corpus.settled(model, wave), f"gains-{wave}")
+            swept(spark)
         before = list(corpus.answers)
-        corpus.answers.append(answered_windows(corpus.windows(model), model))
+        corpus.answers.append(answered_windows(corpus.windows(model, model.waves - 1), model))
         out = stored(corpus.scores(model), "scores")
         corpus.answers.clear()
         dropped(spark, *before)

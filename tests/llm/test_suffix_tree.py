@@ -3,6 +3,8 @@ import random
 import zlib
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 from millrace.llm import suffix_tree
 
 
@@ -179,3 +181,29 @@ def test_what_goes_between_tasks_is_a_few_times_the_text(spark):
     suffix_tree.lm_scores(docs).collect()
     moved, size = written() - before, 2 * sum(map(len, texts))
     assert 0 < moved < 4 * size, moved / size
+
+
+def test_windows_go_in_waves(spark, monkeypatch):
+    """All windows and all answers to them were on disk together once, more than four times the table."""
+    monkeypatch.setattr(suffix_tree, "PART", 100)
+    chunks, windows = suffix_tree.chunks_of, suffix_tree.Corpus.windows
+    monkeypatch.setattr(suffix_tree, "chunks_of", lambda rows: chunks(rows, 150))
+    sizes, parts = [], []
+
+    def seen(*args):
+        out = windows(*args)
+        size, found = out.agg(F.sum(F.octet_length("data")), F.collect_set("part")).first()
+        sizes.append(size)
+        parts.append(set(found))
+        return out
+
+    monkeypatch.setattr(suffix_tree.Corpus, "windows", seen)
+    rows = corpus(9)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for many in (suffix_tree.HOT, 20):
+        monkeypatch.setattr(suffix_tree, "HOT", many)
+        sizes.clear()
+        parts.clear()
+        same(suffix_tree.lm_scores(docs, 3, 2, 3.0).collect(), brute(rows, 3, 0, 3.0)[0])
+        assert len(sizes) > 1 and max(sizes) < 0.7 * sum(sizes)
+        assert sum(map(len, parts)) == len(set.union(*parts))
