@@ -167,8 +167,8 @@ def chunks_of(rows: DataFrame, size: int = CHUNK) -> DataFrame:
 
 
 def packed(columns: list[np.ndarray], at: int, to: int) -> bytes:
-    """Rows at to `to` of byte planes, compressed."""
-    return squeezed(b"".join([c[:, at:to].tobytes() for c in columns]))
+    """Rows at to `to` of what planes gives, compressed."""
+    return squeezed(b"".join([c[..., at:to].tobytes() for c in columns]))
 
 
 def squeezed(data: bytes) -> bytes:
@@ -182,6 +182,9 @@ def unsqueezed(data: bytes) -> bytes:
 
 
 def planes(column: np.ndarray) -> np.ndarray:
+    """Byte planes of unsigned numbers; signed ones and log P stay whole: they repeat, their bytes by themselves don't."""
+    if column.dtype.kind in "if":
+        return column
     return np.ascontiguousarray(column.view(np.uint8).reshape(len(column), column.itemsize).T)
 
 
@@ -190,7 +193,8 @@ def unpacked(data: bytes, kinds: list[str]) -> list[np.ndarray]:
     sizes = [np.dtype(k).itemsize for k in kinds]
     rows = np.frombuffer(unsqueezed(data), np.uint8).reshape(sum(sizes), -1)
     ends = np.cumsum(sizes)
-    return [np.ascontiguousarray(rows[e - n : e].T).reshape(-1).view(k) for e, n, k in zip(ends, sizes, kinds)]
+    whole = [np.dtype(k).kind in "if" for k in kinds]
+    return [np.ascontiguousarray(x if w else x.T).reshape(-1).view(k) for x, w, k in zip(np.split(rows, ends[:-1]), whole, kinds)]
 
 
 def ordered(columns: list[np.ndarray], first: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -282,7 +286,7 @@ class Chunk:
         else:
             t = self.hot(k)
             keys, first, at = np.unique(self.gram(t, k), return_index=True, return_inverse=True)
-            columns = [keys, np.bincount(at, self.train()[t], len(keys)).astype("<u8"), self.gram(t[first] - 1, k - 1), self.low[t[first]]]
+            columns = [keys, np.bincount(at, self.train()[t], len(keys)).astype("<u8"), self.gram(t[first] - 1, k - 1).view("<i8"), self.low[t[first]]]
         columns = [planes(c) for c in columns]
         for p, i, j in cut(keys, self.model.bits):
             yield p, self.number, 0, packed(columns, i, j)
@@ -447,7 +451,7 @@ def counted_grams(questions: DataFrame, level: int, bits: int, need: int, many:
     HOTTEST the grams that occur `many` times, and how often."""
 
     def run(part: int, _: int, chunks: tuple, data: tuple) -> Iterator[pa.RecordBatch]:
-        (keys, n, context, low), ends = columns_of(data, ["<u8", "<u8", "<u8", "<f8"])
+        (keys, n, context, low), ends = columns_of(data, ["<u8", "<u8", "<i8", "<f8"])
         found, first, at = np.unique(keys, return_index=True, return_inverse=True)
         total = np.bincount(at, n, len(found)).astype("<u8")
         sides = [planes(total[at])]
@@ -466,7 +470,8 @@ def summed(answers: DataFrame, add) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for data in b.column(0).to_pylist():
-                context, n, low = unpacked(data, ["<u8", "<u8", "<f8"])
+                context, n, low = unpacked(data, ["<i8", "<u8", "<f8"])
+                context = context.view("<u8")
                 found, at = np.unique(context, return_inverse=True)
                 sums = [pa.array(np.bincount(at, x, len(found)), pa.float64()) for x in add(context, n.astype(np.float64), low)]
                 yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), *sums], names=[f.split()[0] for f in SUMS.split(", ")])

@@ -3,6 +3,7 @@ import random
 import zlib
 from collections import Counter
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from millrace.llm import suffix_tree
@@ -207,3 +208,15 @@ def test_windows_go_in_waves(spark, monkeypatch):
         same(suffix_tree.lm_scores(docs, 3, 2, 3.0).collect(), brute(rows, 3, 0, 3.0)[0])
         assert len(sizes) > 1 and max(sizes) < 0.7 * sum(sizes)
         assert sum(map(len, parts)) == len(set.union(*parts))
+
+
+def test_packed_columns_come_back_and_repeats_take_little_room():
+    r = np.random.default_rng(1)
+    few = r.integers(-(1 << 63), 1 << 63 - 1, 8)[r.integers(0, 8, 5000)]
+    columns = [np.arange(5000, dtype="<u8"), few, r.random(8)[r.integers(0, 8, 5000)], np.arange(5000, dtype="<u4")]
+    kinds = ["<u8", "<i8", "<f8", "<u4"]
+    sides = [suffix_tree.planes(c) for c in columns]
+    for at, to in ((0, 5000), (7, 4000), (9, 9)):
+        for got, want in zip(suffix_tree.unpacked(suffix_tree.packed(sides, at, to), kinds), columns):
+            assert got.tolist() == want[at:to].tolist()
+    assert len(suffix_tree.packed(sides, 0, 5000)) < 5000 * 5
