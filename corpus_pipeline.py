@@ -2,32 +2,53 @@
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 
 from millrace.llm import bpe, decontaminate, language, near_dedup, secrets
-from millrace.llm.common import stored, table
+from millrace.llm.common import collected, stored, table
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def afresh(stage: Stage) -> Stage:
+    """stage, begun with executors that have given back the heap that stages before it took."""
+
+    @functools.wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        collected(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run
 
 
+@afresh
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a letter, or whose language is uncertain, go."""
     return language.kept(docs)
 
 
+@afresh
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates (five words, similarity 0.8) the document of least doc_id stays."""
     return near_dedup.deduplicated(docs, words=5)
 
 
+@afresh
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold eight words in a row of two benchmark items or more go."""
     return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
+@afresh
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets in the texts are replaced; every document stays."""
     return secrets.redact(docs)
 
 
+@afresh
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of the ids and of the decoded texts."""
     return bpe.bpe_round_trip(docs)

@@ -122,6 +122,20 @@ def test_pipeline(spark, tmp_path):
     assert kept[105].endswith("[assign]") and kept[3] == docs[3][1]
 
 
+def test_stages_begin_with_the_heap_given_back(spark, tmp_path):
+    docs = spark.createDataFrame([(k, f"thoning weres {k}", "en", "s", 0) for k in range(5)], "doc_id long, text string, lang string, source string, n_chars long")
+    spark.createDataFrame([(1, "weres thoning")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    factory = spark._jvm.java.lang.management.ManagementFactory
+
+    def full():
+        return sum(b.getCollectionCount() for b in factory.getGarbageCollectorMXBeans() if b.getName() in ("G1 Old Generation", "PS MarkSweep", "MarkSweepCompact"))
+
+    for name, stage in corpus_pipeline.STAGES:
+        before = full()
+        stage(spark, docs, str(tmp_path))
+        assert full() > before, name
+
+
 def test_junk_and_an_unlearned_language_are_rejected():
     rows = labelled(5, 500)
     m = language.train([t for _, t, _ in rows], [x for _, _, x in rows])
